@@ -1 +1,8 @@
 """Concept mapping on Spark: retrieve, select, score and evaluate code-to-code links."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

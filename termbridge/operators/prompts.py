@@ -42,9 +42,25 @@ def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
+def three_digits(x: Column) -> Column:
+    """``x`` (below 2 in size) with three decimals, rounded from its exact binary value.
+
+    ``x`` is split into two parts whose multiples are exact, so the comparison with
+    the middle between two candidates is exact too; a true tie goes to the even one.
+    """
+    below = F.floor(x * 1000.0)
+    high = F.floor(x * 1048576.0) / 1048576.0
+    to_middle = (2.0 * below + 1.0) - 2000.0 * high - 2000.0 * (x - high)
+    up = (to_middle < 0) | ((to_middle == 0) & (F.pmod(below, F.lit(2)) == 1))
+    return F.format_string("%.3f", (below + F.when(up, 1).otherwise(0)) / 1000.0)
+
+
 def candidate_line() -> Column:
     """``- code: name [source=s, score=0.123]``; the score only where there is one."""
-    score = F.when(F.col("score").isNotNull(), F.format_string(", score=%.3f", F.col("score")))
+    shown = F.when(
+        F.abs("score") < 2.0, three_digits(F.col("score"))
+    ).otherwise(F.format_string("%.3f", "score"))
+    score = F.when(F.col("score").isNotNull(), F.concat(F.lit(", score="), shown))
     return F.concat(
         F.lit("- "),
         F.col("code"),

@@ -288,8 +288,8 @@ def _triggered(
     if dictionary.count() <= inline_rows:
         # Small by the count above: one array that every row is tested against.
         table = entries.agg(F.array_sort(F.collect_list(entry))).scalar()
-        hits = F.filter(table, lambda e: F.contains(F.lower("name"), e["trigger"]))
-        return rows.withColumn("hits", hits)
+        hits = F.filter("entries", lambda e: F.contains(F.lower("name"), e["trigger"]))
+        return rows.withColumn("entries", table).select(key, "name", hits.alias("hits"))
     # A trigger can only occur where its first letters occur: join on those.
     names = rows.select("name").distinct()
     start = F.explode(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))))

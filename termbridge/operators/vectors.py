@@ -15,23 +15,22 @@ from termbridge.functions.similarity import word_list
 
 def fit_text_vectors(universe: DataFrame, text: str = "text", size: int = 256) -> PipelineModel:
     """Fit word weights on the universe. What is collected is one number per slot."""
-    return Pipeline(
-        stages=[
-            RegexTokenizer(
-                inputCol=text, outputCol="__words", pattern="[a-z0-9]+", gaps=False, toLowercase=True
-            ),
-            HashingTF(inputCol="__words", outputCol="__counts", numFeatures=size),
-            IDF(inputCol="__counts", outputCol="__weights"),
-            Normalizer(inputCol="__weights", outputCol="__unit"),
-        ]
-    ).fit(universe.select(F.coalesce(text, F.lit("")).alias(text)))
+    stages = [
+        RegexTokenizer(
+            inputCol="__text", outputCol="__words", pattern="[a-z0-9]+", gaps=False, toLowercase=True
+        ),
+        HashingTF(inputCol="__words", outputCol="__counts", numFeatures=size),
+        IDF(inputCol="__counts", outputCol="__weights"),
+        Normalizer(inputCol="__weights", outputCol="__unit"),
+    ]
+    return Pipeline(stages=stages).fit(universe.select(F.coalesce(text, F.lit("")).alias("__text")))
 
 
 def embed_text(
     model: PipelineModel, df: DataFrame, text: str = "text", name: str = "vec"
 ) -> DataFrame:
     """Add the unit vector of ``text``; a text without known words is a zero vector."""
-    applied = model.transform(df.withColumn(text, F.coalesce(text, F.lit(""))))
+    applied = model.transform(df.withColumn("__text", F.coalesce(text, F.lit(""))))
     return applied.withColumn(name, vector_to_array("__unit")).select(*df.columns, name)
 
 

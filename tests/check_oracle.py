@@ -79,7 +79,7 @@ def main():
             else:
                 state = f"{len(df.collect())} rows, no SQL"
         except Exception as e:  # report and go on
-            state = f"FAILED {type(e).__name__} {str(e)[:1500]}"
+            state = f"FAILED {type(e).__name__} {str(e).strip()[-700:]}"
         bad += not (state == "ok" or state.endswith("no SQL"))
         print(f"{name:32s} {time.time() - start:6.1f}s {state}", flush=True)
     print("all agree" if not bad else f"{bad} problems")
