@@ -33,13 +33,7 @@ def assemble_scale(spec: PairSpec, scaled: bool = True) -> list:
 
 
 def _columns(spec: PairSpec, weight: str | None) -> dict:
-    names = dict(
-        featuresCol="features",
-        labelCol=spec.label,
-        rawPredictionCol="raw",
-        probabilityCol="probability",
-        predictionCol="prediction",
-    )
+    names = {"featuresCol": "features", "labelCol": spec.label}
     return {**names, "weightCol": weight} if weight else names
 
 
@@ -85,12 +79,7 @@ def build_models(
     classifiers = {
         "logistic": LogisticRegression(**columns),
         "random_forest": RandomForestClassifier(seed=seed, **columns),
-        "gbt": GBTClassifier(
-            maxIter=60,
-            stepSize=0.05,
-            seed=seed,
-            **columns,
-        ),
+        "gbt": GBTClassifier(maxIter=60, stepSize=0.05, seed=seed, **columns),
     }
     models = {}
     for name, values in grids.items():
@@ -122,7 +111,7 @@ def cross_validate(
     need not be on both sides.
     """
     auc = BinaryClassificationEvaluator(
-        labelCol=spec.label, rawPredictionCol="raw", metricName="areaUnderROC"
+        labelCol=spec.label, rawPredictionCol="rawPrediction", metricName="areaUnderROC"
     )
     fitted = {}
     for name, (pipeline, grid) in models.items():
