@@ -17,6 +17,7 @@ from termbridge.operators.retrieval import retrieve
 from termbridge.operators.skew import first_rows
 from termbridge.plans.mapping import map_records
 from termbridge.schemas import CANDIDATES, MapperConfig
+from termbridge.session import cut_lineage
 from termbridge.sources.writers import flat_results
 
 col = F.col
@@ -152,34 +153,42 @@ def parsed(spark, sf_dir):
     return resolve.parse_response(responses(spark, sf_dir))
 
 
-def verdicts(spark, sf_dir):
-    return resolve.validate_attempt(parsed(spark, sf_dir), candidates(spark, sf_dir))
+class Stage:
+    """The stand-in tables up to the verdicts, each written once."""
 
+    def __init__(self, spark, sf_dir):
+        self.universe = universe(spark, sf_dir)
+        self.records = cut_lineage(records(spark, sf_dir))
+        self.retrieved = cut_lineage(retrieved(spark, sf_dir))
+        self.candidates = cut_lineage(merge_candidates(self.records, self.retrieved, self.universe))
+        made = resolve.validate_attempt(parsed(spark, sf_dir), self.candidates)
+        self.verdicts = cut_lineage(made)
+        self.terminals = resolve.first_terminal_attempt(self.verdicts, ATTEMPTS)
 
-def terminals(spark, sf_dir):
-    return resolve.first_terminal_attempt(verdicts(spark, sf_dir), ATTEMPTS)
+    def finalised(self):
+        return resolve.finalise_selection(self.terminals, self.records)
 
+    def canonical(self):
+        return resolve.canonical_multi_map(self.finalised(), self.universe)
 
-def chosen(spark, sf_dir):
-    selections = resolve.finalise_selection(terminals(spark, sf_dir), records(spark, sf_dir))
-    return resolve.canonical_multi_map(selections, universe(spark, sf_dir))
+    def salvaged(self):
+        return resolve.salvage(self.records, self.terminals, self.candidates, ATTEMPTS)
 
+    def asked(self, attempts):
+        base = prompts.selection_prompts(self.records, self.candidates, "RULES")
+        return prompts.corrective_messages(self.verdicts, base, attempts)
 
-def salvaged(spark, sf_dir):
-    return resolve.salvage(
-        records(spark, sf_dir), terminals(spark, sf_dir), candidates(spark, sf_dir), ATTEMPTS
-    )
+    def results(self):
+        selections = self.canonical().unionByName(self.salvaged())
+        return resolve.assemble_result(self.records, selections, self.candidates, self.retrieved)
 
 
 def results(spark, sf_dir):
-    selections = chosen(spark, sf_dir).unionByName(salvaged(spark, sf_dir))
-    return resolve.assemble_result(
-        records(spark, sf_dir), selections, candidates(spark, sf_dir), retrieved(spark, sf_dir)
-    )
+    return Stage(spark, sf_dir).results()
 
 
 def first_terminal_attempt(spark, sf_dir):
-    return terminals(spark, sf_dir).select(
+    return Stage(spark, sf_dir).terminals.select(
         "record_id",
         col("terminal.attempt_index").alias("attempt_index"),
         col("terminal.verdict").alias("verdict"),
@@ -220,15 +229,10 @@ def synonym_prompts(spark, sf_dir):
     return lines.select("record_id", "pos", "m.role", "m.content")
 
 
-def _asked(spark, sf_dir):
-    base = prompts.selection_prompts(records(spark, sf_dir), candidates(spark, sf_dir), "RULES")
-    return prompts.corrective_messages(verdicts(spark, sf_dir), base, 3)
-
-
 def corrective_messages(spark, sf_dir):
     """How many messages each attempt was sent, and the last one's role and text."""
     last = F.element_at("messages", -1)
-    return _asked(spark, sf_dir).select(
+    return Stage(spark, sf_dir).asked(3).select(
         "record_id",
         "attempt_index",
         F.size("messages").alias("n_messages"),
@@ -239,8 +243,9 @@ def corrective_messages(spark, sf_dir):
 
 def attempt_audit(spark, sf_dir):
     """The log of every record's attempts, one row per entry."""
-    schemas = prompts.response_schema(records(spark, sf_dir), candidates(spark, sf_dir))
-    log = resolve.attempt_audit(verdicts(spark, sf_dir), _asked(spark, sf_dir), schemas, ATTEMPTS)
+    stage = Stage(spark, sf_dir)
+    schemas = prompts.response_schema(stage.records, stage.candidates)
+    log = resolve.attempt_audit(stage.verdicts, stage.asked(ATTEMPTS), schemas, ATTEMPTS)
     entries = log.select("record_id", F.posexplode("attempts").alias("pos", "e"))
     return entries.select(
         "record_id",
@@ -279,7 +284,7 @@ def mapped(spark, sf_dir, audit=False):
     """The whole job: benchmark items mapped to documents."""
     model, documents = text_universe(spark, sf_dir)
     rows = items(spark, sf_dir).withColumn("direct_candidates", F.array().cast(CANDIDATES))
-    found = retrieve(rows, documents, model, 40)
+    found = cut_lineage(retrieve(rows, documents, model, 40))
     answers = _item_responses(spark, sf_dir, found)
     config = MapperConfig(retrieve_top_k=40, max_attempts=ATTEMPTS, audit=audit)
     return map_records(rows, documents, model, answers, config)
@@ -308,12 +313,13 @@ def map_records_audited(spark, sf_dir):
 
 
 def answer_violations(spark, sf_dir):
-    found = resolve.answer_violations(parsed(spark, sf_dir)).filter(F.size("violations") > 0)
+    read = cut_lineage(parsed(spark, sf_dir))
+    found = resolve.answer_violations(read).filter(F.size("violations") > 0)
     return found.select("record_id", "attempt_index", F.array_join("violations", ",").alias("violations"))
 
 
 QUERIES = {
-    "merge_candidates": lambda s, d: candidates(s, d),
+    "merge_candidates": candidates,
     "candidate_block": lambda s, d: prompts.candidate_block(records(s, d), candidates(s, d)).select(
         "record_id", "candidate_block", F.array_join("direct_codes", ",").alias("direct_codes")
     ),
@@ -322,14 +328,16 @@ QUERIES = {
     "synonym_prompts": synonym_prompts,
     "parse_response": lambda s, d: parsed(s, d).drop("raw_text"),
     "answer_violations": answer_violations,
-    "validate_attempt": lambda s, d: verdicts(s, d).select(
+    "validate_attempt": lambda s, d: Stage(s, d).verdicts.select(
         "record_id", "attempt_index", "best_match_icd10_code", "candidate_name", "candidate_source", "verdict"
     ),
     "first_terminal_attempt": first_terminal_attempt,
     "corrective_messages": corrective_messages,
-    "finalise_selection": lambda s, d: resolve.finalise_selection(terminals(s, d), records(s, d)),
-    "canonical_multi_map": lambda s, d: chosen(s, d).select("record_id", *resolve.MULTI_MAP_FIELDS),
-    "salvage": salvaged,
+    "finalise_selection": lambda s, d: Stage(s, d).finalised(),
+    "canonical_multi_map": lambda s, d: Stage(s, d)
+    .canonical()
+    .select("record_id", *resolve.MULTI_MAP_FIELDS),
+    "salvage": lambda s, d: Stage(s, d).salvaged(),
     "assemble_result": assemble_result,
     "attempt_audit": attempt_audit,
     "multi_map_filter": lambda s, d: multi_map_filter(flat_results(results(s, d))),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,6 +102,16 @@ def default_grid(first: int = 10, last: int = 94, step: int = 2) -> list[float]:
     return [i / 100 for i in range(first, last + 1, step)]
 
 
+def _steps_reached(score: Column, grid: Sequence[float], below: int = 0) -> Column:
+    """How many thresholds of the sorted grid ``score`` reaches, by halving the grid."""
+    if not grid:
+        return F.lit(below)
+    middle = len(grid) // 2
+    return F.when(
+        score >= F.lit(grid[middle]), _steps_reached(score, grid[middle + 1 :], below + middle + 1)
+    ).otherwise(_steps_reached(score, grid[:middle], below))
+
+
 def threshold_sweep(
     df: DataFrame,
     label: str,
@@ -118,7 +127,7 @@ def threshold_sweep(
     precision and recall 0.
     """
     grid = sorted(grid or default_grid())
-    reached = reduce(lambda a, b: a + b, [(F.col(score) >= F.lit(t)).cast("int") for t in grid])
+    reached = _steps_reached(F.col(score), grid)
     counts = (
         df.filter(F.col(score).isNotNull())
         .groupBy(reached.alias("reached"))

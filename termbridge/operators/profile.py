@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termbridge.operators.skew import HOT_ROWS, running_sums
 from termbridge.schemas import PairSpec
+from termbridge.session import cut_lineage
 
 
 def dataset_summary(df: DataFrame, spec: PairSpec) -> DataFrame:
@@ -47,16 +48,20 @@ def feature_describe(
     """
     keys = [*by, "feature"]
     values = long_features(df, features, by)
-    moments = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    # One row per feature and ``by`` value; the counts bound the groups below.
+    moments = cut_lineage(
+        values.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("count"),
+            F.avg("value").alias("mean"),
+            F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+        )
     )
+    largest = moments.agg(F.max("count")).first()[0] or 0
     counted = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    upto = running_sums(counted, keys, [F.col("value").asc()], {"upto": F.col("n")}, hot_rows)
-    # One row per feature and ``by`` value.
+    order = [F.col("value").asc()]
+    upto = running_sums(counted, keys, order, {"upto": F.col("n")}, hot_rows, largest)
     sizes = moments.select(*keys, "count")
     placed = upto.join(sizes, keys)
     quarters = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -104,25 +109,31 @@ def candidates_per_query(df: DataFrame, query: str) -> DataFrame:
     )
 
 
+FEW_GROUPS = 10_000
+
+
 def histogram(values: DataFrame, by: Sequence[str], bins: int = 30) -> DataFrame:
     """Equal-width bins over each group's own range, empty bins included.
 
-    ``values`` has columns ``by``, ``value`` and the weight ``n``. The last bin
-    holds its upper end; a group of equal values gets the range value -/+ 0.5.
+    ``values`` has columns ``by``, ``value`` and the weight ``n``; it is read once
+    for the ranges and once for the counts, and only counts are shuffled. The last
+    bin holds its upper end; a group of equal values gets the range value -/+ 0.5.
     """
     by = list(by)
     ends = values.groupBy(*by).agg(
         F.min("value").cast("double").alias("least"), F.max("value").cast("double").alias("most")
     )
     flat = F.col("least") == F.col("most")
-    # One row per group.
-    ranges = ends.select(
-        *by,
-        F.when(flat, F.col("least") - 0.5).otherwise(F.col("least")).alias("low"),
-        F.when(flat, F.col("most") + 0.5).otherwise(F.col("most")).alias("high"),
+    ranges = cut_lineage(
+        ends.select(
+            *by,
+            F.when(flat, F.col("least") - 0.5).otherwise(F.col("least")).alias("low"),
+            F.when(flat, F.col("most") + 0.5).otherwise(F.col("most")).alias("high"),
+        )
     )
     if by:
-        joined = values.join(ranges, by)
+        few = ranges.count() <= FEW_GROUPS
+        joined = values.join(F.broadcast(ranges) if few else ranges, by)
     else:
         joined = values.withColumns({c: ranges.select(c).scalar() for c in ("low", "high")})
     low, width = F.col("low"), (F.col("high") - F.col("low")) / F.lit(float(bins))
@@ -156,14 +167,11 @@ def class_conditional_histogram(
 ) -> DataFrame:
     """Density of every feature for each label, over that label's own range."""
     keys = ["feature", label]
-    values = long_features(df, features, [label])
-    counted = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    binned = histogram(counted, keys, bins)
-    totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
+    values = long_features(df, features, [label]).withColumn("n", F.lit(1).cast("long"))
+    binned = histogram(values, keys, bins)
+    total = F.sum("n").over(Window.partitionBy(*keys))  # of the bins of one group
     width = F.col("high") - F.col("low")
-    return binned.join(totals, keys).select(
-        *keys, "bin", "low", "high", "n", (F.col("n") / (F.col("total") * width)).alias("density")
-    )
+    return binned.withColumn("density", F.col("n") / (total * width))
 
 
 def accepted_errors(decisions: DataFrame, label: str) -> DataFrame:

@@ -231,10 +231,11 @@ def search_texts(
     texts: DataFrame, universe: DataFrame, model: PipelineModel, keys: Sequence[str], **search
 ) -> DataFrame:
     """Top codes for rows of (keys, text, k); equal texts are searched once, with the largest k."""
-    wanted = texts.groupBy("text").agg(F.max("k").alias("k"))
-    vectors = embed_text(model, wanted).withColumnRenamed("text", "query_text")
-    found = topk_inner_product(vectors, universe, F.col("k"), ["query_text"], **search)
-    joined = texts.join(found, texts["text"] == found["query_text"])
+    keyed = texts.withColumn("digest", F.md5("text"))
+    wanted = keyed.groupBy("digest").agg(F.first("text").alias("text"), F.max("k").alias("k"))
+    vectors = embed_text(model, wanted)
+    found = topk_inner_product(vectors, universe, F.col("k"), ["digest"], **search)
+    joined = keyed.select(*keys, "digest", "k").join(found, "digest")
     return joined.filter(F.col("rank") <= F.col("k")).select(*keys, "code", "score", "rank")
 
 

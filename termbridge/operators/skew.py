@@ -39,10 +39,21 @@ def running_sums(
     order: Sequence[Column],
     sums: Mapping[str, Column],
     hot_rows: int | None = HOT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of non-negative values within each group, in the
-    given total order. Group columns must not be null."""
-    if hot_rows is None or not has_hot_group(df, group, hot_rows):
+    given total order. Group columns must not be null.
+
+    ``largest`` is a bound on the group sizes if the caller knows one; else they
+    are counted. ``hot_rows=None`` says that all groups are small.
+    """
+    if hot_rows is None:
+        hot = False
+    elif largest is not None:
+        hot = largest > hot_rows
+    else:
+        hot = has_hot_group(df, group, hot_rows)
+    if not hot:
         w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: F.sum(c).over(w) for name, c in sums.items()})
 

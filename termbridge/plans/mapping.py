@@ -14,17 +14,21 @@ from termbridge.operators.candidates import merge_candidates
 from termbridge.operators.retrieval import retrieval_strategies, retrieve, strategy_summary
 from termbridge.operators.vectors import embed_text, fit_text_vectors
 from termbridge.schemas import MapperConfig
-from termbridge.session import cut_lineage
+from termbridge.session import cut_lineage, spread
 
 
 def embed_universe(universe: DataFrame, size: int = 256) -> tuple[PipelineModel, DataFrame]:
-    """Fit word weights on the universe's search texts and add ``embedding``."""
+    """Fit word weights on the universe's search texts and add ``embedding``.
+
+    The result is written once, as every search reads it.
+    """
     text = search_text(
         F.col("code").cast("string"), F.col("name"), F.col("synonyms"), F.col("description")
     )
-    described = universe.withColumn("text", text)
+    described = spread(universe.withColumn("text", text))
     model = fit_text_vectors(described, "text", size)
-    return model, embed_text(model, described, "text", "embedding").drop("text")
+    embedded = embed_text(model, described, "text", "embedding").drop("text")
+    return model, cut_lineage(embedded)
 
 
 def map_records(

@@ -44,3 +44,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute rows when they come in fewer partitions than there are cores.
+
+    For work that is heavy per row. Large inputs have many splits and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
