@@ -6,8 +6,8 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from termbridge.catalog import resolve_queries
-from termbridge.catalog.base import PAIRS_SQL, SPEC, cleaned, rounded, scored, table
+from termbridge.catalog import pair_queries, resolve_queries
+from termbridge.catalog.base import PAIRS_SQL, RANKED_SQL, SPEC, cleaned, rounded, scored, table
 from termbridge.catalog.resolve_queries import CUSTOMERS, RESOLVE
 from termbridge.catalog.vector_queries import SIZE, text_universe
 from termbridge.operators import compare, models, pairs, ranking
@@ -257,12 +257,32 @@ def model_comparison(spark, sf_dir):
 
 
 def isotonic_calibration(spark, sf_dir):
-    """Calibrated score of every pair."""
-    rows = cut_lineage(scored(spark, sf_dir))
+    """Calibrated score of every pair, from scores cut to two digits."""
+    cut = F.floor(col("score") * 100.0) / 100.0
+    rows = cut_lineage(scored(spark, sf_dir).withColumn("score", cut))
     fitted = models.fit_isotonic(rows, SPEC.label)
     return rounded(fitted.transform(rows).select(SPEC.query, SPEC.doc, "calibrated"))
 
 
+def evaluate(spark, sf_dir):
+    """All measures of the equal-weight score."""
+    return rounded(models.evaluate(scored(spark, sf_dir), SPEC, "baseline"))
+
+
+def read_result_csv(spark, sf_dir):
+    """A flat result of two runs' columns, one of them under an older category name."""
+    orders = table(spark, sf_dir, "orders")
+    older = F.when(col("o_orderstatus") == "F", "CLOSE_MATCH").otherwise("OTHER_MATCH")
+    path = _write(
+        orders.select(
+            F.concat(F.lit("  00"), col("o_orderkey").cast("string"), F.lit(" ")).alias("icd9_code"),
+            older.alias("mapping_category"),
+        ),
+        "old_results",
+    )
+    return readers.read_result_csv(spark, path)
+
+
 def evaluate_all(spark, sf_dir):
     """The whole evaluation with one logistic setting: coverage of its decisions."""
     run = evaluate_pairs(cleaned(spark, sf_dir), SPEC, {"logistic": {}}, folds=2)
@@ -278,6 +298,7 @@ QUERIES = {
     "write_results_jsonl": write_results_jsonl,
     "write_results_csv": write_results_csv,
     "write_audit_jsonl": write_audit_jsonl,
+    "read_result_csv": read_result_csv,
     "write_eval_outputs": write_eval_outputs,
     "save_index": save_index,
     "compare_join": _joined,
@@ -286,6 +307,7 @@ QUERIES = {
     "confidence_distribution": lambda s, d: compare.confidence_distribution(_joined(s, d)),
     "case_check": lambda s, d: compare.case_check(_joined(s, d), "7", "2-HIGH"),
     "assemble_scale": assemble_scale,
+    "evaluate": evaluate,
     "logistic": _report("logistic"),
     "random_forest": _report("random_forest"),
     "gbt": _report("gbt"),
@@ -309,7 +331,7 @@ joined AS (
   SELECT icd9_code, a.icd9_name AS icd9_name_baseline, a.selected_code AS selected_code_baseline,
          a.selected_name AS selected_name_baseline, a.confidence AS confidence_baseline,
          b.icd9_name AS icd9_name_synonym, b.selected_code AS selected_code_synonym,
-         b.selected_name AS selected_name_synonym, b.confidence AS confidence_synonym
+         b.selected_name AS selected_name_synonym, b.confidence AS confidence_synonym, 1::BIGINT AS n_pairs
   FROM ({_RUN.format("ASC")}) a JOIN ({_RUN.format("DESC")}) b USING (icd9_code)),
 levels AS (SELECT * FROM (VALUES ('strong', 3), ('medium', 2), ('weak', 1)) AS t (level, n)),
 changed AS (
@@ -375,4 +397,32 @@ SELECT '7' AS icd9_code, '2-HIGH' AS expected, CASE coalesce(min(
        WHEN 1 THEN 'found_by_second' WHEN 2 THEN 'already_in_first' WHEN 3 THEN 'neither' ELSE 'not_in_set' END AS outcome
 FROM joined WHERE icd9_code = '7'""",
     "assemble_scale": f"WITH {PAIRS_SQL} SELECT query_id, doc_id, {_Z} FROM pairs",
+    "read_result_csv": """
+SELECT '00' || o_orderkey AS icd9_code,
+       CASE WHEN o_orderstatus = 'F' THEN 'DIRECT_MATCH' ELSE 'OTHER_MATCH' END AS mapping_category FROM orders""",
+    "evaluate": f"""WITH {RANKED_SQL}, {pair_queries.CELLS},
+by_score AS (SELECT score, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg FROM scored GROUP BY score),
+above AS (SELECT *, coalesce(sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM by_score),
+auc AS (SELECT sum(neg * (above + pos / 2)) / (sum(pos) * sum(neg)) AS auc FROM above),
+means AS (SELECT avg(ap) AS map, avg(rr) AS mrr, avg(top1) AS p_at_k, avg(top1) AS top1_accuracy FROM measures)
+SELECT 'baseline' AS model, tn, fp, fn, tp, round((tp + tn) / (tp + tn + fp + fn)::DOUBLE, 6) AS accuracy,
+       round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / (tp + fn)::DOUBLE, 6) AS recall,
+       round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1, round(tp / (tp + fn)::DOUBLE, 6) AS sensitivity,
+       round(tn / (tn + fp)::DOUBLE, 6) AS specificity, round(tp / (tp + fp)::DOUBLE, 6) AS ppv,
+       round(tn / (tn + fn)::DOUBLE, 6) AS npv, round(auc, 6) AS auc, round(map, 6) AS map, round(mrr, 6) AS mrr,
+       round(p_at_k, 6) AS p_at_k, round(top1_accuracy, 6) AS top1_accuracy
+FROM cells, auc, means""",
+    # The fitted value of a point: over all starts at or below it, the largest of the least
+    # means of the runs from there that reach it.
+    "isotonic_calibration": f"""WITH {PAIRS_SQL},
+cut AS (SELECT query_id, doc_id, label, floor(score * 100.0::DOUBLE) / 100.0::DOUBLE AS s FROM scored),
+points AS (
+  SELECT s, row_number() OVER (ORDER BY s) AS i, sum(sum(label)) OVER (ORDER BY s) AS p, sum(count(*)) OVER (ORDER BY s) AS n
+  FROM cut GROUP BY s),
+runs AS (
+  SELECT a.i AS a, b.i AS b, (b.p - coalesce(z.p, 0))::DOUBLE / (b.n - coalesce(z.n, 0)) AS m
+  FROM points a JOIN points b ON a.i <= b.i LEFT JOIN points z ON z.i = a.i - 1),
+least AS (SELECT x.i, a, min(m) AS m FROM points x JOIN runs ON a <= x.i AND x.i <= b GROUP BY 1, 2),
+fitted AS (SELECT i, max(m) AS calibrated FROM least GROUP BY i)
+SELECT query_id, doc_id, round(calibrated, 6) AS calibrated FROM cut JOIN points USING (s) JOIN fitted USING (i)""",
 }

@@ -170,6 +170,11 @@ def within_block(spark, sf_dir):
     return retrieval.within_block(lines, "part", "supplier", 2)
 
 
+def sharing_token(spark, sf_dir):
+    pairs = retrieval.sharing_token(_turn_pairs(spark, sf_dir), "text", "next_text")
+    return pairs.select("conv_id", "turn")
+
+
 QUERIES = {
     "parse_pipe_candidates": parse_pipe_candidates,
     "parse_tagged_candidates": parse_tagged_candidates,
@@ -192,6 +197,7 @@ QUERIES = {
     .groupBy(retrieval.block_key(col("p_type")).alias("block"))
     .agg(F.count(F.lit(1)).alias("n")),
     "within_block": within_block,
+    "sharing_token": sharing_token,
 }
 
 TURNS = """
@@ -260,6 +266,7 @@ FROM counts""",
     "dice_tokens": f"""WITH {TURNS}
 SELECT conv_id, turn, CASE WHEN na + nb = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * common / (na + nb) END AS dice_tokens
 FROM counts""",
+    "sharing_token": f"WITH {TURNS} SELECT conv_id, turn FROM counts WHERE common > 0",
     "levenshtein_ratio": """
 WITH names AS (
   SELECT DISTINCT l_partkey, l_suppkey, p_name || ' ' || lower(p_type) AS a, lower(s_name) AS b

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termbridge.functions.text import strip
 from termbridge.schemas import CONFIDENCE_LEVELS
 
 COMPARED = ["icd9_name", "selected_code", "selected_name", "confidence"]
@@ -13,13 +14,20 @@ COMPARED = ["icd9_name", "selected_code", "selected_name", "confidence"]
 def compare_join(
     first: DataFrame, second: DataFrame, on: str = "icd9_code", suffixes=("_baseline", "_synonym")
 ) -> DataFrame:
-    """Inner join of two runs on the trimmed code, columns marked by run."""
+    """Inner join of two runs on the trimmed code, columns marked by run.
+
+    Equal rows of a run are counted before the join, so copies of a code are not
+    paired one by one; ``n_pairs`` says how many pairs of input rows a row stands for.
+    """
 
     def side(df: DataFrame, suffix: str) -> DataFrame:
-        others = [F.col(c).alias(c + suffix) for c in COMPARED if c in df.columns]
-        return df.select(F.trim(on).alias(on), *others)
+        others = [c for c in COMPARED if c in df.columns]
+        rows = df.select(strip(F.col(on)).alias(on), *[F.col(c).alias(c + suffix) for c in others])
+        return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(f"n{suffix}"))
 
-    return side(first, suffixes[0]).join(side(second, suffixes[1]), on)
+    a, b = suffixes
+    joined = side(first, a).join(side(second, b), on)
+    return joined.withColumn("n_pairs", F.col(f"n{a}") * F.col(f"n{b}")).drop(f"n{a}", f"n{b}")
 
 
 def confidence_order(confidence: Column) -> Column:
@@ -47,10 +55,10 @@ def compare_summary(joined: DataFrame, suffixes=("_baseline", "_synonym")) -> Da
     rose = confidence_order(F.col(f"confidence{b}")) - confidence_order(F.col(f"confidence{a}"))
 
     def count(condition: Column) -> Column:
-        return F.coalesce(F.sum(condition.cast("long")), F.lit(0))
+        return F.coalesce(F.sum(F.when(condition, F.col("n_pairs"))), F.lit(0))
 
     counts = joined.agg(
-        F.count(F.lit(1)).alias("n_joined"),
+        count(F.lit(True)).alias("n_joined"),
         count(differs).alias("n_different"),
         count(differs & (rose > 0)).alias("n_improvement"),
         count(differs & (rose < 0)).alias("n_regression"),
@@ -68,9 +76,9 @@ def confidence_distribution(joined: DataFrame, suffixes=("_baseline", "_synonym"
             for s in suffixes
         ]
     )
-    rows = joined.select(F.explode(runs).alias("r")).select("r.run", "r.confidence")
+    rows = joined.select(F.explode(runs).alias("r"), "n_pairs").select("r.*", "n_pairs")
     counted = rows.filter(F.col("confidence").isNotNull()).groupBy("run", "confidence")
-    return counted.agg(F.count(F.lit(1)).alias("n")).orderBy("run", F.col("n").desc(), "confidence")
+    return counted.agg(F.sum("n_pairs").alias("n")).orderBy("run", F.col("n").desc(), "confidence")
 
 
 def case_check(

@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termbridge.functions.similarity import token_set
 from termbridge.functions.text import query_text, query_variants
 from termbridge.operators.skew import HOT_ROWS, number_rows
 from termbridge.operators.vectors import embed_text
 
 BROADCAST_BYTES = 128 << 20
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 64 << 20
 SCORES_PER_STEP = 1 << 22
 
 
@@ -422,6 +423,12 @@ def block_key(code: Column, length: int = 3) -> Column:
     return F.substring(code, 1, length)
 
 
+def sharing_token(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """Pairs whose two texts have a word in common; only the given pairs are looked at."""
+    shared = F.arrays_overlap(token_set(F.col(left)), token_set(F.col(right)))
+    return pairs.filter(shared)
+
+
 def within_block(pairs: DataFrame, left: str, right: str, length: int = 3) -> DataFrame:
     """Pairs whose two codes lie in the same block, with the block."""
     same = block_key(F.col(left), length) == block_key(F.col(right), length)

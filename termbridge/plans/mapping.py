@@ -40,7 +40,7 @@ def map_records(
     synonyms: DataFrame | None = None,
     **search,
 ) -> DataFrame:
-    """Retrieve, merge, judge the answers and return one result per record, by record_id.
+    """Retrieve, merge, judge the answers and return one result per record.
 
     ``universe`` has code, name and embedding; ``responses`` has record_id,
     attempt_index and raw_text from a batch model run. The merged candidates are

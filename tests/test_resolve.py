@@ -254,6 +254,10 @@ def test_comparison(spark):
         schema,
     )
     joined = compare.compare_join(a, b)
+    copies = compare.compare_join(a.union(a), b.union(b).union(b))
+    assert copies.count() == joined.count()
+    row = compare.compare_summary(copies).first()
+    assert (row.n_joined, row.n_different, row.n_regression) == (30, 18, 6)
     changes = {r.icd9_code: r.change for r in compare.compare_diff(joined).collect()}
     assert changes == {"099": "improvement", "2": "regression", "4": "same"}
     row = compare.compare_summary(joined).first()
