@@ -6,9 +6,11 @@ candidates, and each of their orders is an answer to one attempt.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
-from termbridge.catalog.base import rounded, table
+from termbridge.catalog.base import table
 from termbridge.catalog.vector_queries import EMBED, ITEMS, items, text_universe
 from termbridge.operators import prompts, resolve
 from termbridge.operators.candidates import merge_candidates
@@ -44,10 +46,10 @@ def universe(spark, sf_dir):
     return known.select(_text("p_partkey").alias("code"), col("p_name").alias("name"))
 
 
-def retrieved(spark, sf_dir):
+def retrieved(bought):
     """The ten dearest parts of every customer."""
     order = [col("score").desc(), col("code").asc()]
-    top = first_rows(_bought(spark, sf_dir), ["record_id"], order, 10)
+    top = first_rows(bought, ["record_id"], order, 10)
     listed = top.groupBy("record_id").agg(
         F.array_sort(F.collect_list(F.struct((-col("score")).alias("s"), "code"))).alias("l")
     )
@@ -57,11 +59,10 @@ def retrieved(spark, sf_dir):
     )
 
 
-def records(spark, sf_dir):
+def records(spark, sf_dir, bought):
     """Customers with their three cheapest parts as direct candidates, under odd names."""
-    cheap = first_rows(
-        _bought(spark, sf_dir), ["record_id"], [col("score").asc(), col("code").asc()], 3
-    )
+    order = [col("score").asc(), col("code").asc()]
+    cheap = first_rows(bought, ["record_id"], order, 3)
     given = (
         F.when(col("p_size") > 45, F.concat(F.lit("Unspecified "), col("p_type")))
         .when(col("p_size") >= 5, col("p_type"))
@@ -145,10 +146,6 @@ def responses(spark, sf_dir):
     return numbered.select("record_id", "attempt_index", text.alias("raw_text"))
 
 
-def candidates(spark, sf_dir):
-    return merge_candidates(records(spark, sf_dir), retrieved(spark, sf_dir), universe(spark, sf_dir))
-
-
 def parsed(spark, sf_dir):
     return resolve.parse_response(responses(spark, sf_dir))
 
@@ -157,13 +154,24 @@ class Stage:
     """The stand-in tables up to the verdicts, each written once."""
 
     def __init__(self, spark, sf_dir):
+        self.spark, self.sf_dir = spark, sf_dir
+        bought = cut_lineage(_bought(spark, sf_dir))
         self.universe = universe(spark, sf_dir)
-        self.records = cut_lineage(records(spark, sf_dir))
-        self.retrieved = cut_lineage(retrieved(spark, sf_dir))
-        self.candidates = cut_lineage(merge_candidates(self.records, self.retrieved, self.universe))
-        made = resolve.validate_attempt(parsed(spark, sf_dir), self.candidates)
-        self.verdicts = cut_lineage(made)
-        self.terminals = resolve.first_terminal_attempt(self.verdicts, ATTEMPTS)
+        self.records = cut_lineage(records(spark, sf_dir, bought))
+        self.retrieved = cut_lineage(retrieved(bought))
+
+    @cached_property
+    def candidates(self):
+        return cut_lineage(merge_candidates(self.records, self.retrieved, self.universe))
+
+    @cached_property
+    def verdicts(self):
+        made = parsed(self.spark, self.sf_dir)
+        return cut_lineage(resolve.validate_attempt(made, self.candidates))
+
+    @cached_property
+    def terminals(self):
+        return resolve.first_terminal_attempt(self.verdicts, ATTEMPTS)
 
     def finalised(self):
         return resolve.finalise_selection(self.terminals, self.records)
@@ -217,14 +225,29 @@ def assemble_result(spark, sf_dir):
     )
 
 
+def candidate_block(spark, sf_dir):
+    stage = Stage(spark, sf_dir)
+    blocks = prompts.candidate_block(stage.records, stage.candidates)
+    return blocks.withColumn("direct_codes", F.array_join("direct_codes", ","))
+
+
+def response_schema(spark, sf_dir):
+    stage = Stage(spark, sf_dir)
+    return prompts.response_schema(stage.records, stage.candidates)
+
+
 def selection_prompts(spark, sf_dir):
-    asked = prompts.selection_prompts(records(spark, sf_dir), candidates(spark, sf_dir), "RULES")
+    stage = Stage(spark, sf_dir)
+    asked = prompts.selection_prompts(stage.records, stage.candidates, "RULES")
     lines = asked.select("record_id", F.posexplode("messages").alias("pos", "m"))
     return lines.select("record_id", "pos", "m.role", "m.content")
 
 
 def synonym_prompts(spark, sf_dir):
-    asked = prompts.synonym_prompts(records(spark, sf_dir), "RULES")
+    customers = table(spark, sf_dir, "customer").select(
+        col("c_custkey").alias("record_id"), col("c_name").alias("code"), col("c_mktsegment").alias("name")
+    )
+    asked = prompts.synonym_prompts(customers, "RULES")
     lines = asked.select("record_id", F.posexplode("messages").alias("pos", "m"))
     return lines.select("record_id", "pos", "m.role", "m.content")
 
@@ -319,12 +342,10 @@ def answer_violations(spark, sf_dir):
 
 
 QUERIES = {
-    "merge_candidates": candidates,
-    "candidate_block": lambda s, d: prompts.candidate_block(records(s, d), candidates(s, d)).select(
-        "record_id", "candidate_block", F.array_join("direct_codes", ",").alias("direct_codes")
-    ),
+    "merge_candidates": lambda s, d: Stage(s, d).candidates,
+    "candidate_block": candidate_block,
     "selection_prompts": selection_prompts,
-    "response_schema": lambda s, d: prompts.response_schema(records(s, d), candidates(s, d)),
+    "response_schema": response_schema,
     "synonym_prompts": synonym_prompts,
     "parse_response": lambda s, d: parsed(s, d).drop("raw_text"),
     "answer_violations": answer_violations,

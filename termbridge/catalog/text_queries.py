@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from termbridge.catalog.base import rounded, table
 from termbridge.functions import similarity, text
 from termbridge.operators import retrieval, vectors
+from termbridge.session import spread
 
 col = F.col
 
@@ -140,7 +141,7 @@ def levenshtein_ratio(spark, sf_dir):
 
 
 def cosine_tfidf_word(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"))
     scored = vectors.cosine_tfidf_word(
         _turn_pairs(spark, sf_dir), "text", "next_text", documents, "doc_id", "text"
     )

@@ -9,6 +9,7 @@ from termbridge.functions import similarity
 from termbridge.operators import assign, ranking, retrieval, vectors
 
 from termbridge.plans import mapping
+from termbridge.session import spread
 
 col = F.col
 K = 10
@@ -106,7 +107,7 @@ SIZE = 256
 
 
 def _documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         col("doc_id").cast("string").alias("code"),
         col("text").alias("name"),
         F.array(col("lang")).alias("synonyms"),

@@ -47,9 +47,10 @@ def shuffle_width(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute rows when they come in fewer partitions than there are cores.
+    """Redistribute a scan that has fewer splits than there are cores.
 
-    For work that is heavy per row. Large inputs have many splits and stay as they are.
+    For work that is heavy per row. Large inputs have many splits and stay as they
+    are. Meant for plain scans: asking a plan with shuffles for its partitions runs them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

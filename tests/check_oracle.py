@@ -1,6 +1,6 @@
 """Run registered queries and their SQL on the same tables and report differences.
 
-usage: python tests/check_oracle.py [sf_dir] [query ...]
+usage: python tests/check_oracle.py [--plain] [sf_dir] [query ...]
 """
 
 from __future__ import annotations
@@ -64,6 +64,14 @@ def main():
     from conftest import session
 
     args = sys.argv[1:]
+    if args[:1] == ["--plain"]:  # a session without any settings
+
+        def session():
+            from pyspark.sql import SparkSession
+
+            return SparkSession.builder.master("local[8]").getOrCreate()
+
+        args.pop(0)
     sf_dir = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
     spark = session()
     con = connect(sf_dir)
