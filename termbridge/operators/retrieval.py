@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from termbridge.functions.similarity import token_set
 from termbridge.functions.text import query_text, query_variants
-from termbridge.operators.skew import HOT_ROWS, number_rows
+from termbridge.operators.skew import HOT_ROWS, first_rows, number_rows
 from termbridge.operators.vectors import embed_text
 
 BROADCAST_BYTES = 128 << 20
@@ -180,11 +180,12 @@ def topk_inner_product(
         return pa.table(empty)
 
     found = left.groupBy("qb", "ub").cogroup(right.groupBy("qb", "ub")).applyInArrow(cell, schema)
-    limits = asked.select(*ids, "k") if not isinstance(k, int) else None
+    # A query has at most k rows from each block of the universe.
     w = Window.partitionBy(*ids).orderBy(F.col("score").desc(), F.col("code").asc())
     ranked = found.drop("rank").withColumn("rank", F.row_number().over(w))
-    if limits is None:
+    if isinstance(k, int):
         return ranked.filter(F.col("rank") <= k)
+    limits = asked.select(*ids, "k")
     return ranked.join(limits, ids).filter(F.col("rank") <= F.col("k")).drop("k")
 
 
@@ -208,8 +209,7 @@ def merge_by_best_score(
     order = [F.col("score").desc(), F.col("code").asc()]
     if k is None:
         return number_rows(best, record, order, "rank", hot_rows)
-    w = Window.partitionBy(*record).orderBy(*order)
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return first_rows(best, record, order, k, "rank")
 
 
 def multi_query_topk(

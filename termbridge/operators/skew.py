@@ -94,12 +94,20 @@ def number_rows(
 
 
 def first_rows(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int = 1
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int = 1, name: str | None = None
 ) -> DataFrame:
-    """The first ``n`` rows of each group.
+    """The first ``n`` rows of each group, with their number if ``name`` is given.
 
-    Spark cuts each map task's share of a group to ``n`` rows before the shuffle
-    (window group limit, for n up to 1000 by default), so large groups shrink first.
+    Up to a limit on ``n``, Spark cuts each map task's share of a group to ``n`` rows
+    before the shuffle (window group limit), so large groups shrink first. Beyond
+    that limit the rows are numbered like any others.
     """
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("row", F.row_number().over(w)).filter(F.col("row") <= n).drop("row")
+    number = name or "row"
+    threshold = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if n <= int(df.sparkSession.conf.get(threshold, "1000")):
+        w = Window.partitionBy(*group).orderBy(*order)
+        numbered = df.withColumn(number, F.row_number().over(w))
+    else:
+        numbered = number_rows(df, group, order, number, HOT_ROWS)
+    first = numbered.filter(F.col(number) <= n)
+    return first if name else first.drop(number)

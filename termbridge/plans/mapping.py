@@ -12,6 +12,7 @@ from termbridge.functions.text import search_text
 from termbridge.operators import prompts, resolve
 from termbridge.operators.candidates import merge_candidates
 from termbridge.operators.retrieval import retrieval_strategies, retrieve, strategy_summary
+from termbridge.operators.skew import first_rows
 from termbridge.operators.vectors import embed_text, fit_text_vectors
 from termbridge.schemas import MapperConfig
 from termbridge.session import cut_lineage
@@ -53,6 +54,8 @@ def map_records(
     retrieved = cut_lineage(retrieve(records, universe, model, top_k, expanded, **search))
     candidates = cut_lineage(merge_candidates(records, retrieved, universe))
     made = responses.filter(F.col("attempt_index") < config.max_attempts)
+    # Copies of an answer count once, so a record has few rows from here on.
+    made = first_rows(made, ["record_id", "attempt_index"], [F.col("raw_text").asc()])
     verdicts = cut_lineage(resolve.validate_attempt(resolve.parse_response(made), candidates))
     terminals = resolve.first_terminal_attempt(verdicts, config.max_attempts)
     chosen = resolve.canonical_multi_map(resolve.finalise_selection(terminals, records), universe)

@@ -207,6 +207,16 @@ def test_running_sums_are_the_same_in_slices(scored):
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, sliced.collect()))
 
 
+def test_first_rows_beyond_the_group_limit(scored, monkeypatch):
+    order = [F.col("s").desc(), F.col("d").asc()]
+    want = expected_ranks(scored)
+    for n, hot in ((3, 2_000_000), (1200, 2_000_000), (1200, 50)):
+        monkeypatch.setattr(skew, "HOT_ROWS", hot)
+        rows = skew.first_rows(scored, ["q"], order, n, "at").collect()
+        kept = want[want["rank"] <= n]
+        assert {(r.q, r.d, r["at"]) for r in rows} == set(zip(kept.q, kept.d, kept["rank"]))
+
+
 def test_weights_and_sampling(scored):
     weighted = models.class_weights(scored, "y")
     sums = {r.y: r.w for r in weighted.groupBy("y").agg(F.sum("weight").alias("w")).collect()}
