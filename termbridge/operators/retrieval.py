@@ -17,7 +17,7 @@ from termbridge.functions.text import query_text, query_variants
 from termbridge.operators.skew import HOT_ROWS, first_rows, number_rows
 from termbridge.operators.vectors import embed_text
 
-BROADCAST_BYTES = 128 << 20
+BROADCAST_BYTES = 256 << 20
 BLOCK_BYTES = 64 << 20
 SCORES_PER_STEP = 1 << 22
 
@@ -46,22 +46,35 @@ def _exact_scores(q: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarr
     return out
 
 
-def _best(q: np.ndarray, x: np.ndarray, ks: np.ndarray) -> tuple[np.ndarray, ...]:
+class _Offered:
+    """The universe, or a block of it, in code order and ready for products."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        table = table.take(pc.sort_indices(table, sort_keys=[("code", "ascending")]))
+        self.codes = table["code"].combine_chunks()
+        self.x = _matrix(table["vec"])
+        self.single = self.x.astype(np.float32)
+        self.longest = np.linalg.norm(self.x, axis=1).max()
+
+
+def _best(q: np.ndarray, ks: np.ndarray, offered: _Offered) -> tuple[np.ndarray, ...]:
     """(row, column, score, rank) of the best ``ks[row]`` columns of every row.
 
     Columns are in code order, so equal scores go to the lower code. A single
     precision product finds who can be among the best; the margin covers its
     rounding error, and the survivors are scored again in double precision.
     """
-    q32, x32 = q.astype(np.float32), x.astype(np.float32)
-    lengths = np.linalg.norm(q, axis=1) * (np.linalg.norm(x, axis=1).max() if len(x) else 0.0)
+    x, n = offered.x, len(offered.x)
+    single = q.astype(np.float32)
+    lengths = np.linalg.norm(q, axis=1) * offered.longest
     margin = 4.0 * (q.shape[1] + 4) * np.finfo(np.float32).eps * lengths
-    k = min(int(ks.max()), len(x))
+    k = min(int(ks.max()), n)
     parts = []
-    step = max(1, SCORES_PER_STEP // max(1, len(x)))
+    step = max(1, SCORES_PER_STEP // n)
     for at in range(0, len(q), step):
-        rough = q32[at : at + step] @ x32.T
-        floor = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k]
+        rough = single[at : at + step] @ offered.single.T
+        floor = np.partition(rough, n - k, axis=1)[:, n - k]
         rows, cols = np.nonzero(rough >= (floor - margin[at : at + step])[:, None])
         rows += at
         scores = _exact_scores(q, x, rows, cols)
@@ -73,24 +86,15 @@ def _best(q: np.ndarray, x: np.ndarray, ks: np.ndarray) -> tuple[np.ndarray, ...
     return tuple(np.concatenate(column) for column in zip(*parts))
 
 
-def _search(queries: pa.Table, codes: pa.Array, x: np.ndarray, ids: Sequence[str]) -> pa.Table:
-    q = _matrix(queries["vec"])
-    ks = queries["k"].to_numpy()
-    rows, cols, scores, ranks = _best(q, x, ks)
-    columns = {c: queries[c].combine_chunks().take(pa.array(rows)) for c in ids}
-    columns["code"] = codes.take(pa.array(cols))
+def _search(asked: pa.Table, offered: _Offered, ids: Sequence[str]) -> pa.Table:
+    rows, cols, scores, ranks = _best(_matrix(asked["vec"]), asked["k"].to_numpy(), offered)
+    columns = {c: asked[c].combine_chunks().take(pa.array(rows)) for c in ids}
+    columns["code"] = offered.codes.take(pa.array(cols))
     columns["score"] = pa.array(scores)
     columns["rank"] = pa.array(ranks.astype(np.int32))
     return pa.table(columns)
 
 
-def _sorted_universe(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
-    table = table.combine_chunks()
-    table = table.take(pc.sort_indices(table, sort_keys=[("code", "ascending")]))
-    codes = table["code"].combine_chunks()
-    return codes, _matrix(table["vec"])
-
-
 def topk_inner_product(
     queries: DataFrame,
     universe: DataFrame,
@@ -139,13 +143,13 @@ def topk_inner_product(
     if method == "broadcast":
         if universe_bytes > broadcast_bytes:
             raise ValueError("the universe is larger than broadcast_bytes")
-        shared = spark.sparkContext.broadcast(_sorted_universe(offered.toArrow()))
+        shared = spark.sparkContext.broadcast(offered.toArrow())
 
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            codes, x = shared.value
+            prepared = _Offered(shared.value)
             for batch in batches:
                 if batch.num_rows:
-                    found = _search(pa.Table.from_batches([batch]), codes, x, ids)
+                    found = _search(pa.Table.from_batches([batch]), prepared, ids)
                     yield from found.to_batches(max_chunksize=1 << 16)
 
         return asked.mapInArrow(stream, schema)
@@ -168,11 +172,8 @@ def topk_inner_product(
     )
 
     def cell(asked_here: pa.Table, offered_here: pa.Table) -> pa.Table:
-        if not asked_here.num_rows or not offered_here.num_rows:
-            return schema_table(asked_here, offered_here)
-        return _search(asked_here, *_sorted_universe(offered_here), ids)
-
-    def schema_table(asked_here: pa.Table, offered_here: pa.Table) -> pa.Table:
+        if asked_here.num_rows and offered_here.num_rows:
+            return _search(asked_here, _Offered(offered_here), ids)
         empty = {c: asked_here[c].slice(0, 0) for c in ids}
         empty["code"] = offered_here["code"].slice(0, 0)
         empty["score"] = pa.array([], pa.float64())
