@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termbridge.operators.skew import first_rows
 from termbridge.session import cut_lineage
@@ -75,71 +76,126 @@ def _solve_block(edges: pd.DataFrame) -> pd.DataFrame:
     return edges[chosen[q] == d]
 
 
-def _auction(edges: DataFrame, eps: float) -> DataFrame:
-    """Assignment of blocks too large for one task, by rounds of bids over all of them.
+def _bid(listed: pd.DataFrame, size: int, eps: float) -> pd.DataFrame:
+    """Let the queries of one task bid until each has a doc or finds none worth its price.
 
-    Every free query bids for the doc with the highest score minus price; the
-    highest bid takes the doc. Prices only rise, by at least ``eps``, so a query
-    leaves for good once no doc is worth its price. The total is within ``eps``
-    per query of the best. Every round's prices are written out.
+    Rows are the best edges of a block's queries at the prices so far. Row ``size + 1``
+    of a query, if there is one, is not bid on: no unlisted doc is worth more than it,
+    so a query whose listed docs fall below that value waits for a new list.
+    """
+    listed = listed.sort_values(["query", "at"], ignore_index=True)
+    docs, doc = np.unique(listed["doc"].to_numpy(), return_inverse=True)
+    first = np.flatnonzero(listed["at"].to_numpy() == 1)
+    ends = np.append(first[1:], len(listed))
+    at, score = listed["at"].to_numpy(), listed["score"].to_numpy()
+    price = np.zeros(len(docs))
+    price[doc] = listed["price"].to_numpy()
+    owner = np.full(len(docs), -1)
+    own = listed["own"].to_numpy()
+    lists, floors = [], []
+    for i, (begin, end) in enumerate(zip(first, ends)):
+        cut = at[end - 1] > size
+        floors.append(max(0.0, score[end - 1] - price[doc[end - 1]]) if cut else 0.0)
+        lists.append((doc[begin : end - cut], score[begin : end - cut]))
+        if own[begin]:
+            owner[doc[begin]] = i
+    free = [i for i, begin in enumerate(first) if not own[begin]]
+    while free:
+        i = free.pop()
+        wanted, worth = lists[i]
+        net = worth - price[wanted]
+        best = int(np.argmax(net))
+        value = net[best]
+        net[best] = floors[i]
+        second = max(floors[i], float(net.max()))
+        if value <= 0.0 or value < floors[i]:
+            continue
+        taken = wanted[best]
+        price[taken] += value - second + eps
+        if owner[taken] >= 0:
+            free.append(int(owner[taken]))
+        owner[taken] = i
+    held = np.flatnonzero(owner >= 0)
+    return pd.DataFrame(
+        {
+            "block": listed["block"].to_numpy()[first[owner[held]]],
+            "query": listed["query"].to_numpy()[first[owner[held]]],
+            "doc": docs[held],
+            "price": price[held],
+        }
+    )
+
+
+def _auction(edges: DataFrame, eps: float, size: int, task_rows: int) -> DataFrame:
+    """Assignment of blocks too large for one exact solution, by rounds of bids.
+
+    In each round every query brings its ``size`` best edges at the present prices.
+    A block of at most ``task_rows`` such rows is one task's work, which settles it but
+    for queries that need a longer list; the queries of a larger block are spread
+    over several tasks, differently each time. A task bids for its queries as if
+    alone; of the tasks that want a doc, the highest bid takes it. Prices only rise, so
+    a holder that was not outbid stays within ``eps`` of its best doc, and so does the
+    total per query. Each round's lists and holders are written out. The last round
+    has no query left that is without a doc and has one worth its price.
     """
-    keys = ["block", "doc"]
     edges = cut_lineage(edges)
-    docs = None
+    keys = ["block", "doc"]
+    schema = T.StructType(
+        [edges.schema[c] for c in ("block", "query", "doc")] + [T.StructField("price", T.DoubleType())]
+    )
+
+    def bid(part: pd.DataFrame) -> pd.DataFrame:
+        return _bid(part, size, eps)
+
+    held = edges.sparkSession.createDataFrame([], schema)
+    turn = 0
     while True:
-        free, price = edges, F.lit(0.0)
-        if docs is not None:
-            owners = docs.select("block", F.col("owner").alias("query"))
-            free = edges.join(owners, ["block", "query"], "left_anti").join(
-                docs.select(*keys, "price"), keys, "left"
-            )
-            price = F.coalesce("price", F.lit(0.0))
-        worth = free.withColumn("price", price).withColumn("net", F.col("score") - F.col("price"))
-        worth = worth.filter(F.col("net") > 0)
-        two = first_rows(worth, ["block", "query"], [F.col("net").desc(), F.col("doc").asc()], 2)
-        wanted = two.groupBy("block", "query").agg(
-            F.max("net").alias("first"),
-            F.when(F.count(F.lit(1)) > 1, F.min("net")).otherwise(F.lit(0.0)).alias("second"),
-            F.min_by(F.struct("doc", "price"), F.struct(-F.col("net"), F.col("doc"))).alias("at"),
-        )
-        bids = wanted.select(
+        holders = held.select(*keys, "price", F.col("query").alias("holder"))
+        own = F.coalesce(F.col("holder") == F.col("query"), F.lit(False))
+        priced = edges.join(holders, keys, "left").select(
             "block",
-            F.col("at.doc").alias("doc"),
             "query",
-            (F.col("at.price") + F.col("first") - F.col("second") + F.lit(eps)).alias("bid"),
+            "doc",
+            "score",
+            F.coalesce("price", F.lit(0.0)).alias("price"),
+            own.alias("own"),
         )
-        won = cut_lineage(
-            bids.groupBy(*keys).agg(
-                F.max("bid").alias("bid"),
-                F.min_by("query", F.struct(-F.col("bid"), F.col("query"))).alias("winner"),
-            )
-        )
-        if won.isEmpty():
+        net = F.col("score") - F.col("price")
+        order = [F.col("own").desc(), net.desc(), F.col("doc").asc()]
+        open_edges = priced.filter(F.col("own") | (net > 0))
+        listed = cut_lineage(first_rows(open_edges, ["block", "query"], order, size + 1, "at"))
+        state = listed.filter("at = 1").agg(F.count_if(~F.col("own")).alias("free")).first()
+        if not state["free"]:
             break
-        if docs is None:
-            docs = won.select(*keys, F.col("bid").alias("price"), F.col("winner").alias("owner"))
-        else:
-            docs = cut_lineage(
-                docs.join(won, keys, "full_outer").select(
-                    *keys,
-                    F.coalesce("bid", "price").alias("price"),
-                    F.coalesce("winner", "owner").alias("owner"),
-                )
+        rows = listed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+        parts = rows.select("block", F.ceil(F.col("n") / task_rows).alias("parts"))
+        part = F.pmod(F.xxhash64("query", F.lit(turn)), F.col("parts")).alias("part")
+        tasks = listed.join(parts, "block").withColumn("part", part)
+        bids = tasks.groupBy("block", "part").applyInPandas(bid, schema)
+        held = cut_lineage(
+            bids.groupBy(*keys)
+            .agg(
+                F.max("price").alias("price"),
+                F.min_by("query", F.struct(-F.col("price"), F.col("query"))).alias("query"),
             )
-    if docs is None:
-        return edges
-    taken = docs.select(*keys, F.col("owner").alias("query"))
-    return edges.join(taken, ["block", "query", "doc"], "left_semi")
+            .select("block", "query", "doc", "price")
+        )
+        turn += 1
+    return edges.join(held.select("block", "query", "doc"), ["block", "query", "doc"], "left_semi")
 
 
 def one_to_one_assignment(
-    edges: DataFrame, eps: float = 0.01, block_cells: int = BLOCK_CELLS
+    edges: DataFrame,
+    eps: float = 0.01,
+    block_cells: int = BLOCK_CELLS,
+    list_size: int = 64,
+    task_rows: int = 4_000_000,
 ) -> DataFrame:
     """Edges (block, query, doc, score) of highest total score with no query or doc twice.
 
     Edges that score 0 or less are never chosen, and pairs without an edge cannot be.
-    A block is solved exactly in one task if its queries times docs are at most
-    ``block_cells``; larger blocks share rounds of a distributed auction.
+    A block is solved exactly in one task if its queries times places are at most
+    ``block_cells``; larger blocks share rounds of an auction spread over tasks.
     """
     edges = edges.select("block", "query", "doc", "score").filter(F.col("score") > 0)
     edges = edges.groupBy("block", "query", "doc").agg(F.max("score").alias("score"))
@@ -156,4 +212,5 @@ def one_to_one_assignment(
         return edges.groupBy("block").applyInPandas(_solve_block, edges.schema)
     small = edges.join(large, "block", "left_anti")
     solved = small.groupBy("block").applyInPandas(_solve_block, edges.schema)
-    return solved.unionByName(_auction(edges.join(large, "block", "left_semi"), eps))
+    rest = edges.join(large, "block", "left_semi")
+    return solved.unionByName(_auction(rest, eps, list_size, task_rows))

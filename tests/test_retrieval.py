@@ -183,10 +183,17 @@ def edges(spark):
     return rows, spark.createDataFrame(rows, "block int, query int, doc int, score double")
 
 
-@pytest.mark.parametrize("cells,eps,slack", [(4_000_000, 0.01, 1e-9), (12, 0.05, 0.05 * 5)])
-def test_assignment_against_brute_force(edges, cells, eps, slack):
+@pytest.mark.parametrize(
+    "settings,slack",
+    [
+        ({}, 1e-9),
+        ({"block_cells": 12, "eps": 0.05}, 0.25),
+        ({"block_cells": 0, "eps": 0.02, "list_size": 2, "task_rows": 20}, 0.1),
+    ],
+)
+def test_assignment_against_brute_force(edges, settings, slack):
     rows, df = edges
-    chosen = assign.one_to_one_assignment(df, eps, cells).collect()
+    chosen = assign.one_to_one_assignment(df, **settings).collect()
     mutual = assign.mutual_best(df.filter("score > 0")).collect()
     given = {(b, q, d): s for b, q, d, s in rows}
     for block in range(25):
