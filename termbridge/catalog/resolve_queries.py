@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from termbridge.catalog.base import table
 from termbridge.catalog.vector_queries import EMBED, ITEMS, items, text_universe
+from termbridge.functions import similarity
 from termbridge.operators import prompts, resolve
 from termbridge.operators.candidates import merge_candidates
 from termbridge.operators.compare import multi_map_filter
 from termbridge.operators.retrieval import retrieve
-from termbridge.operators.skew import first_rows
+from termbridge.operators.skew import first_rows, number_rows
 from termbridge.plans.mapping import map_records
 from termbridge.schemas import CANDIDATES, MapperConfig
 from termbridge.session import cut_lineage
@@ -93,20 +94,17 @@ def records(spark, sf_dir, bought):
 
 
 def responses(spark, sf_dir):
-    """The first three orders of every customer as answers: some cut off, some incomplete,
-    some with an unknown field, some that choose a part the customer has among the candidates."""
+    """Every order of a customer as an answer: some cut off, some incomplete, some with
+    an unknown field, some that choose a part the customer has among the candidates."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.min("l_partkey").cast("string").alias("least"), F.max("l_partkey").cast("string").alias("most")
     )
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"
     )
-    first = first_rows(orders, ["o_custkey"], [col("o_orderkey").asc()], 3)
     numbered = (
-        first.groupBy("o_custkey")
-        .agg(F.array_sort(F.collect_list(F.struct(*[c for c in first.columns if c != "o_custkey"]))).alias("l"))
-        .select(col("o_custkey").alias("record_id"), F.posexplode("l").alias("attempt_index", "o"))
-        .select("record_id", "attempt_index", "o.*")
+        number_rows(orders, ["o_custkey"], [col("o_orderkey").asc()], "nth")
+        .withColumns({"record_id": col("o_custkey"), "attempt_index": col("nth") - 1})
         .join(lines, col("o_orderkey") == col("l_orderkey"), "left")
     )
     priority, price = col("o_orderpriority"), col("o_totalprice")
@@ -283,23 +281,30 @@ def attempt_audit(spark, sf_dir):
 
 
 def _item_responses(spark, sf_dir, found):
-    """Answers that choose the retrieved code at rank 1 + key mod 45: too low a rank gives
-    no answer. The first answer of every third item cannot be read."""
-    picked = found.filter(col("rank") == 1 + col("record_id") % 45)
-    tries = picked.withColumn("attempt_index", F.explode(F.array(F.lit(0), F.lit(1))))
+    """Two answers per item that choose the retrieved code at the rank of the item's word
+    count: none for items longer than the list. The first answer cannot be read where
+    the item has several lines."""
+    sized = items(spark, sf_dir).select(
+        "record_id",
+        F.size(similarity.word_list(col("name"))).alias("rank"),
+        F.contains("name", F.lit("\n")).alias("lines"),
+        F.startswith("name", F.lit("T")).alias("unsure"),
+    )
+    tries = found.join(sized, ["record_id", "rank"]).withColumn(
+        "attempt_index", F.explode(F.array(F.lit(0), F.lit(1)))
+    )
     answer = F.to_json(
         F.struct(
             col("code").alias("best_match_icd10_code"),
             F.lit("").alias("best_match_icd10_name"),
-            F.when(col("record_id") % 4 == 0, "no_confident_match").otherwise("strong").alias("confidence"),
+            F.when(col("unsure"), "no_confident_match").otherwise("strong").alias("confidence"),
             F.lit("fits").alias("rationale"),
             F.lit("OTHER_MATCH").alias("mapping_category"),
             F.lit("EXACT").alias("match_specificity"),
             F.lit("N/A").alias("external_choice_reason"),
         )
     )
-    unreadable = (col("attempt_index") == 0) & (col("record_id") % 3 == 0)
-    text = F.when(unreadable, F.lit("sorry")).otherwise(answer)
+    text = F.when((col("attempt_index") == 0) & col("lines"), F.lit("sorry")).otherwise(answer)
     return tries.select("record_id", "attempt_index", text.alias("raw_text"))
 
 
@@ -387,7 +392,7 @@ ends AS (SELECT l_orderkey, min(l_partkey)::VARCHAR AS least, max(l_partkey)::VA
 tried AS (
   SELECT o_custkey AS record_id, *,
          (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INTEGER AS attempt_index
-  FROM orders QUALIFY attempt_index < 3),
+  FROM orders),
 judged AS (
   SELECT *, CASE
       WHEN o_orderstatus = 'P' THEN 'Invalid JSON returned'
@@ -537,13 +542,14 @@ retrieved AS (SELECT record_id, code, score, rank FROM texts JOIN ranked USING (
 answers AS (
   SELECT record_id, t AS attempt_index, CASE WHEN bad THEN 'Invalid JSON returned' END AS error,
     CASE WHEN NOT bad THEN code END AS best_match_icd10_code, CASE WHEN NOT bad THEN '' END AS best_match_icd10_name,
-    CASE WHEN bad THEN NULL WHEN record_id % 4 = 0 THEN 'no_confident_match' ELSE 'strong' END AS confidence,
+    CASE WHEN bad THEN NULL WHEN unsure THEN 'no_confident_match' ELSE 'strong' END AS confidence,
     CASE WHEN NOT bad THEN 'fits' END AS rationale, CASE WHEN NOT bad THEN 'OTHER_MATCH' END AS mapping_category,
     CASE WHEN NOT bad THEN 'EXACT' END AS match_specificity, CASE WHEN NOT bad THEN 'N/A' END AS external_choice_reason,
     false AS is_multi_map, NULL::VARCHAR AS more_broad_icd10_code, NULL::VARCHAR AS more_broad_icd10_name,
     NULL::VARCHAR AS closest_exact_icd10_code, NULL::VARCHAR AS closest_exact_icd10_name
-  FROM (SELECT *, t = 0 AND record_id % 3 = 0 AS bad FROM retrieved CROSS JOIN (SELECT unnest([0, 1]) AS t)
-        WHERE rank = 1 + record_id % 45)),
+  FROM (SELECT retrieved.*, t, t = 0 AND contains(name, chr(10)) AS bad, name[1] = 'T' AS unsure
+        FROM retrieved JOIN items USING (record_id) CROSS JOIN (SELECT unnest([0, 1]) AS t)
+        WHERE rank = len(words))),
 {RESOLVE},
 lists AS (SELECT record_id, count(*)::INTEGER AS n_allowed FROM candidates GROUP BY 1),
 sizes AS (SELECT record_id, count(*)::INTEGER AS retrieved_top_k FROM retrieved GROUP BY 1)"""
@@ -596,7 +602,7 @@ noted AS (
     last_value({_NOTE} IGNORE NULLS) OVER w AS line
   FROM verdicts WINDOW w AS (PARTITION BY record_id ORDER BY attempt_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT record_id, attempt_index, (n + 2)::INTEGER AS n_messages, CASE WHEN n = 0 THEN 'user' ELSE 'system' END AS role,
-       line FROM noted""",
+       line FROM noted WHERE attempt_index < 3""",
     "finalise_selection": f"{_CUSTOMER} SELECT * FROM finalised",
     "canonical_multi_map": f"{_CUSTOMER} SELECT record_id, {', '.join(resolve.MULTI_MAP_FIELDS)} FROM canonical",
     "salvage": f"{_CUSTOMER} SELECT * FROM salvaged",
