@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termbridge.operators.pairs import clean_pairs, equal_weight_score
 from termbridge.schemas import PairSpec
+from termbridge.session import cut_lineage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return equal_weight_score(cleaned(spark, sf_dir), SPEC.features)
 
 
+def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored pairs written once, for operators that read them more than once."""
+    return cut_lineage(scored(spark, sf_dir))
+
+
 RAW_SQL = """
 raw AS (
   SELECT l_orderkey AS query_id, l_linenumber AS doc_id,

@@ -16,9 +16,11 @@ from termbridge.catalog.base import (
     raw_pairs,
     rounded,
     scored,
+    settled,
     table,
 )
 from termbridge.operators import metrics, models, pairs, profile, ranking
+from termbridge.session import cut_lineage
 
 Q, S, D, L = SPEC.query, "score", SPEC.doc, SPEC.label
 THRESHOLD = 0.5
@@ -53,12 +55,12 @@ def synthetic_pairs(spark, sf_dir):
 
 
 def class_weights(spark, sf_dir):
-    weighted = models.class_weights(cleaned(spark, sf_dir), L)
+    weighted = models.class_weights(settled(spark, sf_dir), L)
     return weighted.select(Q, D, L, "weight")
 
 
 def downsample_negatives(spark, sf_dir):
-    return models.downsample_negatives(cleaned(spark, sf_dir), L, [Q, D], 1.0).select(Q, D, L)
+    return models.downsample_negatives(settled(spark, sf_dir), L, [Q, D], 1.0).select(Q, D, L)
 
 
 def most_uncertain(spark, sf_dir):
@@ -67,7 +69,7 @@ def most_uncertain(spark, sf_dir):
 
 
 def ranked_lists(spark, sf_dir):
-    lists = ranking.ranked_lists(scored(spark, sf_dir), Q, S, D, L)
+    lists = ranking.ranked_lists(settled(spark, sf_dir), Q, S, D, L)
     return lists.select(
         Q, "part", F.array_join("docs", ",").alias("docs"), F.array_join("truth", ",").alias("truth")
     )
@@ -82,11 +84,11 @@ QUERIES = {
     "label_sanity": lambda s, d: pairs.label_sanity(cleaned(s, d), SPEC),
     "synthetic_pairs": synthetic_pairs,
     "dataset_summary": lambda s, d: rounded(profile.dataset_summary(cleaned(s, d), SPEC)),
-    "feature_describe": lambda s, d: rounded(profile.feature_describe(cleaned(s, d), SPEC.features)),
+    "feature_describe": lambda s, d: rounded(profile.feature_describe(settled(s, d), SPEC.features)),
     "candidates_per_query": lambda s, d: rounded(profile.candidates_per_query(raw_pairs(s, d), Q)),
     "group_size_histogram": lambda s, d: rounded(profile.group_size_histogram(raw_pairs(s, d), Q)),
     "class_conditional_histogram": lambda s, d: rounded(
-        profile.class_conditional_histogram(cleaned(s, d), SPEC.features, L)
+        profile.class_conditional_histogram(settled(s, d), SPEC.features, L)
     ),
     "confusion_matrix": lambda s, d: metrics.confusion_matrix(_labelled(s, d), L, "pred"),
     "classification_metrics": lambda s, d: rounded(
@@ -102,23 +104,23 @@ QUERIES = {
     "error_summary": lambda s, d: rounded(profile.error_summary(_decisions(s, d), L)),
     "worst_errors": lambda s, d: profile.worst_errors(_decisions(s, d), L, S, Q, 20).select(Q, D, S),
     "error_analysis": lambda s, d: rounded(
-        profile.error_analysis(_decisions(s, d), L, SPEC.features)
+        profile.error_analysis(cut_lineage(_decisions(s, d)), L, SPEC.features)
     ),
-    "rank_candidates": lambda s, d: ranking.rank_candidates(scored(s, d), Q, S, D).select(Q, D, "rank"),
+    "rank_candidates": lambda s, d: ranking.rank_candidates(settled(s, d), Q, S, D).select(Q, D, "rank"),
     "best_per_query": lambda s, d: ranking.best_per_query(scored(s, d), Q, S, D).select(Q, D, S, L),
     "top1_accuracy": lambda s, d: rounded(ranking.top1_accuracy(scored(s, d), Q, S, D, L)),
     "mean_average_precision": lambda s, d: rounded(
-        ranking.mean_average_precision(scored(s, d), Q, S, D, L)
+        ranking.mean_average_precision(settled(s, d), Q, S, D, L)
     ),
     "mean_reciprocal_rank": lambda s, d: rounded(
-        ranking.mean_reciprocal_rank(scored(s, d), Q, S, D, L)
+        ranking.mean_reciprocal_rank(settled(s, d), Q, S, D, L)
     ),
     "precision_at_k": lambda s, d: rounded(ranking.precision_at_k(scored(s, d), Q, S, D, L, 3)),
     "precision_at_fixed_k": lambda s, d: rounded(
         ranking.precision_at_k(scored(s, d), Q, S, D, L, 3, divide_by_k=True)
     ),
     "ranked_lists": ranked_lists,
-    "ranking_report": lambda s, d: rounded(ranking.ranking_report(scored(s, d), Q, S, D, L)),
+    "ranking_report": lambda s, d: rounded(ranking.ranking_report(settled(s, d), Q, S, D, L)),
     "decide": lambda s, d: _decisions(s, d).select(Q, D, S, L, "accept"),
     "top_rows": lambda s, d: ranking.top_rows(
         scored(s, d), [F.col(S).desc(), F.col(Q), F.col(D)], 100
