@@ -5,8 +5,8 @@ parsed from left to right into the longest phrases that occur in the sample of a
 language needing the fewest phrases, each weighed by the bits that name a place in its sample, wins.
 All symbols of a text are parsed: texts are cut into stretches of ``STRETCH`` symbols, and the
 stretches of many texts take their steps together. A text belongs to no language, and is
-rejected, if the best language needs more bits per symbol than naming symbols one by one by their
-frequency in that language's sample.
+rejected, if even the best language's phrases, the last one aside, need more bits than naming the symbols
+one by one out of the alphabet.
 
 Only letters (A-Z and others lower-cased) and single spaces between them count.
 """
@@ -108,13 +108,11 @@ class LanguageModel:
         found, counts = np.unique(everything[everything != 0], return_counts=True)
         chosen = found[np.lexsort((found, -counts))][:ALPHABET]
         self.symbols = {int(c): k + 1 for k, c in enumerate(chosen)}
-        self.tables, self.bits, self.limit = [], [], []
+        self.tables, self.bits = [], []
         for name in self.languages:
             own = self.encode(codes[name])
             self.tables.append(automaton(own.tolist(), ALPHABET + 2))
-            share = np.bincount(own, minlength=ALPHABET + 2) / max(len(own), 1)
             self.bits.append(float(np.log2(max(len(own), 2))))
-            self.limit.append(float(-(share[share > 0] * np.log2(share[share > 0])).sum()))
 
     def encode(self, codes: np.ndarray) -> np.ndarray:
         if not hasattr(self, "_table"):
@@ -203,27 +201,26 @@ def identify(documents: DataFrame, model: LanguageModel, text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        costs, limits = np.array(m.bits), np.array(m.limit)
+        costs = np.array(m.bits)
         for batch in batches:
             for part in arrays.pieces(batch, "text"):
                 codes, offsets = letters_of(part.column("text").to_pylist())
                 sizes = np.diff(offsets)
                 n = len(sizes)
                 if not m.languages:
-                    best, bits, score = np.zeros(n, int), np.full(n, np.nan), np.zeros(n)
                     sizes = np.zeros(n, int)
+                    best, bits, score, accepted = sizes, sizes.astype(float), sizes.astype(float), sizes > 0
                 else:
                     weighed = m.phrases(m.encode(codes), offsets) * costs
                     best = weighed.argmin(axis=1)
                     least = weighed[np.arange(n), best]
                     bits = least / np.maximum(sizes, 1)
-                    score = np.ones(n)
+                    score, accepted = np.ones(n), (sizes > 0) & (least - costs[best] < np.log2(ALPHABET + 2) * sizes)
                     if len(m.languages) > 1:
                         second = np.partition(weighed, 1, axis=1)[:, 1]
                         score = 1 - least / np.maximum(second, 1e-9)
                 some = sizes > 0
                 names = [m.languages[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist())]
-                accepted = some & (bits < limits[best]) if m.languages else some
                 columns = [
                     pa.array(names, pa.string()),
                     pa.array(np.where(some, score, 0.0)),

@@ -109,16 +109,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
     rows = pages.select(col(page_id).alias("page_id"), col(url).alias("url"), *([col(html).alias("html")] if html else []))
     placed = rows.select("page_id", "url", host(col("url")).alias("host"), path(col("url")).alias("path"))
     rules = rules.groupBy("rule").agg(F.min("verdict").alias("verdict"))  # "allow" comes before "block"
-    names = placed.select("host", "path").distinct().withColumn("key", F.concat("host", "path"))
-    ruled = with_rule(names, rules, "key").select("host", "path", "rule", "own")
-
     links = None
     if html:
         links = page_links(rows)
     if redirects is not None:
         known = redirects.select("source", "target")
         links = known if links is None else links.union(known)
-    judged = placed.withColumn("alias", alias_key(col("url"))).join(ruled, ["host", "path"], "left")
+    # The ends of links have a say even if they are no pages of the table.
+    ends = placed.where("false").select("url") if links is None else links.select(F.explode(F.array("source", "target")).alias("url"))
+    ends = ends.select("url", host(col("url")).alias("host"), path(col("url")).alias("path"))
+    names = placed.select("host", "path").union(ends.select("host", "path")).distinct()
+    ruled = with_rule(names.withColumn("key", F.concat("host", "path")), rules, "key").select("host", "path", "rule", "own")
+    nodes = placed.withColumn("page", F.lit(True)).unionByName(ends.withColumn("page", F.lit(False)), allowMissingColumns=True)
+    judged = nodes.withColumn("alias", alias_key(col("url"))).join(ruled, ["host", "path"], "left")
     if links is not None:
         edges = links.select(alias_key(col("source")).alias("a"), alias_key(col("target")).alias("b"))
         found = connected_components(edges)
@@ -130,4 +133,4 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
     # A component is allowed by one explicit allow, else blocked by one block: the least verdict.
     said = judged.where("own IS NOT NULL AND group IS NOT NULL").groupBy("group").agg(F.min("own").alias("told"))
     verdict = F.coalesce("own", "told", F.lit("allow"))
-    return judged.join(said, "group", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    return judged.where("page").join(said, "group", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
