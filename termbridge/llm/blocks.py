@@ -7,13 +7,16 @@ words of other blocks, in buckets by hash, so a word in every document costs a r
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
 
 from termbridge.llm import arrays
+from termbridge.session import scratch_path
 
 BLOCK_BYTES = 8 << 20
 
@@ -47,6 +50,14 @@ def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) ->
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def placed(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets of its keys: a join on them leaves it where it is."""
+    name = f"blocks_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(buckets, *keys).option("path", scratch_path(df.sparkSession, name))
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def block_number(n: int) -> int:
     """A number for the n-th block of this task."""
     from pyspark import TaskContext

@@ -24,8 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termbridge.llm.blocks import block_number, pack, ranked, text_blocks, unpack
-from termbridge.session import cut_lineage, shuffle_width
+from termbridge.llm.blocks import block_number, pack, placed, ranked, text_blocks, unpack
+from termbridge.session import shuffle_width
 
 col = F.col
 # Unicode's White_Space, which `\\s` stands for in the tokenizer's pattern.
@@ -113,7 +113,7 @@ def _encode_bucket(shared, pattern: str):
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
             codes, buckets, lengths = unpack(row["codes"]), unpack(row["buckets"]), unpack(row["lengths"])
             order = np.argsort(buckets, kind="stable")  # the buckets' lists, one after the other
             replies = sorted(row["replies"] or [], key=lambda r: r["bucket"])
@@ -149,7 +149,7 @@ def encode_texts(documents: DataFrame, ranks: str, pattern: str, doc_id: str = "
     pattern = own_pattern(pattern)
     shared = spark.sparkContext.broadcast(read_ranks(ranks))  # as large as the vocabulary
     given = documents.select(col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").alias("text"))
-    table = cut_lineage(given.mapInArrow(_blocks(pattern, n_buckets), BLOCKS))
+    table = placed(given.mapInArrow(_blocks(pattern, n_buckets), BLOCKS), shuffle_width(documents), "block")
     asked = table.where("bucket IS NOT NULL").select("block", "bucket", "words")
     told = asked.groupBy("bucket").applyInPandas(_encode_bucket(shared, pattern), "block long, bucket int, sizes binary, ids binary")
     replies = told.groupBy("block").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("replies"))
