@@ -46,7 +46,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
     """The batch in slices of about ``limit`` text bytes, whole rows each, so that work arrays stay small."""
     if not batch.num_rows:
         return
