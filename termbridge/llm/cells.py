@@ -113,13 +113,13 @@ class Forest:
         apart = self.root[i] != self.root[j]
         taken = []
         for a, b in zip(i[apart].tolist(), j[apart].tolist()):
-            x, y = self._find(a), self._find(b)
+            x, y = self.find(a), self.find(b)
             if x != y:
                 self.root[max(x, y)] = min(x, y)
                 taken.append((a, b))
         return taken
 
-    def _find(self, a: int) -> int:
+    def find(self, a: int) -> int:
         while self.root[a] != a:
             self.root[a] = self.root[self.root[a]]
             a = int(self.root[a])

@@ -10,8 +10,9 @@ the threshold by their full sets. Only verified links count.
 
 Work: one pass over the texts; then a row of signatures per distinct set and shared band; then
 the texts that may have a link. Within a band's group only a forest of likely links is tested
-first; after that only pairs whose ends are still in different components, so a large group of
-copies costs one test per row, not one per pair. Equal sets are one class from the start.
+first, so a large group of copies costs one test per row, not one per pair. What is still apart
+after that is compared by full sets within the bands' groups, and only links are written.
+Equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ col = F.col
 WIDTH = 5
 PERMUTATIONS = 80
 BAND = 5  # values of a band
-BLOCK = 4096  # rows of a cell that are compared in one piece
+BLOCK = 4096  # rows of a cell whose signatures are compared in one piece
+EXACT_BLOCK = 256  # rows of a cell whose full sets are
 SURE, LIKELY = 0.82, 0.6  # estimates: tested first, tested at all (0.75 is 4.4 deviations above)
 NUMERATOR, DENOMINATOR = 3, 4  # a link: intersection / union >= 3 / 4
 SKETCH = "doc_id long, digest long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
@@ -112,17 +114,57 @@ def _likely_forest(table: pa.Table, ends: np.ndarray, _cells: np.ndarray) -> pa.
     return _pairs_of(table.column("id").to_numpy(), found)
 
 
-def _likely_between(table: pa.Table, ends: np.ndarray, _cells: np.ndarray) -> pa.RecordBatch:
-    """Per cell, all likely pairs whose ends lie in different components."""
+def _likely_rows(table: pa.Table, ends: np.ndarray, _cells: np.ndarray) -> pa.RecordBatch:
+    """Per cell, the rows with a likely partner in another component."""
     signatures, sizes = _signatures(table), table.column("n_shingles").to_numpy()
     crossing = table.column("part_a").to_numpy() != table.column("part_b").to_numpy()
-    side, group, found = table.column("side").to_numpy(), table.column("component").to_numpy(), []
+    side, group, found = table.column("side").to_numpy(), table.column("component").to_numpy(), np.zeros(table.num_rows, bool)
     for i, j in pair_steps(ends, crossing, side):
         apart = group[i] != group[j]
         i, j = i[apart], j[apart]
         likely = _estimates(signatures, sizes, i, j) >= LIKELY
-        found += zip(i[likely].tolist(), j[likely].tolist())
-    return _pairs_of(table.column("id").to_numpy(), found)
+        found[i[likely]] = found[j[likely]] = True
+    cells, ids = table.column("cell").to_numpy()[found], table.column("id").to_numpy()[found]
+    return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(ids)], ["cell", "id"])
+
+
+def _links_between(table: pa.Table, ends: np.ndarray, _cells: np.ndarray) -> pa.RecordBatch:
+    """Per cell, links by the full sets that tie different components; a pair is tested in its first common band."""
+    signatures, sizes = _signatures(table), table.column("n_shingles").to_numpy()
+    crossing = table.column("part_a").to_numpy() != table.column("part_b").to_numpy()
+    side, ids, cells = (table.column(c).to_numpy() for c in ("side", "id", "cell"))
+    bands = np.array(table.column("bands").to_pylist(), np.int64)
+    sets = []
+    for part in table.select(["text"]).combine_chunks().to_batches():
+        for piece in arrays.pieces(part, "text"):
+            sets += _sets(piece)
+    _, group = np.unique(table.column("component").to_numpy(), return_inverse=True)
+    same, found = Forest(int(group.max()) + 1), []
+    for i, j in pair_steps(ends, crossing, side):
+        apart = group[i] != group[j]
+        i, j = i[apart], j[apart]
+        likely = _estimates(signatures, sizes, i, j) >= LIKELY
+        i, j = i[likely], j[likely]
+        shared = bands[i] == bands[j]
+        first = bands[i, shared.argmax(axis=1)] == cells[i]
+        for x, y in zip(i[first].tolist(), j[first].tolist()):
+            if same.find(group[x]) != same.find(group[y]) and _reach(sets[x], sets[y]):
+                same.needed(group[[x]], group[[y]])
+                found.append((x, y))
+    return _pairs_of(ids, found)
+
+
+def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The sorted set of each text."""
+    hashes, offsets = arrays.shingles(*arrays.words(*arrays.flat(batch.column("text")))[:2], batch.num_rows, WIDTH)
+    return [np.unique(hashes[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+
+
+def _reach(known: np.ndarray, own: np.ndarray) -> bool:
+    """Whether two sets are linked."""
+    at = np.searchsorted(known, own)
+    same = int((known[np.minimum(at, len(known) - 1)] == own).sum())
+    return DENOMINATOR * same >= NUMERATOR * (len(known) + len(own) - same)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,19 +172,15 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     centre, known = None, None
     for batch in batches:
         for part in arrays.pieces(batch, "text"):
-            hashes, offsets = arrays.shingles(*arrays.words(*arrays.flat(part.column("text")))[:2], part.num_rows, WIDTH)
             a, salt, b = (part.column(c).to_pylist() for c in ("a", "salt", "b"))
             kept = []
-            for k in range(part.num_rows):
-                own = np.unique(hashes[offsets[k] : offsets[k + 1]])
+            for k, own in enumerate(_sets(part)):
                 if b[k] is None:
                     centre, known = (a[k], salt[k]), own
                     continue
                 if centre != (a[k], salt[k]):
                     raise ValueError("a pair came without the text of its first document")
-                at = np.searchsorted(known, own)
-                same = int((known[np.minimum(at, len(known) - 1)] == own).sum())
-                if DENOMINATOR * same >= NUMERATOR * (len(known) + len(own) - same):
+                if _reach(known, own):
                     kept.append((a[k], b[k]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x for x, _ in kept], pa.int64()), pa.array([y for _, y in kept], pa.int64())], ["a", "b"]
@@ -192,10 +230,12 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     found = connected_components(links)
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "id"))
-    between = in_cells(placed, _likely_between, "a long, b long").distinct().join(likely, ["a", "b"], "left_anti")
-    more = cut_lineage(verify(cut_lineage(between), texts))
-    if more.take(1):
-        found = connected_components(links.union(more))
+    between = cut_lineage(in_cells(placed, _likely_rows, "cell long, id long").distinct())
+    if between.take(1):
+        known = first.select("id", "n_shingles", "signature", "bands").join(placed.select("id", "component").distinct(), "id")
+        rows = split_cells(between, EXACT_BLOCK).join(known, "id").join(texts, "id")
+        more = cut_lineage(in_cells(rows, _links_between, "a long, b long").distinct())
+        found = connected_components(links.union(more)) if more.take(1) else found
 
     grouped = classes.join(found.withColumnRenamed("node", "id"), "id", "left")
     grouped = cut_lineage(grouped.withColumn("component", F.coalesce("component", "id")))
