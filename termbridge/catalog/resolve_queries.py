@@ -132,7 +132,7 @@ def responses(spark, sf_dir):
         ),
         {"ignoreNullFields": "false"},
     )
-    rest = F.substring(answer, 2, 100000)
+    rest = F.substr(answer, F.lit(2))
     text = (
         F.when(col("o_orderstatus") == "P", F.substring(answer, 1, 40))
         .when(price < 50000, F.concat(F.lit('{"extra":1,'), rest))

@@ -111,7 +111,7 @@ def cross_validate(
     need not be on both sides.
     """
     auc = BinaryClassificationEvaluator(
-        labelCol=spec.label, rawPredictionCol="rawPrediction", metricName="areaUnderROC"
+        labelCol=spec.label, rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0
     )
     fitted = {}
     for name, (pipeline, grid) in models.items():

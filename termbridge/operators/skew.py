@@ -42,7 +42,7 @@ def running_sums(
     largest: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of non-negative values within each group, in the
-    given total order. Group columns must not be null.
+    given total order. Nulls form a group like any other value.
 
     ``largest`` is a bound on the group sizes if the caller knows one; else they
     are counted. ``hot_rows=None`` says that all groups are small.
@@ -70,12 +70,15 @@ def running_sums(
     before = Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = local.groupBy("slice", *group).agg(*[F.max(n).alias(n) for n in sums])
     offsets = totals.select(
-        "slice",
-        *group,
+        F.col("slice").alias("__slice"),
+        *[F.col(g).alias(f"__group_{n}") for n, g in enumerate(group)],
         *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"before_{n}") for n in sums],
     )
+    met = F.col("slice") == F.col("__slice")
+    for n, g in enumerate(group):
+        met = met & F.col(g).eqNullSafe(F.col(f"__group_{n}"))
     return (
-        local.join(offsets, ["slice", *group])
+        local.join(offsets, met)
         .withColumns({n: F.col(n) + F.col(f"before_{n}") for n in sums})
         .select(*df.columns, *sums)
     )

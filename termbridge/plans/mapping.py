@@ -54,8 +54,8 @@ def map_records(
     retrieved = cut_lineage(retrieve(records, universe, model, top_k, expanded, **search))
     candidates = cut_lineage(merge_candidates(records, retrieved, universe))
     made = responses.filter(F.col("attempt_index") < config.max_attempts)
-    # Copies of an answer count once, so a record has few rows from here on.
-    made = first_rows(made, ["record_id", "attempt_index"], [F.col("raw_text").asc()])
+    # Copies of an answer count once, and a null copy never stands for an answer.
+    made = first_rows(made, ["record_id", "attempt_index"], [F.col("raw_text").asc_nulls_last()])
     verdicts = cut_lineage(resolve.validate_attempt(resolve.parse_response(made), candidates))
     terminals = resolve.first_terminal_attempt(verdicts, config.max_attempts)
     chosen = resolve.canonical_multi_map(resolve.finalise_selection(terminals, records), universe)

@@ -12,7 +12,7 @@ from termbridge.functions.text import (
     split_list,
     strip,
 )
-from termbridge.schemas import ANSWER
+from termbridge.schemas import ANSWER, PairSpec
 
 # Column names under which a records file may hold candidates, in order.
 CANDIDATE_COLUMNS = ["direct_candidates", "direct", "icd10_direct_candidates"]
@@ -127,18 +127,28 @@ def read_records_tsv(
 
 
 def read_pairs(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A pair table by its ending: .csv, .delta (if the connector is there), else Parquet."""
+    """A pair table by its ending: .csv, .delta (if the connector is there), else Parquet.
+
+    Without a schema the types of a CSV are inferred, but the columns of codes stay strings.
+    """
     if path.endswith(".csv"):
         reader = spark.read.option("header", True)
-        return reader.schema(schema).csv(path) if schema else reader.csv(path, inferSchema=True)
+        if not schema:
+            codes = {PairSpec().query, PairSpec().doc}
+            found = reader.csv(path, inferSchema=True).schema
+            schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in codes else f.dataType) for f in found])
+        return reader.schema(schema).csv(path)
     if path.endswith(".delta"):
         return spark.read.format("delta").load(path)
     return spark.read.parquet(path)
 
 
-def read_result_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A flat result, codes trimmed; the older category name is read as the present one."""
-    df = read_delimited(spark, path)
+def read_result_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A flat result, codes trimmed; the older category name is read as the present one.
+
+    Rationales may hold line breaks, so a part file is read by one task unless told otherwise.
+    """
+    df = read_delimited(spark, path, multi_line=multi_line)
     df = df.withColumn("icd9_code", strip(F.col("icd9_code")))
     if "mapping_category" in df.columns:
         present = F.when(F.col("mapping_category") == OLD_CATEGORY, PRESENT_CATEGORY)

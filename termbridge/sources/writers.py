@@ -47,7 +47,8 @@ def write_results_csv(
     results: DataFrame, path: str, profile: str = "tsv", mode: str = "errorifexists"
 ) -> None:
     flat = flat_results(results, profile)
-    flat.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    flat.write.mode(mode).option("header", True).option("escape", '"').options(**kept).csv(path)
 
 
 def write_audit_jsonl(results: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -149,3 +149,11 @@ def test_whole_evaluation(labelled):
     cover = run.coverage.first()
     assert cover.n_queries == run.predictions.select("icd9_code").distinct().count()
     assert cover.accuracy_on_accepted > 0.9
+
+
+def test_codes_stay_strings_without_schema(spark, tmp_path):
+    from termbridge.sources.readers import read_pairs
+
+    (tmp_path / "pairs.csv").write_text("icd9_code,icd10_code,correct\n009,A09,1\n")
+    row = read_pairs(spark, str(tmp_path / "pairs.csv")).first()
+    assert (row.icd9_code, row.icd10_code, row.correct) == ("009", "A09", 1)

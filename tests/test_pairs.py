@@ -231,3 +231,14 @@ def test_isotonic_is_monotone(scored):
     rows = fitted.transform(scored).select("s", "calibrated").distinct().orderBy("s").collect()
     values = [r.calibrated for r in rows]
     assert values == sorted(values) and 0 <= values[0] and values[-1] <= 1
+
+
+def test_null_groups_stay_when_groups_are_large(spark):
+    from pyspark.sql import functions as F
+
+    from termbridge.operators.skew import running_sums
+
+    rows = spark.createDataFrame([(None, k) for k in range(5)] + [("a", k) for k in range(3)], "g string, k int")
+    small = running_sums(rows, ["g"], [F.col("k")], {"n": F.lit(1)}, None)
+    large = running_sums(rows, ["g"], [F.col("k")], {"n": F.lit(1)}, 2)
+    assert sorted(map(str, large.collect())) == sorted(map(str, small.collect())) and large.count() == 8
