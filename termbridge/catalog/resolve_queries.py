@@ -262,6 +262,15 @@ def corrective_messages(spark, sf_dir):
     )
 
 
+def next_attempt_messages(spark, sf_dir):
+    """Who is to be asked again, at which attempt and with how many messages."""
+    stage = Stage(spark, sf_dir)
+    base = prompts.selection_prompts(stage.records, stage.candidates, "RULES")
+    asked = prompts.next_attempt_messages(base, stage.verdicts, 3)
+    last = F.element_at("messages", -1)
+    return asked.select("record_id", "attempt_index", F.size("messages").alias("n_messages"), last["role"].alias("role"))
+
+
 def attempt_audit(spark, sf_dir):
     """The log of every record's attempts, one row per entry."""
     stage = Stage(spark, sf_dir)
@@ -359,6 +368,7 @@ QUERIES = {
     ),
     "first_terminal_attempt": first_terminal_attempt,
     "corrective_messages": corrective_messages,
+    "next_attempt_messages": next_attempt_messages,
     "finalise_selection": lambda s, d: Stage(s, d).finalised(),
     "canonical_multi_map": lambda s, d: Stage(s, d)
     .canonical()
@@ -603,6 +613,13 @@ noted AS (
   FROM verdicts WINDOW w AS (PARTITION BY record_id ORDER BY attempt_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT record_id, attempt_index, (n + 2)::INTEGER AS n_messages, CASE WHEN n = 0 THEN 'user' ELSE 'system' END AS role,
        line FROM noted WHERE attempt_index < 3""",
+    "next_attempt_messages": f"""{_CUSTOMER},
+spent AS (
+  SELECT record_id, (max(attempt_index) + 1)::INTEGER AS following, bool_or(verdict IN ('valid', 'no_match')) AS settled, count({_NOTE}) AS n
+  FROM verdicts WHERE attempt_index < 3 GROUP BY 1)
+SELECT record_id, coalesce(following, 0)::INTEGER AS attempt_index, (coalesce(n, 0) + 2)::INTEGER AS n_messages,
+       CASE WHEN coalesce(n, 0) = 0 THEN 'user' ELSE 'system' END AS role
+FROM records LEFT JOIN spent USING (record_id) WHERE NOT coalesce(settled, false) AND coalesce(following, 0) < 3""",
     "finalise_selection": f"{_CUSTOMER} SELECT * FROM finalised",
     "canonical_multi_map": f"{_CUSTOMER} SELECT record_id, {', '.join(resolve.MULTI_MAP_FIELDS)} FROM canonical",
     "salvage": f"{_CUSTOMER} SELECT * FROM salvaged",

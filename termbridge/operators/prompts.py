@@ -177,6 +177,36 @@ def synonym_prompts(records: DataFrame, rules: str = SYNONYM_RULES) -> DataFrame
     )
 
 
+def _correction() -> Column:
+    """The line that an attempt which failed adds to the next ones."""
+    return F.when(F.col("verdict") == "error", F.lit(INVALID_OUTPUT_NOTE)).when(
+        F.col("verdict") == "invalid", F.lit(INVALID_CODE_NOTE)
+    )
+
+
+def next_attempt_messages(
+    prompts: DataFrame, verdicts: DataFrame, max_attempts: int = 2
+) -> DataFrame:
+    """(record_id, attempt_index, messages): what the next batch run is to ask.
+
+    Records whose answers were settled, or that have used up their attempts, are
+    left out; a record without an answer is at attempt 0. One row per prompt.
+    """
+    history = verdicts.filter(F.col("attempt_index") < max_attempts).groupBy("record_id").agg(
+        (F.max("attempt_index") + 1).alias("next"),
+        F.bool_or(F.col("verdict").isin("valid", "no_match")).alias("settled"),
+        F.array_sort(F.collect_list(F.struct("attempt_index", _correction().alias("note")))).alias("history"),
+    )
+    notes = F.filter(F.coalesce("history.note", F.array().cast("array<string>")), lambda n: n.isNotNull())
+    added = F.transform(notes, lambda n: message("system", n))
+    return (
+        prompts.join(history, "record_id", "left")
+        .withColumn("attempt_index", F.coalesce("next", F.lit(0)).cast("int"))
+        .filter(~F.coalesce("settled", F.lit(False)) & (F.col("attempt_index") < max_attempts))
+        .select("record_id", "attempt_index", F.concat("messages", added).alias("messages"))
+    )
+
+
 def corrective_messages(
     verdicts: DataFrame, prompts: DataFrame, max_attempts: int = 2
 ) -> DataFrame:
@@ -185,10 +215,7 @@ def corrective_messages(
     Every earlier attempt that failed has added one line: one text after an
     answer that could not be read, another after a code that is not allowed.
     """
-    note = (
-        F.when(F.col("verdict") == "error", F.lit(INVALID_OUTPUT_NOTE))
-        .when(F.col("verdict") == "invalid", F.lit(INVALID_CODE_NOTE))
-    )
+    note = _correction()
     asked = verdicts.filter(F.col("attempt_index") < max_attempts)
     noted = asked.select("record_id", "attempt_index", note.alias("note"))
     history = noted.groupBy("record_id").agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -32,20 +33,31 @@ def embed_universe(universe: DataFrame, size: int = 256) -> tuple[PipelineModel,
     return model, cut_lineage(embedded)
 
 
-def map_records(
+@dataclass(frozen=True)
+class Prepared:
+    """What a batch model run is asked, and the candidates that its answers are held against."""
+
+    records: DataFrame
+    retrieved: DataFrame
+    candidates: DataFrame
+    prompts: DataFrame
+    schemas: DataFrame
+    config: MapperConfig
+
+
+def prepare(
     records: DataFrame,
     universe: DataFrame,
     model: PipelineModel,
-    responses: DataFrame,
     config: MapperConfig = MapperConfig(),
     synonyms: DataFrame | None = None,
+    rules: str = prompts.SELECTION_RULES,
     **search,
-) -> DataFrame:
-    """Retrieve, merge, judge the answers and return one result per record.
+) -> Prepared:
+    """Retrieve and merge candidates once, with the messages and answer schema of every record.
 
-    ``universe`` has code, name and embedding; ``responses`` has record_id,
-    attempt_index and raw_text from a batch model run. The merged candidates are
-    written once, since every later step reads them.
+    ``universe`` has code, name and embedding. Retrieved rows and candidates are
+    written, since every later step reads them.
     """
     expanded = synonyms if config.synonym_expansion else None
     if config.synonym_expansion and synonyms is None:
@@ -53,22 +65,54 @@ def map_records(
     top_k = config.synonym_top_k if config.synonym_expansion else config.retrieve_top_k
     retrieved = cut_lineage(retrieve(records, universe, model, top_k, expanded, **search))
     candidates = cut_lineage(merge_candidates(records, retrieved, universe))
+    asked = prompts.selection_prompts(records, candidates, rules)
+    schemas = prompts.response_schema(records, candidates)
+    return Prepared(records, retrieved, candidates, asked, schemas, config)
+
+
+def judge(prepared: Prepared, responses: DataFrame) -> DataFrame:
+    """The verdict of every answer (record_id, attempt_index, raw_text) to the prepared prompts."""
+    candidates, config = prepared.candidates, prepared.config
     made = responses.filter(F.col("attempt_index") < config.max_attempts)
     # Copies of an answer count once, and a null copy never stands for an answer.
     made = first_rows(made, ["record_id", "attempt_index"], [F.col("raw_text").asc_nulls_last()])
-    verdicts = cut_lineage(resolve.validate_attempt(resolve.parse_response(made), candidates))
+    return cut_lineage(resolve.validate_attempt(resolve.parse_response(made), candidates))
+
+
+def next_round(prepared: Prepared, responses: DataFrame) -> DataFrame:
+    """(record_id, attempt_index, messages) of the records that need another answer."""
+    return prompts.next_attempt_messages(
+        prepared.prompts, judge(prepared, responses), prepared.config.max_attempts
+    )
+
+
+def resolve_prepared(prepared: Prepared, responses: DataFrame, universe: DataFrame) -> DataFrame:
+    """One result per record from the answers to the prepared prompts; the audit logs those prompts."""
+    records, candidates, config = prepared.records, prepared.candidates, prepared.config
+    verdicts = judge(prepared, responses)
     terminals = resolve.first_terminal_attempt(verdicts, config.max_attempts)
     chosen = resolve.canonical_multi_map(resolve.finalise_selection(terminals, records), universe)
     salvaged = resolve.salvage(records, terminals, candidates, config.max_attempts)
     audits = None
     if config.audit:
-        asked = prompts.corrective_messages(
-            verdicts, prompts.selection_prompts(records, candidates), config.max_attempts
-        )
-        schemas = prompts.response_schema(records, candidates)
-        audits = resolve.attempt_audit(verdicts, asked, schemas, config.max_attempts)
+        asked = prompts.corrective_messages(verdicts, prepared.prompts, config.max_attempts)
+        audits = resolve.attempt_audit(verdicts, asked, prepared.schemas, config.max_attempts)
     selections = chosen.unionByName(salvaged)
-    return resolve.assemble_result(records, selections, candidates, retrieved, audits)
+    return resolve.assemble_result(records, selections, candidates, prepared.retrieved, audits)
+
+
+def map_records(
+    records: DataFrame,
+    universe: DataFrame,
+    model: PipelineModel,
+    responses: DataFrame,
+    config: MapperConfig = MapperConfig(),
+    synonyms: DataFrame | None = None,
+    **search,
+) -> DataFrame:
+    """Both steps at once, for answers that are there already: see prepare and resolve_prepared."""
+    prepared = prepare(records, universe, model, config, synonyms, **search)
+    return resolve_prepared(prepared, responses, universe)
 
 
 def diagnose_strategies(

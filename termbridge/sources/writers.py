@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,16 +79,22 @@ class IndexConfig:
 
 
 def save_index(
-    universe: DataFrame, folder: str, config: IndexConfig = IndexConfig(), mode: str = "errorifexists"
+    universe: DataFrame,
+    folder: str,
+    config: IndexConfig = IndexConfig(),
+    mode: str = "errorifexists",
+    model: PipelineModel | None = None,
 ) -> None:
-    """Write (code, name, synonyms, description, embedding), then the settings.
+    """Write (code, name, synonyms, description, embedding), the model's word weights, then the settings.
 
-    The settings are written last, so an index that has them is complete.
+    Without ``model`` only vectors of the same encoder can be searched for. The settings are written last, so an index that has them is complete.
     """
     spark = universe.sparkSession
     universe.select("code", "name", "synonyms", "description", "embedding").write.mode(mode).parquet(
         f"{folder}/universe"
     )
+    if model is not None:
+        (model.write().overwrite() if mode == "overwrite" else model.write()).save(f"{folder}/model")
     row = (config.embedding, config.size, config.normalized)
     table = spark.createDataFrame([row], "embedding string, size int, normalized boolean")
     table.coalesce(1).write.mode(mode).parquet(f"{folder}/config")
@@ -99,13 +106,27 @@ def load_index(spark: SparkSession, folder: str) -> tuple[DataFrame, IndexConfig
     return spark.read.parquet(f"{folder}/universe"), config
 
 
+def load_index_model(folder: str) -> PipelineModel:
+    """The word weights saved with an index: embeds query texts in its space."""
+    return PipelineModel.load(f"{folder}/model")
+
+
 def index_exists(spark: SparkSession, folder: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/config/_SUCCESS")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def build_if_missing(spark: SparkSession, folder: str, build, config: IndexConfig = IndexConfig()):
-    """Load the index in ``folder``, first writing what ``build()`` returns if it is not there."""
+    """Load the index in ``folder``, first writing what ``build()`` returns if it is not there.
+
+    ``build()`` returns the universe, or the universe and its model. An index with
+    other settings than ``config`` is refused.
+    """
     if not index_exists(spark, folder):
-        save_index(build(), folder, config, mode="overwrite")
-    return load_index(spark, folder)
+        built = build()
+        universe, model = built if isinstance(built, tuple) else (built, None)
+        save_index(universe, folder, config, "overwrite", model)
+    universe, found = load_index(spark, folder)
+    if found != config:
+        raise ValueError(f"the index in {folder} was built with {found}, not {config}")
+    return universe, found

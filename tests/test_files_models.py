@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from termbridge.operators import models, pairs
+from termbridge.operators.vectors import embed_text
 from termbridge.plans.evaluation import evaluate_pairs
+from termbridge.plans.mapping import embed_universe
 from termbridge.schemas import PairSpec
 from termbridge.sources import readers, writers
 
@@ -100,6 +102,20 @@ def test_index_is_built_once(spark, tmp_path):
     for _ in range(2):
         universe, config = writers.build_if_missing(spark, folder, build, writers.IndexConfig(size=2))
     assert built == [1] and config.size == 2 and universe.first().embedding == [1.0, 0.0]
+    with pytest.raises(ValueError, match="was built with"):
+        writers.build_if_missing(spark, folder, build, writers.IndexConfig(size=3))
+
+
+def test_index_keeps_its_model(spark, tmp_path):
+    rows = [("A", "cold fever", None, None), ("B", "broken arm", None, None)]
+    universe = spark.createDataFrame(rows, "code string, name string, synonyms array<string>, description string")
+    folder, config = str(tmp_path / "index"), writers.IndexConfig(size=64)
+    model, embedded = embed_universe(universe, 64)
+    writers.build_if_missing(spark, folder, lambda: (embedded, model), config)
+    loaded, _ = writers.build_if_missing(spark, folder, None, config)
+    query = spark.createDataFrame([("arm",)], "text string")
+    made = [embed_text(m, query, "text").first().vec for m in (model, writers.load_index_model(folder))]
+    assert made[0] == made[1] and any(made[0]) and loaded.count() == 2
 
 
 @pytest.fixture(scope="module")

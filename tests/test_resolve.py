@@ -212,6 +212,13 @@ def test_corrections_and_audit(tables, steps):
     assert len(by_attempt[7, 0]) == 2 and by_attempt[7, 1][-1].content == prompts.INVALID_OUTPUT_NOTE
     assert by_attempt[9, 1][-1].content == prompts.INVALID_CODE_NOTE
     assert (12, 2) not in by_attempt
+    base = prompts.selection_prompts(records, candidates)
+    ahead = {r.record_id: r for r in prompts.next_attempt_messages(base, verdicts, 3).collect()}
+    settled = {r.record_id for r in verdicts.filter("verdict IN ('valid', 'no_match') AND attempt_index < 3").collect()}
+    assert not settled & set(ahead) and ahead[9].attempt_index == 2
+    assert [m.content for m in ahead[9].messages[2:]] == [prompts.INVALID_CODE_NOTE, prompts.INVALID_OUTPUT_NOTE]
+    fresh = {r.record_id: r for r in prompts.next_attempt_messages(base, verdicts.limit(0)).collect()}
+    assert len(fresh) == records.count() and all(r.attempt_index == 0 and len(r.messages) == 2 for r in fresh.values())
     schemas = prompts.response_schema(records, candidates)
     logs = {r.record_id: r.attempts for r in resolve.attempt_audit(verdicts, asked, schemas).collect()}
     assert len(logs[2]) == 1  # the second answer came after an accepted one
@@ -235,6 +242,14 @@ def test_whole_job(spark, tables):
     rows = {r.record_id: r for r in whole.collect()}
     assert len(rows) == 13 and rows[1].selected_code == "A"
     assert all(r.retrieved_top_k == 2 for r in rows.values())
+    prepared = mapping.prepare(records, embedded, model, config, rules="OWN RULES")
+    again = mapping.resolve_prepared(prepared, tables[3], embedded)
+    same = ["record_id", "selected_code", "num_attempts"]
+    assert sorted(again.select(same).collect()) == sorted(whole.select(same).collect())
+    logged = again.select(F.explode("audit.attempts").alias("e")).select("e.messages").collect()
+    assert {r.messages[0].content for r in logged if r.messages} == {"OWN RULES"}
+    asked = {r.record_id for r in mapping.next_round(prepared, tables[3].filter("attempt_index = 0")).collect()}
+    assert 9 in asked and 1 not in asked
     expanded = mapping.map_records(
         records, embedded, model, tables[3], MapperConfig(synonym_expansion=True, synonym_top_k=1)
     )
