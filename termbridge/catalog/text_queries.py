@@ -91,18 +91,25 @@ def _dictionary(spark, sf_dir):
     return keyed.select("trigger", "trigger_pos", F.length("synonym").alias("pos"), "synonym")
 
 
-def _dictionary_expand(mode, inline_rows=retrieval.INLINE_DICTIONARY_ROWS):
+def _dictionary_expand(mode):
     def query(spark, sf_dir):
         records = _parts(spark, sf_dir).select(
             col("p_partkey").alias("record_id"), F.initcap("p_name").alias("name")
         )
-        return retrieval.dictionary_expand(
-            records, _dictionary(spark, sf_dir), mode, inline_rows=inline_rows
-        )
+        return retrieval.dictionary_expand(records, _dictionary(spark, sf_dir), mode)
 
     return query
 
 
+def dictionary_expand_large(spark, sf_dir):
+    """Order lines as records under their part's name, so that names repeat; some are null."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", col("l_partkey").alias("p_partkey"))
+    name = F.when(col("l_linenumber") != 7, F.initcap("p_name"))
+    key = F.concat_ws("-", col("l_orderkey").cast("string"), col("l_linenumber").cast("string")).alias("record_id")
+    records = lines.join(_parts(spark, sf_dir), "p_partkey").select(key, name.alias("name"))
+    return retrieval.dictionary_expand(records, _dictionary(spark, sf_dir), "concat")
+
+
 def _turn_pairs(spark, sf_dir):
     """Each turn of a conversation with the next one."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
@@ -187,7 +194,7 @@ QUERIES = {
     "clean_synonyms": clean_synonyms,
     "dictionary_expand": _dictionary_expand("concat"),
     "dictionary_expand_multi": _dictionary_expand("multi"),
-    "dictionary_expand_large": _dictionary_expand("concat", inline_rows=0),
+    "dictionary_expand_large": dictionary_expand_large,
     "jaccard_tokens": lambda s, d: token_similarity(s, d).drop("dice_tokens"),
     "dice_tokens": lambda s, d: token_similarity(s, d).drop("jaccard_tokens"),
     "levenshtein_ratio": levenshtein_ratio,
@@ -255,7 +262,9 @@ UNION ALL SELECT p_partkey, 1, p_brand FROM part UNION ALL SELECT p_partkey, 2,
 SELECT p_partkey, CASE WHEN p_size = 1 THEN '' ELSE p_name || '|' || p_brand || '|' || p_type END AS synonyms,
        p_size <> 1 AS in_range FROM part""",
     "dictionary_expand": _CONCAT_SQL,
-    "dictionary_expand_large": _CONCAT_SQL,
+    "dictionary_expand_large": f"""WITH texts AS ({_CONCAT_SQL})
+SELECT l_orderkey || '-' || l_linenumber AS record_id, 0 AS variant, CASE WHEN l_linenumber = 7 THEN '' ELSE text END AS text
+FROM lineitem JOIN texts ON texts.record_id = l_partkey""",
     "dictionary_expand_multi": f"""WITH {DICTIONARY},
 texts AS (
   SELECT n.record_id, list_concat([n.name], coalesce(hits[1], []::VARCHAR[])) AS texts

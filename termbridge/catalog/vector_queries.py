@@ -101,6 +101,21 @@ def _edges(spark, sf_dir):
     )
 
 
+def assignment_bound(spark, sf_dir):
+    """Per label, that the assignment is one and how far from the best it can be."""
+    found = assign.assignment_bound(_edges(spark, sf_dir))
+    return found.select("block", "n_queries", "repeated_queries", "repeated_docs", "unknown_edges", "within")
+
+
+def topk_with_equal_ids(spark, sf_dir):
+    """The vectors of a label are query rows of one id, each with a k of its own, in blocks."""
+    queries = _vectors(spark, sf_dir).select("label", "vec", (col("vec_id") % 4).alias("wanted"))
+    found = retrieval.topk_inner_product(
+        queries, _universe(spark, sf_dir), col("wanted"), ["label"], method="blocks", block_bytes=100_000
+    )
+    return found.groupBy("label", "rank").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"))
+
+
 # Texts: benchmark items look for the documents they resemble.
 
 SIZE = 256
@@ -205,6 +220,8 @@ QUERIES = {
     "rank_of_target": rank_of_target,
     "mutual_best": lambda s, d: rounded(assign.mutual_best(_edges(s, d))),
     "one_to_one_assignment": lambda s, d: rounded(assign.one_to_one_assignment(_edges(s, d))),
+    "assignment_bound": assignment_bound,
+    "topk_with_equal_ids": topk_with_equal_ids,
     "embed_text": embed_text,
     "retrieve": retrieve,
     "retrieve_with_synonyms": retrieve_with_synonyms,
@@ -374,6 +391,11 @@ a AS (SELECT * FROM others QUALIFY row_number() OVER (PARTITION BY query_label,
 b AS (SELECT * FROM others QUALIFY row_number() OVER (PARTITION BY query_label, code ORDER BY score DESC, query_id) = 1)
 SELECT query_label AS block, query_id AS query, code AS doc, round(a.score, 6) AS score
 FROM a JOIN b USING (query_label, query_id, code)""",
+    "assignment_bound": f"""WITH {TOP}
+SELECT query_label AS block, count(DISTINCT query_id) AS n_queries, 0::BIGINT AS repeated_queries, 0::BIGINT AS repeated_docs,
+       0::BIGINT AS unknown_edges, true AS within FROM others WHERE score > 0 GROUP BY 1""",
+    "topk_with_equal_ids": f"""WITH {TOP}
+SELECT query_label AS label, rank, count(*) AS n, round(sum(score), 4) AS total FROM top WHERE rank <= query_id % 4 GROUP BY 1, 2""",
     "embed_text": f"""WITH {ITEMS}, texts AS (SELECT name AS text FROM items), {EMBED}
 SELECT record_id, slot, round(w / norm, 6) AS value
 FROM items JOIN weights ON text = name JOIN norms USING (text) WHERE w <> 0""",

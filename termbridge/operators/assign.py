@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 from termbridge.operators.skew import first_rows
 from termbridge.session import cut_lineage
 
-BLOCK_CELLS = 4_000_000
-
 
 def mutual_best(edges: DataFrame) -> DataFrame:
     """Edges (block, query, doc, score) that are the best of both their query and their doc."""
@@ -24,58 +22,6 @@ def mutual_best(edges: DataFrame) -> DataFrame:
     )
 
 
-def _least_cost_columns(cost: np.ndarray) -> np.ndarray:
-    """Column of every row in a cheapest complete assignment (rows <= columns).
-
-    Rows join one at a time along a shortest augmenting path; ``row_price`` and
-    ``col_price`` keep all reduced costs non-negative.
-    """
-    n, m = cost.shape
-    row_price, col_price = np.zeros(n), np.zeros(m)
-    owner = np.full(m, -1)
-    for start in range(n):
-        reach = np.full(m, np.inf)
-        before = np.full(m, -1)
-        settled = np.zeros(m, dtype=bool)
-        row, col, length = start, -1, 0.0
-        while True:
-            step = length + cost[row] - row_price[row] - col_price
-            closer = ~settled & (step < reach)
-            reach[closer], before[closer] = step[closer], col
-            col = int(np.argmin(np.where(settled, np.inf, reach)))
-            length = reach[col]
-            settled[col] = True
-            if owner[col] < 0:
-                break
-            row = owner[col]
-        row_price[start] += length
-        inner = settled.copy()
-        inner[col] = False
-        row_price[owner[inner]] += length - reach[inner]
-        col_price[inner] -= length - reach[inner]
-        while col >= 0:
-            previous = before[col]
-            owner[col] = owner[previous] if previous >= 0 else start
-            col = previous
-    columns = np.empty(n, dtype=int)
-    taken = owner >= 0
-    columns[owner[taken]] = np.flatnonzero(taken)
-    return columns
-
-
-def _solve_block(edges: pd.DataFrame) -> pd.DataFrame:
-    """The best edges of one small block; every query also has a free place of value 0."""
-    edges = edges.sort_values(["query", "doc"], ignore_index=True)
-    queries, q = np.unique(edges["query"].to_numpy(), return_inverse=True)
-    docs, d = np.unique(edges["doc"].to_numpy(), return_inverse=True)
-    never = float(edges["score"].sum()) + 1.0
-    cost = np.full((len(queries), len(docs) + len(queries)), never)
-    cost[q, d] = -edges["score"].to_numpy()
-    cost[np.arange(len(queries)), len(docs) + np.arange(len(queries))] = 0.0
-    chosen = _least_cost_columns(cost)
-    return edges[chosen[q] == d]
-
-
 def _bid(listed: pd.DataFrame, size: int, eps: float) -> pd.DataFrame:
     """Let the queries of one task bid until each has a doc or finds none worth its price.
 
@@ -127,7 +73,7 @@ def _bid(listed: pd.DataFrame, size: int, eps: float) -> pd.DataFrame:
 
 
 def _auction(edges: DataFrame, eps: float, size: int, task_rows: int) -> DataFrame:
-    """Assignment of blocks too large for one exact solution, by rounds of bids.
+    """Docs that are held and their prices: (block, query, doc, price), by rounds of bids.
 
     In each round every query brings its ``size`` best edges at the present prices.
     A block of at most ``task_rows`` such rows is one task's work, which settles it but
@@ -138,7 +84,6 @@ def _auction(edges: DataFrame, eps: float, size: int, task_rows: int) -> DataFra
     total per query. Each round's lists and holders are written out. The last round
     has no query left that is without a doc and has one worth its price.
     """
-    edges = cut_lineage(edges)
     keys = ["block", "doc"]
     schema = T.StructType(
         [edges.schema[c] for c in ("block", "query", "doc")] + [T.StructField("price", T.DoubleType())]
@@ -181,36 +126,63 @@ def _auction(edges: DataFrame, eps: float, size: int, task_rows: int) -> DataFra
             .select("block", "query", "doc", "price")
         )
         turn += 1
-    return edges.join(held.select("block", "query", "doc"), ["block", "query", "doc"], "left_semi")
+    return held
+
+
+def _positive(edges: DataFrame) -> DataFrame:
+    """Each pair once with its best score, if that is above 0."""
+    edges = edges.select("block", "query", "doc", "score").filter(F.col("score") > 0)
+    return cut_lineage(edges.groupBy("block", "query", "doc").agg(F.max("score").alias("score")))
 
 
 def one_to_one_assignment(
-    edges: DataFrame,
-    eps: float = 0.01,
-    block_cells: int = BLOCK_CELLS,
-    list_size: int = 64,
-    task_rows: int = 4_000_000,
+    edges: DataFrame, eps: float = 0.01, list_size: int = 64, task_rows: int = 4_000_000
 ) -> DataFrame:
-    """Edges (block, query, doc, score) of highest total score with no query or doc twice.
+    """Edges (block, query, doc, score) of high total score with no query or doc twice.
 
+    The total of a block is at most ``eps`` per query below the highest there is, whatever
+    the size of the block; so it is the highest if totals differ by more than that.
     Edges that score 0 or less are never chosen, and pairs without an edge cannot be.
-    A block is solved exactly in one task if its queries times places are at most
-    ``block_cells``; larger blocks share rounds of an auction spread over tasks.
     """
-    edges = edges.select("block", "query", "doc", "score").filter(F.col("score") > 0)
-    edges = edges.groupBy("block", "query", "doc").agg(F.max("score").alias("score"))
-    queries = edges.groupBy("block", "query").agg(F.count(F.lit(1)).alias("n_edges"))
-    docs = edges.select("block", "doc").distinct()
-    sizes = (
-        queries.groupBy("block")
-        .agg(F.count(F.lit(1)).alias("n_queries"))
-        .join(docs.groupBy("block").agg(F.count(F.lit(1)).alias("n_docs")), "block")
+    edges = _positive(edges)
+    held = _auction(edges, eps, list_size, task_rows)
+    return edges.join(held.select("block", "query", "doc"), ["block", "query", "doc"], "left_semi")
+
+
+def assignment_bound(
+    edges: DataFrame, eps: float = 0.01, list_size: int = 64, task_rows: int = 4_000_000
+) -> DataFrame:
+    """Per block, what the assignment reaches and what no assignment can exceed.
+
+    The prices bound every assignment's total: it is at most the sum of all prices and of each
+    query's best score above the price (0 if none is). Returns block, n_queries, repeated_queries,
+    repeated_docs, unknown_edges, total, bound and within (total >= bound - eps * n_queries).
+    """
+    edges = _positive(edges)
+    held = _auction(edges, eps, list_size, task_rows)
+    chosen = held.join(edges, ["block", "query", "doc"], "left")
+    uses = chosen.groupBy("block").agg(
+        F.sum("price").alias("prices"),
+        F.sum("score").alias("total"),
+        F.count_if(F.col("score").isNull()).alias("unknown_edges"),
     )
-    cells = F.col("n_queries") * (F.col("n_queries") + F.col("n_docs"))
-    large = cut_lineage(sizes.filter(cells > block_cells).select("block"))
-    if large.isEmpty():
-        return edges.groupBy("block").applyInPandas(_solve_block, edges.schema)
-    small = edges.join(large, "block", "left_anti")
-    solved = small.groupBy("block").applyInPandas(_solve_block, edges.schema)
-    rest = edges.join(large, "block", "left_semi")
-    return solved.unionByName(_auction(rest, eps, list_size, task_rows))
+    repeated = [
+        chosen.groupBy("block", side).agg((F.count(F.lit(1)) - 1).alias("n"))
+        .groupBy("block").agg(F.sum("n").alias(name))
+        for side, name in (("query", "repeated_queries"), ("doc", "repeated_docs"))
+    ]
+    net = F.col("score") - F.coalesce("price", F.lit(0.0))
+    priced = edges.join(held.select("block", "doc", "price"), ["block", "doc"], "left")
+    best = priced.groupBy("block", "query").agg(F.greatest(F.max(net), F.lit(0.0)).alias("net"))
+    blocks = best.groupBy("block").agg(F.sum("net").alias("net"), F.count(F.lit(1)).alias("n_queries"))
+    bound = F.col("net") + F.col("prices")
+    # The margin covers the rounding of the sums.
+    within = F.col("total") >= F.col("bound") - F.col("n_queries") * (eps + 1e-9)
+    return (
+        blocks.join(uses, "block").join(repeated[0], "block").join(repeated[1], "block")
+        .withColumn("bound", bound)
+        .select(
+            "block", "n_queries", "repeated_queries", "repeated_docs", "unknown_edges", "total", "bound",
+            within.alias("within"),
+        )
+    )

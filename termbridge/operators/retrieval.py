@@ -16,6 +16,7 @@ from termbridge.functions.similarity import token_set
 from termbridge.functions.text import query_text, query_variants
 from termbridge.operators.skew import HOT_ROWS, first_rows, number_rows
 from termbridge.operators.vectors import embed_text
+from termbridge.session import cut_lineage
 
 BROADCAST_BYTES = 256 << 20
 BLOCK_BYTES = 64 << 20
@@ -123,7 +124,11 @@ def topk_inner_product(
     offered = universe.select("code", F.col("embedding").alias("vec")).filter(
         F.col("vec").isNotNull()
     )
-    shape = offered.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("size")).first()
+    shape = offered.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.size("vec")).alias("size"),
+        F.sum(F.octet_length(F.col("code").cast("string"))).alias("code_bytes"),
+    ).first()
     code_type = universe.schema["code"].dataType
     schema = T.StructType(
         [queries.schema[c] for c in ids]
@@ -136,7 +141,7 @@ def topk_inner_product(
     spark = queries.sparkSession
     if not shape["n"]:
         return spark.createDataFrame([], schema)
-    universe_bytes = shape["n"] * shape["size"] * 8
+    universe_bytes = shape["n"] * shape["size"] * 8 + (shape["code_bytes"] or 0)
     if method == "auto":
         method = "broadcast" if universe_bytes <= broadcast_bytes else "blocks"
 
@@ -156,38 +161,39 @@ def topk_inner_product(
 
     rows_per_block = max(1, block_bytes // (shape["size"] * 8))
     universe_blocks = -(-shape["n"] // rows_per_block)
+    # Every query row is searched by itself, whatever its ids: written once, its number lasts.
+    asked = cut_lineage(asked.withColumn("__row", F.monotonically_increasing_id()))
     query_blocks = max(1, -(-asked.count() // rows_per_block))
+    carried = [*ids, "__row", "k"]
 
-    def block(keys: list[str], n: int) -> Column:
-        return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+    def block(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = asked.withColumn("qb", block([*ids, "vec"], query_blocks)).withColumn(
+    left = asked.withColumn("qb", block("__row", query_blocks)).withColumn(
         "ub", every(universe_blocks)
     )
-    right = offered.withColumn("ub", block(["code"], universe_blocks)).withColumn(
+    right = offered.withColumn("ub", block("code", universe_blocks)).withColumn(
         "qb", every(query_blocks)
     )
 
     def cell(asked_here: pa.Table, offered_here: pa.Table) -> pa.Table:
         if asked_here.num_rows and offered_here.num_rows:
-            return _search(asked_here, _Offered(offered_here), ids)
-        empty = {c: asked_here[c].slice(0, 0) for c in ids}
+            return _search(asked_here, _Offered(offered_here), carried)
+        empty = {c: asked_here[c].slice(0, 0) for c in carried}
         empty["code"] = offered_here["code"].slice(0, 0)
         empty["score"] = pa.array([], pa.float64())
         empty["rank"] = pa.array([], pa.int32())
         return pa.table(empty)
 
-    found = left.groupBy("qb", "ub").cogroup(right.groupBy("qb", "ub")).applyInArrow(cell, schema)
+    wide = T.StructType([*[asked.schema[c] for c in carried], *schema.fields[len(ids) :]])
+    found = left.groupBy("qb", "ub").cogroup(right.groupBy("qb", "ub")).applyInArrow(cell, wide)
     # A query has at most k rows from each block of the universe.
-    w = Window.partitionBy(*ids).orderBy(F.col("score").desc(), F.col("code").asc())
+    w = Window.partitionBy("__row").orderBy(F.col("score").desc(), F.col("code").asc())
     ranked = found.drop("rank").withColumn("rank", F.row_number().over(w))
-    if isinstance(k, int):
-        return ranked.filter(F.col("rank") <= k)
-    limits = asked.select(*ids, "k")
-    return ranked.join(limits, ids).filter(F.col("rank") <= F.col("k")).drop("k")
+    return ranked.filter(F.col("rank") <= F.col("k")).select(*schema.names)
 
 
 # --------------------------------------------------------------------------
@@ -274,37 +280,33 @@ def retrieve(
 # Dictionary expansion and the strategies
 
 
-INLINE_DICTIONARY_ROWS = 2_000
-GRAM = 4
-
-
-def _triggered(
-    records: DataFrame, dictionary: DataFrame, key: str, name: str, inline_rows: int
+def triggered(
+    records: DataFrame, dictionary: DataFrame, key: str = "record_id", name: str = "name"
 ) -> DataFrame:
-    """Per record the dictionary entries whose trigger occurs in its name, in trigger order."""
+    """Per record the dictionary entries whose trigger occurs in its name, in trigger order.
+
+    The lower-cased name is cut into pieces of the lengths that triggers have, and the
+    pieces are joined on the whole trigger, which is unique. An empty trigger occurs in every
+    name, a null name has no triggers.
+    """
     entries = dictionary.groupBy(F.lower("trigger").alias("trigger")).agg(
         F.min("trigger_pos").alias("trigger_pos"),
         F.array_sort(F.collect_list(F.struct("pos", "synonym"))).alias("synonyms"),
     )
-    entry = F.struct("trigger_pos", "trigger", "synonyms")
     rows = records.select(key, F.col(name).alias("name"))
-    if dictionary.count() <= inline_rows:
-        # Small by the count above: one array that every row is tested against.
-        table = entries.agg(F.array_sort(F.collect_list(entry))).scalar()
-        hits = F.filter("entries", lambda e: F.contains(F.lower("name"), e["trigger"]))
-        return rows.withColumn("entries", table).select(key, "name", hits.alias("hits"))
-    # A trigger can only occur where its first letters occur: join on those.
-    names = rows.select("name").distinct()
-    start = F.explode(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))))
-    size = F.explode(F.sequence(F.lit(1), F.lit(GRAM)))
-    grams = (
-        names.withColumn("start", start)
-        .withColumn("size", size)
-        .select("name", F.expr("substring(lower(name), start, size)").alias("gram"))
-        .distinct()
+    sizes = entries.agg(F.collect_set(F.length("trigger"))).scalar()
+    names = rows.filter(F.col("name").isNotNull()).select("name").distinct()
+    names = names.select("name", F.lower("name").alias("lowered"), sizes.alias("sizes"))
+    fitting = F.filter("sizes", lambda n: n <= F.length("lowered"))
+    # One empty piece is enough, so that size has one start.
+    last = F.when(F.col("size") == 0, 1).otherwise(F.length("lowered") - F.col("size") + 1)
+    pieces = (
+        names.select("name", "lowered", F.explode(fitting).alias("size"))
+        .select("name", "lowered", "size", F.explode(F.sequence(F.lit(1), last)).alias("start"))
+        .select("name", F.substring("lowered", F.col("start"), F.col("size")).alias("trigger"))
     )
-    begun = entries.withColumn("gram", F.substring("trigger", 1, GRAM))
-    found = grams.join(begun, "gram").filter(F.contains(F.lower("name"), F.col("trigger")))
+    entry = F.struct("trigger_pos", "trigger", "synonyms")
+    found = pieces.distinct().join(entries, "trigger")
     hits = found.groupBy("name").agg(F.array_sort(F.collect_list(entry)).alias("hits"))
     none = F.array().cast(hits.schema["hits"].dataType)
     return rows.join(hits, "name", "left").select(
@@ -318,7 +320,6 @@ def dictionary_expand(
     mode: str = "concat",
     key: str = "record_id",
     name: str = "name",
-    inline_rows: int = INLINE_DICTIONARY_ROWS,
 ) -> DataFrame:
     """Query texts (record, variant, text) from a dictionary of triggers.
 
@@ -327,7 +328,11 @@ def dictionary_expand(
     and the synonyms of all triggers by " | "; ``multi`` gives the name and each
     synonym of the first trigger that applies as texts of their own.
     """
-    rows = _triggered(records, dictionary, key, name, inline_rows)
+    return expanded_texts(triggered(records, dictionary, key, name), mode, key)
+
+
+def expanded_texts(rows: DataFrame, mode: str, key: str = "record_id") -> DataFrame:
+    """The texts of ``dictionary_expand`` from rows of ``triggered``."""
     words = F.transform("hits", lambda e: F.transform(e["synonyms"], lambda s: s["synonym"]))
     if mode == "concat":
         text = F.concat_ws(" | ", F.col("name"), F.flatten(words))
@@ -350,11 +355,12 @@ def strategy_texts(records: DataFrame, dictionary: DataFrame, k: int = 40, facto
         "record_id", single, query_text(F.col("code"), F.col("name")).alias("text")
     )
     named = records.select("record_id", single, F.col("name").alias("text"))
+    found = cut_lineage(triggered(records, dictionary))
     return (
         tagged("baseline", coded)
         .unionByName(tagged("name_only", named))
-        .unionByName(tagged("synonym_expansion", dictionary_expand(records, dictionary, "concat")))
-        .unionByName(tagged("multi_query", dictionary_expand(records, dictionary, "multi")))
+        .unionByName(tagged("synonym_expansion", expanded_texts(found, "concat")))
+        .unionByName(tagged("multi_query", expanded_texts(found, "multi")))
         .unionByName(tagged(f"large_k_{factor}x", named, k * factor))
     )
 

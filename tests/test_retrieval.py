@@ -127,18 +127,39 @@ def test_dictionary(spark):
         [("venereal", 1, 0, "STD"), ("venereal", 1, 1, "STI"), ("flu", 2, 0, "influenza")],
         "trigger string, trigger_pos int, pos int, synonym string",
     )
-    for inline in (100, 0):
-        concat = retrieval.dictionary_expand(records, entries, "concat", inline_rows=inline)
-        assert {(r.record_id, r.text) for r in concat.collect()} == {
-            (1, "Other VENEREAL diseases | STD | STI"),
-            (2, "Cold"),
-            (3, "flu and venereal | STD | STI | influenza"),
-        }
-        multi = retrieval.dictionary_expand(records, entries, "multi", inline_rows=inline)
-        assert {(r.record_id, r.variant, r.text) for r in multi.collect()} == {
-            (1, 0, "Other VENEREAL diseases"), (1, 1, "STD"), (1, 2, "STI"), (2, 0, "Cold"),
-            (3, 0, "flu and venereal"), (3, 1, "STD"), (3, 2, "STI"),
-        }
+    concat = retrieval.dictionary_expand(records, entries, "concat")
+    assert {(r.record_id, r.text) for r in concat.collect()} == {
+        (1, "Other VENEREAL diseases | STD | STI"),
+        (2, "Cold"),
+        (3, "flu and venereal | STD | STI | influenza"),
+    }
+    multi = retrieval.dictionary_expand(records, entries, "multi")
+    assert {(r.record_id, r.variant, r.text) for r in multi.collect()} == {
+        (1, 0, "Other VENEREAL diseases"), (1, 1, "STD"), (1, 2, "STI"), (2, 0, "Cold"),
+        (3, 0, "flu and venereal"), (3, 1, "STD"), (3, 2, "STI"),
+    }
+
+
+def test_odd_triggers(spark):
+    """An empty trigger, a null name, and a name that grows when lower-cased."""
+    records = spark.createDataFrame([(1, "İİİİ cold"), (2, ""), (3, None), (4, "co")], "record_id int, name string")
+    entries = spark.createDataFrame(
+        [("COLD", 2, 0, "flu"), ("", 1, 0, "any"), (None, 0, 0, "none")],
+        "trigger string, trigger_pos int, pos int, synonym string",
+    )
+    concat = retrieval.dictionary_expand(records, entries, "concat").collect()
+    assert {r.record_id: r.text for r in concat} == {1: "İİİİ cold | any | flu", 2: " | any", 3: "", 4: "co | any"}
+
+
+def test_rows_with_equal_ids_are_searched_one_by_one(vectors):
+    q, x, queries, universe = vectors
+    same = queries.withColumns({"size": F.col("query_id") % 3, "query_id": F.when(F.col("query_id") > 5, 1)})
+    found = [
+        retrieval.topk_inner_product(same, universe, F.col("size"), **search).collect()
+        for search in ({}, {"method": "blocks", "block_bytes": 4000})
+    ]
+    assert len(found[0]) == sum(i % 3 for i in range(len(q)))
+    assert sorted(map(str, found[0])) == sorted(map(str, found[1]))
 
 
 def test_strategies_find_by_synonym(spark):
@@ -186,9 +207,9 @@ def edges(spark):
 @pytest.mark.parametrize(
     "settings,slack",
     [
-        ({}, 1e-9),
-        ({"block_cells": 12, "eps": 0.05}, 0.25),
-        ({"block_cells": 0, "eps": 0.02, "list_size": 2, "task_rows": 20}, 0.1),
+        ({"eps": 0.001}, 1e-9),  # scores have two digits, so less than 0.01 below is the best
+        ({"eps": 0.05}, 0.25),
+        ({"eps": 0.02, "list_size": 2, "task_rows": 20}, 0.1),
     ],
 )
 def test_assignment_against_brute_force(edges, settings, slack):
@@ -204,3 +225,13 @@ def test_assignment_against_brute_force(edges, settings, slack):
         total = sum(r.score for r in mine)
         assert best - slack <= total <= best + 1e-9
         assert total >= sum(r.score for r in mutual if r.block == block) - slack
+
+
+def test_assignment_bound(edges):
+    rows, df = edges
+    found = {r.block: r for r in assign.assignment_bound(df, eps=0.02, list_size=2, task_rows=20).collect()}
+    assert set(found) == {b for b, _, _, s in rows if s > 0}
+    for block, r in found.items():
+        best = best_total([(q, d, s) for b, q, d, s in rows if b == block and s > 0])
+        assert r.total <= best + 1e-9 and best <= r.bound + 1e-9 and r.within
+        assert r.repeated_queries == r.repeated_docs == r.unknown_edges == 0
