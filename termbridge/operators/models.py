@@ -208,9 +208,12 @@ def fit_isotonic(scored: DataFrame, label: str, score: str = "score", digits: in
     """Monotone map from score to probability.
 
     The fit ends on the driver, so scores are first reduced to one weighted row
-    per score of ``digits`` digits: at most 10 ** digits + 1 rows for probabilities.
+    per score of ``digits`` digits: at most 10 ** digits + 1 rows, as scores must lie in [0, 1].
     """
-    points = scored.groupBy(F.round(score, digits).alias(score)).agg(
+    given = F.col(score)
+    refused = F.raise_error(F.lit("scores must lie in [0, 1]"))
+    kept = F.when((given < 0) | (given > 1), refused).otherwise(F.round(given, digits))
+    points = scored.groupBy(kept.alias(score)).agg(
         F.avg(F.col(label).cast("double")).alias("share"),
         F.count(F.lit(1)).cast("double").alias("weight"),
     )

@@ -235,3 +235,13 @@ def test_assignment_bound(edges):
         best = best_total([(q, d, s) for b, q, d, s in rows if b == block and s > 0])
         assert r.total <= best + 1e-9 and best <= r.bound + 1e-9 and r.within
         assert r.repeated_queries == r.repeated_docs == r.unknown_edges == 0
+
+
+def test_isotonic_scores_lie_between_0_and_1(spark):
+    from termbridge.operators import models
+
+    rows = spark.createDataFrame([(0.2, 0), (0.7, 1), (1.5, 1)], "score double, y int")
+    fitted = models.fit_isotonic(rows.filter("score <= 1"), "y")
+    assert [r.calibrated for r in fitted.transform(rows.filter("score <= 1")).orderBy("score").collect()] == [0.0, 1.0]
+    with pytest.raises(Exception, match="must lie in"):
+        models.fit_isotonic(rows, "y")
