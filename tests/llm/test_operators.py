@@ -255,6 +255,17 @@ def test_licences(spark, odd, empty):
     assert licenses.find_licences(odd).count() == odd.count() and licenses.find_licences(empty).count() == 0
 
 
+def test_licences_on_own_lines(spark):
+    name, short = "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0"
+    wrapped = "# Redistributions of source code must retain the above copyright\n# notice, this list of conditions\r\n#   and the following disclaimer"
+    texts = [f"end.***\n{name}", f"| a |\n{name}\nb", f"| a | {name} | b |", f"- a\n- {name}\n- b", f"x = 1\n// {name}\ny = 2", f"a\n## {name}\nb",
+             f"a\n{wrapped}\nb", f'a\n{short} (the "License")\nb', f"a\n{name}\n{name}\n{short}", f"It is not {name} Bla", f"a\nnot {name}"]
+    cc, apache = "name-cc-by-nc-4.0", "name-apache-2.0"
+    expected = [cc] * 6 + ["bsd-source", apache, f"{cc},{cc},{apache}", "", ""]
+    rows = licenses.find_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.sentence_ids for r in sorted(rows)] == expected
+
+
 # 6
 
 
