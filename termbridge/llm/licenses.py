@@ -1,7 +1,7 @@
 """Licences named in texts, recognised by sentence rules.
 
 A text is normalised to words, with a mark at each sentence end, table cell and line end. Known licence sentences are looked
-up from mark to mark, over line ends inside them, the longest first and none over another. The
+up from mark to mark, over marks inside them, the longest first and none over another. The
 sequence of identifiers found is matched against ordered rules: a rule takes its
 identifiers out of the sequence, so a part of a longer licence text is not counted again. What
 no rule takes is reported as it is.
@@ -90,7 +90,7 @@ RULES = [
 ]
 ENDS = r"[.!?;:]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"  # between sentences
 LINES = r"\R"
-INSIDE = r"[ \n]"  # between the words of a known sentence: it may be wrapped
+INSIDE = r"[ \n]"  # between the words of a known sentence: it may be wrapped, and hold ": " and "; "
 
 
 def normal(sentence: str) -> str:
@@ -107,13 +107,13 @@ def marked(names: list[str]) -> str:
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    marked_ends = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), ENDS, "|"), LINES, "\n")
-    words = F.concat(F.lit("|"), F.regexp_replace(marked_ends, "[^a-z0-9|\n]+", " "), F.lit("|"))
-    words = F.regexp_replace(words, r" ?([|\n])[ |\n]*", "$1")
+    marked_ends = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"{ENDS}|{LINES}|\|", "\n")
+    words = F.concat(F.lit("\n"), F.regexp_replace(marked_ends, "[^a-z0-9\n]+", " "), F.lit("\n"))
+    words = F.regexp_replace(words, r" ?\n[ \n]*", "\n")
     longest = [x.replace(" ", INSIDE) for x in sorted(KNOWN, key=len, reverse=True)]
-    found = F.regexp_extract_all(words, F.lit(rf"(?<=[|\n])(?:{'|'.join(longest)})(?=[|\n])"), F.lit(0))
+    found = F.regexp_extract_all(words, F.lit(rf"(?<=\n)(?:{'|'.join(longest)})(?=\n)"), F.lit(0))
     table = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    return F.transform(found, lambda s: F.element_at(table, F.translate(s, "|\n", "  ")))
+    return F.transform(found, lambda s: F.element_at(table, F.translate(s, "\n", " ")))
 
 
 def matched(ids: Column, rules=RULES) -> Column:

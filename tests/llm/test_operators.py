@@ -266,6 +266,16 @@ def test_licences_on_own_lines(spark):
     assert [r.sentence_ids for r in sorted(rows)] == expected
 
 
+def test_licences_every_sentence_and_rule(spark):
+    wordings = [(k, f"Bla.\n{x}.\nBla. {x};\nbla\n{x}") for k, v in licenses.SENTENCES.items() for x in v]
+    rules = [(name, ".\n\n".join(licenses.SENTENCES[k][0] for k in seq)) for name, seq in licenses.RULES]
+    texts = [t for _, t in wordings + rules] + ["/*\n * SPDX-License-Identifier: MIT\n */"]
+    rows = sorted(licenses.find_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [r.sentence_ids for r in rows[: len(wordings)]] == [",".join([k] * 3) for k, _ in wordings]
+    assert [(r.licences, r.unmatched) for r in rows[len(wordings) : -1]] == [(name, "") for name, _ in rules]
+    assert tuple(rows[-1])[1:] == (1, "spdx-mit", "MIT", "")
+
+
 # 6
 
 
