@@ -26,9 +26,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of near-duplicates."""
-    found = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_semi").select(*COLUMNS)
+    """The first document of every group of near-duplicates, and rows without doc_id."""
+    return minhash.without_near_duplicates(docs.select(*COLUMNS))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

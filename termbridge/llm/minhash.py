@@ -209,6 +209,23 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     are linked by their own texts each. Rows without doc_id link with nothing: component_id null,
     kept true. An empty table gives no rows. Other columns are not read.
     """
+    return _judged(documents, doc_id, text, block).drop("digest")
+
+
+def without_near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``documents`` that ``near_duplicates`` keeps, each by its own decision.
+
+    A decision depends on nothing but doc_id and text, so rows that share both share it.
+    """
+    dropped = _judged(documents, doc_id, text, BLOCK).where("NOT kept").select("doc_id", "digest").distinct()
+    same = (col(f"given.{doc_id}").cast("long") == col("dropped.doc_id")) & (
+        F.xxhash64(col(f"given.{text}").cast("string")) == col("dropped.digest")
+    )
+    return documents.alias("given").join(dropped.alias("dropped"), same, "left_anti")
+
+
+def _judged(documents: DataFrame, doc_id: str, text: str, block: int) -> DataFrame:
+    """The result of ``near_duplicates`` with the digest of each row's text."""
     given = documents.select(col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").alias("text"))
     given = given.withColumn("digest", F.xxhash64("text"))
     sketches = cut_lineage(given.mapInArrow(_sketches, SKETCH))
@@ -241,7 +258,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     grouped = cut_lineage(grouped.withColumn("component", F.coalesce("component", "id")))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = grouped.join(least, "component").select(*keys, "component_id")
-    done = sketches.select("doc_id", *keys).join(of_class, keys, "left")
+    done = sketches.select("doc_id", "digest", *keys).join(of_class, keys, "left")
     linked = F.when((col("n_shingles") > 0) & col("doc_id").isNotNull(), col("component_id"))
-    done = done.select("doc_id", "n_shingles", F.coalesce(linked, "doc_id").alias("component_id"))
+    done = done.select("doc_id", "digest", "n_shingles", F.coalesce(linked, "doc_id").alias("component_id"))
     return done.withColumn("kept", F.coalesce(col("doc_id") == col("component_id"), F.lit(True)))

@@ -529,6 +529,35 @@ def test_pipeline(spark, sf_dir):
     assert base64.b64encode(b"") == b"" and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_pipeline_keeps_rows_by_their_own_decision(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(50)) for x in "abc")
+    texts = [(1, a), (2, a + " end"), (2, b), (2, b), (None, a), (None, c), (None, None), (None, None), (3, None), (3, b), (3, "")]
+    rows = [(i, t, "en", "s", n) for n, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r.n_chars for r in got) == [0, 2, 3, 4, 5, 6, 7, 8, 10]  # not 1 (like a) and 9 (b)
+
+
+def test_pipeline_odd(spark, odd):
+    step, counts = odd, collections.Counter
+    for name, stage in corpus_pipeline.STAGES:
+        before = step.collect()
+        step = stage(spark, step, "").cache()
+        rows = step.collect()
+        if name == "language_id":
+            lettered = [r.doc_id for r in before if any(x.isalpha() for x in r.text or "")]
+            assert not counts(r.doc_id for r in rows) - counts(lettered) and any(r.doc_id is None for r in rows)
+        elif name in ("line_dedup", "byte_bpe"):
+            assert counts(r.doc_id for r in rows) == counts(r.doc_id for r in before)
+        elif name == "minhash":
+            given = spark.createDataFrame(before, odd.select(*corpus_pipeline.COLUMNS).schema)
+            kept = [r for r in minhash.near_duplicates(given).collect() if r.kept]
+            assert counts(r.doc_id for r in rows) == counts(r.doc_id for r in kept)
+            assert counts(r for r in before if r.doc_id is None) == counts(r for r in rows if r.doc_id is None)
+        else:
+            assert rows and set(rows) <= set(before)
+
+
 def test_cells_meet_every_pair_once(spark):
     rows = spark.createDataFrame([(k % 3, k) for k in range(90)], "cell long, id long")
 
