@@ -6,7 +6,7 @@ language needing the fewest phrases, each weighed by the bits that name a place
 All symbols of a text are parsed: texts are cut into stretches of ``STRETCH`` symbols, and the
 stretches of many texts take their steps together. A text belongs to no language, and is
 rejected, if even the best language's phrases, the last one aside, need more bits than naming the symbols
-one by one out of the alphabet.
+one by one out of its letters (``NAMED`` at least). Every letter of the samples has a symbol of its own.
 
 Only letters (A-Z and others lower-cased) and single spaces between them count.
 """
@@ -26,14 +26,15 @@ from termbridge.llm import arrays
 col = F.col
 SAMPLE_ROWS = 200  # labelled documents a language
 SAMPLE_SYMBOLS = 30_000  # symbols a language, from all of them alike: fits 16-bit states
-LANGUAGES = 200  # learned at most; the most frequent labels
-ALPHABET = 62  # most frequent letters of the samples; all others share a symbol
+FEW = 200  # labels up to which the picked rows are sent to all
+NAMED = 64  # symbols among which naming one is weighed at least
+DENSE = 1 << 26  # bytes of all languages' full tables; beyond, only the steps that exist are kept
 STRETCH = 1024
 UNKNOWN = "und"
 
 
-def automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
-    """Transitions of the suffix automaton: state x symbol -> state, 0 for none; 0 is the start."""
+def transitions(symbols: list[int]) -> list[dict[int, int]]:
+    """Per state of the suffix automaton symbol -> state; 0 is the start."""
     following, link, length = [{}], [-1], [0]
     last = 0
     for s in symbols:
@@ -58,6 +59,11 @@ def automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
                     at = link[at]
                 link[to] = link[state] = copy
         last = state
+    return following
+
+
+def _full(following: list[dict[int, int]], n_symbols: int) -> np.ndarray:
+    """State x symbol -> state, 0 for none."""
     table = np.zeros((len(following), n_symbols), np.uint16 if len(following) < 65536 else np.uint32)
     for state, steps in enumerate(following):
         for s, to in steps.items():
@@ -65,6 +71,24 @@ def automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
     return table
 
 
+def automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
+    """Transitions of the suffix automaton: state x symbol -> state, 0 for none; 0 is the start."""
+    return _full(transitions(symbols), n_symbols)
+
+
+class Sparse:
+    """The steps of an automaton, sorted by state and symbol."""
+
+    def __init__(self, following: list[dict[int, int]], n_symbols: int):
+        steps = sorted((state * n_symbols + s, to) for state, own in enumerate(following) for s, to in own.items())
+        self.keys = np.array([k for k, _ in steps] + [np.iinfo(np.int64).max], np.int64)
+        self.to = np.array([to for _, to in steps] + [0], np.uint32)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.to[at], 0)
+
+
 def _letters() -> np.ndarray:
     """Per code point its lower-case letter, or 0 for what is no letter."""
     table = np.zeros(0x110000, np.uint32)
@@ -105,18 +129,22 @@ class LanguageModel:
         self.languages = sorted(samples)
         codes = {name: letters_of([samples[name]])[0] for name in self.languages}
         everything = np.concatenate([c for c in codes.values()] or [np.zeros(0, np.uint32)])
-        found, counts = np.unique(everything[everything != 0], return_counts=True)
-        chosen = found[np.lexsort((found, -counts))][:ALPHABET]
-        self.symbols = {int(c): k + 1 for k, c in enumerate(chosen)}
-        self.tables, self.bits = [], []
+        found = np.unique(everything[everything != 0])
+        self.symbols = {int(c): k + 1 for k, c in enumerate(found)}
+        self.width = len(found) + 2
+        self.bits, self.naming, made = [], [], []
         for name in self.languages:
             own = self.encode(codes[name])
-            self.tables.append(automaton(own.tolist(), ALPHABET + 2))
+            made.append(transitions(own.tolist()))
             self.bits.append(float(np.log2(max(len(own), 2))))
+            self.naming.append(float(np.log2(max(len(np.unique(own)) + 1, NAMED))))
+        full = sum(self.width * len(m) * (2 if len(m) < 65536 else 4) for m in made) <= DENSE
+        self.tables = [_full(m, self.width).reshape(-1) if full else Sparse(m, self.width) for m in made]
 
     def encode(self, codes: np.ndarray) -> np.ndarray:
+        """Symbols of letters; those that no sample has share one."""
         if not hasattr(self, "_table"):
-            self._table = np.full(0x110000, ALPHABET + 1, np.uint8)
+            self._table = np.full(0x110000, self.width - 1, np.uint8 if self.width <= 256 else np.uint32)
             self._table[0] = 0
             for c, k in self.symbols.items():
                 self._table[c] = k
@@ -138,14 +166,13 @@ class LanguageModel:
         active = np.searchsorted(-length, -np.arange(1, STRETCH + 1), "right")  # stretches with a k-th symbol
         out = np.zeros((len(sizes), len(self.tables)), np.int64)
         for n, table in enumerate(self.tables):
-            flat, width = table.reshape(-1), table.shape[1]
-            first = table[0].astype(np.int64)
+            first = table[np.arange(self.width)].astype(np.int64)
             state, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
             for k in range(int(length[0]) if len(length) else 0):
                 m = int(active[k])
                 s = symbols[start[:m] + k]
                 before = state[:m]
-                after = flat[before * width + s].astype(np.int64)
+                after = table[before * self.width + s].astype(np.int64)
                 stuck = after == 0
                 alone = first[s]
                 # A phrase ends where it can't go on; a symbol that the sample lacks is a phrase by itself.
@@ -161,17 +188,17 @@ def learn(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
 
     Of each language the ``SAMPLE_ROWS`` documents with the smallest hash of doc_id and text are
     taken, and ``SAMPLE_SYMBOLS`` symbols of them, alike from each as far as they reach. Rows
-    without label or without a letter teach nothing. At most ``LANGUAGES`` labels are learned.
+    without label or without a letter teach nothing. Every label is learned, so the model grows with their number.
     """
     labelled = documents.where(col(lang).isNotNull() & col(text).rlike(r"\p{L}"))
     labelled = labelled.select(col(lang).cast("string").alias("lang"), col(doc_id).alias("doc_id"), col(text).alias("text"))
     labelled = labelled.withColumn("at", F.xxhash64("doc_id", "text"))
-    names = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    few = labelled.select("lang").distinct().count() <= FEW
     order = Window.partitionBy("lang").orderBy("at")
-    known = labelled.where(col("lang").isin([r["lang"] for r in names])).select("lang", "at")
-    picked = known.withColumn("nth", F.row_number().over(order)).where(col("nth") <= SAMPLE_ROWS).select("lang", "at")
-    # At most LANGUAGES * SAMPLE_ROWS rows of two short columns.
-    sampled = labelled.join(F.broadcast(picked.distinct()), ["lang", "at"]).select("lang", "at", "text")
+    picked = labelled.select("lang", "at").withColumn("nth", F.row_number().over(order)).where(col("nth") <= SAMPLE_ROWS)
+    picked = picked.select("lang", "at").distinct()
+    # At most FEW * SAMPLE_ROWS rows of two short columns are broadcast.
+    sampled = labelled.join(F.broadcast(picked) if few else picked, ["lang", "at"]).select("lang", "at", "text")
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(set(rows["text"]), key=lambda t: (len(t), t))
@@ -197,11 +224,11 @@ def identify(documents: DataFrame, model: LanguageModel, text: str = "text") ->
     """
     made = ["lang_pred", "score", "bits", "accepted"]
     carried = [c for c in documents.columns if c not in made]
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most LANGUAGES tables of 4 to 8 MB
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most DENSE bytes, or else about 1 MB a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        costs = np.array(m.bits)
+        costs, naming = np.array(m.bits), np.array(m.naming)
         for batch in batches:
             for part in arrays.pieces(batch, "text"):
                 codes, offsets = letters_of(part.column("text").to_pylist())
@@ -215,7 +242,7 @@ def identify(documents: DataFrame, model: LanguageModel, text: str = "text") ->
                     best = weighed.argmin(axis=1)
                     least = weighed[np.arange(n), best]
                     bits = least / np.maximum(sizes, 1)
-                    score, accepted = np.ones(n), (sizes > 0) & (least - costs[best] < np.log2(ALPHABET + 2) * sizes)
+                    score, accepted = np.ones(n), (sizes > 0) & (least - costs[best] < naming[best] * sizes)
                     if len(m.languages) > 1:
                         second = np.partition(weighed, 1, axis=1)[:, 1]
                         score = 1 - least / np.maximum(second, 1e-9)

@@ -241,6 +241,28 @@ def test_language_odd(spark, odd, empty):
     assert {r.lang_pred for r in language.identify(odd, nothing).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("dense", [language.DENSE, 0])
+def test_language_scripts(spark, monkeypatch, dense):
+    monkeypatch.setattr(language, "DENSE", dense)
+    spans = {"latin": (0x61, 26), "cyrillic": (0x430, 32), "greek": (0x3B1, 17), "arabic": (0x628, 19), "hindi": (0x915, 37),
+             "korean": (0xAC00, 400), "kana": (0x3042, 80), "han": (0x4E00, 900), "han2": (0x6E00, 900)}
+    rng = np.random.default_rng(5)
+    words = {k: ["".join(map(chr, first + rng.integers(0, n, 3))) for _ in range(300)] for k, (first, n) in spans.items()}
+    rows = [(k * 1000 + n, " ".join(rng.choice(words[name], 12)), name) for k, name in enumerate(words) for n in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs.where("doc_id % 1000 < 30"))
+    done = language.identify(docs.where("doc_id % 1000 >= 30"), model).collect()
+    assert len(done) == 90 and all(r.lang == r.lang_pred and r.accepted for r in done)
+
+
+def test_language_learns_every_label(spark):
+    rows = [(k, f"{chr(0x4E00 + 2 * k)}{chr(0x4E01 + 2 * k)} wort", f"l{k:03}") for k in range(230)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.learn(docs)
+    assert model.languages == [x for _, _, x in rows]
+    assert all(r.lang == r.lang_pred for r in language.identify(docs, model).collect())
+
+
 # 5
 
 
