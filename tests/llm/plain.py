@@ -1,8 +1,10 @@
 """Brute-force versions of the operators, in plain Python."""
 
 import collections
+import fractions
 import hashlib
 import re
+import zlib
 
 import numpy as np
 
@@ -91,3 +93,53 @@ def mix_targets(sizes):
         if not over:
             return target
         full |= over
+
+
+def hard_negatives(rows, is_anchor, scale=256, positives=5, negatives=5, low=80, high=100):
+    """(anchor, positive, rank, negative, scores) by a full sort of each anchor; rows: (id, label, vector)."""
+    good = [
+        (i, label, [int(np.floor(scale * float(x))) for x in v])
+        for i, label, v in rows
+        if i is not None and label is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+    ]
+    out = []
+    for k, (i, label, v) in enumerate(good):
+        if not is_anchor(i):
+            continue
+        scored = [(-sum(a * b for a, b in zip(v, w)), j, m == label) for n, (j, m, w) in enumerate(good) if n != k and len(w) == len(v)]
+        scored.sort(key=lambda x: x[:2])
+        for s, j, _ in [x for x in scored if x[2]][:positives]:
+            found = [x for x in scored if not x[2] and low * -s <= high * -x[0] and -x[0] <= -s][:negatives]
+            out += [(i, j, rank, n, -s, -t) for rank, (t, n, _) in enumerate(found, 1)]
+    return sorted(out)
+
+
+def runs(words, least=24, periods=3):
+    """(start, length, period) of every run, by trying all periods."""
+    number = {}
+    x = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+    found = {}
+    for q in range(1, len(x) // periods + 1):
+        ends = np.concatenate([[-1], np.flatnonzero(x[q:] != x[:-q]), [len(x) - q]])
+        for k in np.flatnonzero(np.diff(ends) - 1 + q >= max(least, periods * q)):
+            found.setdefault((int(ends[k]) + 1, int(ends[k + 1]) + q), q)
+    return sorted((s, e - s, q) for (s, e), q in found.items())
+
+
+def periodic(doc_id, text):
+    """The row of a document: n_runs, the greatest run, exponent in thousandths and the two digests."""
+    words = WORD.findall(text or "")
+    n = len(words)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    found = runs(words)
+    dropped = {i for s, m, q in found for i in range(s + q, s + m)}
+    kept = " ".join(w for i, w in enumerate(words) if i not in dropped)
+    lines = "".join(f"{s},{m},{q}\n" for s, m, q in sorted(found, key=lambda r: (r[0], r[2])))
+    best = min(found, key=lambda r: (-fractions.Fraction(r[1], r[2]), r[0], r[2])) if found else (None, None, None)
+    milli = 1000 * best[1] // best[2] if found else None
+    return (len(found), *best, milli, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
