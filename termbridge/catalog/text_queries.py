@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from termbridge.catalog.base import rounded, table
 from termbridge.functions import similarity, text
-from termbridge.operators import retrieval, vectors
+from termbridge.operators import retrieval, similar, vectors
 from termbridge.session import spread
 
 col = F.col
@@ -183,6 +183,28 @@ def sharing_token(spark, sf_dir):
     return pairs.select("conv_id", "turn")
 
 
+def _described(spark, sf_dir):
+    return _parts(spark, sf_dir).select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+
+
+def candidate_classes(spark, sf_dir):
+    """Descriptions of all parts with similar words, one part standing for those of equal words."""
+    return similar.similar_classes(similar.token_classes(_described(spark, sf_dir), "p_partkey", "text"), None, 0.6)
+
+
+def candidate_pairs(spark, sf_dir):
+    """Every part, by its name and type, with the parts whose whole description resembles that."""
+    asked = _parts(spark, sf_dir).select("p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("text"))
+    return similar.similar_pairs(asked, _described(spark, sf_dir), "p_partkey", "text", 0.75, "dice")
+
+
+def candidate_turns(spark, sf_dir):
+    """Conversation turns with similar words; their sets are long."""
+    turns = table(spark, sf_dir, "conversations")
+    keyed = turns.select(F.format_string("%08d-%04d", "conv_id", "turn").alias("key"), "text")
+    return similar.similar_pairs(keyed, None, "key", "text", 0.4)
+
+
 QUERIES = {
     "parse_pipe_candidates": parse_pipe_candidates,
     "parse_tagged_candidates": parse_tagged_candidates,
@@ -206,8 +228,18 @@ QUERIES = {
     .agg(F.count(F.lit(1)).alias("n")),
     "within_block": within_block,
     "sharing_token": sharing_token,
+    "candidate_classes": candidate_classes,
+    "candidate_pairs": candidate_pairs,
+    "candidate_turns": candidate_turns,
 }
 
+
+def _token_set_sql(text):
+    return f"list_sort(list_distinct(regexp_extract_all(lower({text}), '[a-z0-9]+')))"
+
+
+_DESCRIBED = _token_set_sql("p_name || ' ' || p_type || ' ' || p_brand")
+
 TURNS = """
 turns AS (
   SELECT a.conv_id, a.turn, a.text, b.text AS next_text
@@ -309,6 +341,26 @@ FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 25) ON p_partkey = l_
     "exists": """
 SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
 WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)""",
+    "candidate_classes": f"""
+WITH classes AS (SELECT {_DESCRIBED} AS w, min(p_partkey) AS id FROM part GROUP BY 1),
+pairs AS (
+  SELECT a.id AS left_class, b.id AS right_class, len(list_intersect(a.w, b.w)) AS c, len(a.w) + len(b.w) AS n
+  FROM classes a JOIN classes b ON a.id < b.id)
+SELECT left_class, right_class, c::DOUBLE / (n - c) AS similarity FROM pairs WHERE 10 * c >= 6 * (n - c)""",
+    "candidate_pairs": f"""
+WITH asked AS (SELECT p_partkey AS id, {_token_set_sql("p_type || ' ' || p_name")} AS w FROM part),
+known AS (SELECT p_partkey AS id, {_DESCRIBED} AS w FROM part),
+forms AS (SELECT DISTINCT a.w AS x, k.w AS y FROM (SELECT DISTINCT w FROM asked) a, (SELECT DISTINCT w FROM known) k
+          WHERE 4 * 2 * len(list_intersect(a.w, k.w)) >= 3 * (len(a.w) + len(k.w)))
+SELECT a.id AS left_key, k.id AS right_key, 2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)) AS similarity
+FROM forms JOIN asked a ON a.w = x JOIN known k ON k.w = y""",
+    "candidate_turns": f"""
+WITH turns AS (
+  SELECT lpad(conv_id::VARCHAR, 8, '0') || '-' || lpad(turn::VARCHAR, 4, '0') AS key, {_token_set_sql("text")} AS w FROM conversations),
+pairs AS (
+  SELECT a.key AS left_key, b.key AS right_key, len(list_intersect(a.w, b.w)) AS c, len(a.w) + len(b.w) AS n
+  FROM turns a JOIN turns b ON a.key < b.key)
+SELECT left_key, right_key, c::DOUBLE / (n - c) AS similarity FROM pairs WHERE c > 0 AND 10 * c >= 4 * (n - c)""",
     "block_key": "SELECT left(p_type, 3) AS block, count(*) AS n FROM part GROUP BY 1",
     "within_block": """
 SELECT l_orderkey, l_linenumber, l_partkey::VARCHAR AS part, l_suppkey::VARCHAR AS supplier,
