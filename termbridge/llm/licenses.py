@@ -1,10 +1,10 @@
 """Licences named in texts, recognised by sentence rules.
 
-A text is normalised to words, with a mark at each sentence end, table cell and line end. Known licence sentences are looked
-up from mark to mark, over marks inside them, the longest first and none over another. The
-sequence of identifiers found is matched against ordered rules: a rule takes its
-identifiers out of the sequence, so a part of a longer licence text is not counted again. What
-no rule takes is reported as it is.
+A text is normalised to words, with a mark at each sentence end, table cell, tag and line end. Known licence
+sentences are looked up from mark to mark, over marks inside them, the longest first and none over another. The
+sequence of identifiers found is matched against ordered rules: a rule takes neighbouring
+identifiers out of the sequence and leaves a gap, over which no rule reaches, so a part of a longer licence text is
+not counted again. What no rule takes is reported as it is. Both tables are arguments.
 """
 
 from __future__ import annotations
@@ -88,8 +88,83 @@ RULES = [
     ("CC-BY-SA-4.0", ["name-cc-by-sa-4.0"]),
     ("Unlicense", ["public-domain"]),
 ]
+# Licences by their public identifiers and names.
+LICENCES = {
+    "MIT": ["MIT License"],
+    "MIT-0": ["MIT No Attribution License"],
+    "X11": ["X11 License"],
+    "Apache-1.1": ["Apache License, Version 1.1"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0"],
+    "GFDL-1.3": ["GNU Free Documentation License, version 1.3"],
+    "MPL-1.1": ["Mozilla Public License, Version 1.1", "Mozilla Public License 1.1"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"],
+    "EPL-1.0": ["Eclipse Public License, Version 1.0", "Eclipse Public License 1.0"],
+    "EPL-2.0": ["Eclipse Public License, Version 2.0", "Eclipse Public License 2.0"],
+    "CPL-1.0": ["Common Public License, Version 1.0"],
+    "CDDL-1.0": ["Common Development and Distribution License, Version 1.0"],
+    "CDDL-1.1": ["Common Development and Distribution License, Version 1.1"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "Zlib": ["zlib License"],
+    "ISC": ["ISC License"],
+    "0BSD": ["BSD Zero Clause License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License"],
+    "CC0-1.0": ["CC0 1.0 Universal License", "Creative Commons Zero v1.0 Universal License"],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-ND-4.0": ["Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-NC-SA-4.0": ["Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "CC-BY-NC-ND-4.0": ["Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
+    "Artistic-2.0": ["Artistic License 2.0"],
+    "AFL-3.0": ["Academic Free License 3.0"],
+    "OSL-3.0": ["Open Software License 3.0"],
+    "ECL-2.0": ["Educational Community License, Version 2.0"],
+    "EUPL-1.2": ["European Union Public Licence v1.2", "European Union Public License 1.2"],
+    "UPL-1.0": ["Universal Permissive License, Version 1.0"],
+    "NCSA": ["University of Illinois/NCSA Open Source License"],
+    "OFL-1.1": ["SIL Open Font License, Version 1.1"],
+    "ODbL-1.0": ["Open Database License 1.0"],
+    "MS-PL": ["Microsoft Public License"],
+    "MS-RL": ["Microsoft Reciprocal License"],
+    "PostgreSQL": ["PostgreSQL License"],
+    "PSF-2.0": ["Python Software Foundation License Version 2"],
+    "Unlicense": ["Unlicense"],
+}
+# How a text names its licence.
+STATED = [
+    "Licensed under the {}",
+    "Released under the {}",
+    "Distributed under the {}",
+    "This project is licensed under the {}",
+    "This work is licensed under the {}",
+    "This software is licensed under the {}",
+]
+
+
+def stated_sentences(licences: dict[str, list[str]]) -> tuple[dict[str, list[str]], list[tuple[str, list[str]]]]:
+    """Sentences and rules of licences named in a line or by an SPDX tag."""
+    sentences, rules = {}, []
+    for key, names in licences.items():
+        low = key.lower()
+        sentences[f"name-{low}"] = [form.format(name) for name in names for form in STATED]
+        gnu = [f"{key}-only", f"{key}-or-later"] if "GPL" in key or "GFDL" in key else []
+        sentences[f"spdx-{low}"] = [f"SPDX-License-Identifier: {x}" for x in [key, *gnu]]
+        rules += [(key, [f"name-{low}"]), (key, [f"spdx-{low}"])]
+    return sentences, rules
+
+
+for _name, _wordings in stated_sentences(LICENCES)[0].items():
+    SENTENCES[_name] = list(dict.fromkeys([*SENTENCES.get(_name, []), *_wordings]))
+RULES += [r for r in stated_sentences(LICENCES)[1] if r[1] not in [seq for _, seq in RULES]]
 ENDS = r"[.!?;:]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"  # between sentences
 LINES = r"\R"
+TAGS = r"<[/!]?[a-z][^<>]*>"
 INSIDE = r"[ \n]"  # between the words of a known sentence: it may be wrapped, and hold ": " and "; "
 
 
@@ -97,7 +172,13 @@ def normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
-KNOWN = {normal(x): name for name, wordings in SENTENCES.items() for x in wordings}
+def known(sentences: dict[str, list[str]]) -> dict[str, str]:
+    """Normalised wordings with their identifiers; of equal wordings the first stays."""
+    out: dict[str, str] = {}
+    for name, wordings in sentences.items():
+        for x in wordings:
+            out.setdefault(normal(x), name)
+    return out
 
 
 def marked(names: list[str]) -> str:
@@ -105,19 +186,20 @@ def marked(names: list[str]) -> str:
     return "".join(f",{n}," for n in names)
 
 
-def sentence_ids(text: Column) -> Column:
+def sentence_ids(text: Column, sentences: dict[str, list[str]] = SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    marked_ends = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"{ENDS}|{LINES}|\|", "\n")
+    wordings = known(sentences)
+    marked_ends = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"{TAGS}|{ENDS}|{LINES}|\|", "\n")
     words = F.concat(F.lit("\n"), F.regexp_replace(marked_ends, "[^a-z0-9\n]+", " "), F.lit("\n"))
     words = F.regexp_replace(words, r" ?\n[ \n]*", "\n")
-    longest = [x.replace(" ", INSIDE) for x in sorted(KNOWN, key=len, reverse=True)]
+    longest = [x.replace(" ", INSIDE) for x in sorted(wordings, key=len, reverse=True)]
     found = F.regexp_extract_all(words, F.lit(rf"(?<=\n)(?:{'|'.join(longest)})(?=\n)"), F.lit(0))
-    table = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in wordings.items() for x in pair])
     return F.transform(found, lambda s: F.element_at(table, F.translate(s, "\n", " ")))
 
 
 def matched(ids: Column, rules=RULES) -> Column:
-    """(rest, licences): rules take their identifiers out one after the other."""
+    """(rest, licences): rules take their identifiers out one after the other, a gap stays."""
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(marked(seq)).alias("seq")) for name, seq in rules])
     start = F.struct(
         F.array_join(F.transform(ids, lambda x: F.concat(F.lit(","), x, F.lit(","))), "").alias("rest"),
@@ -127,60 +209,99 @@ def matched(ids: Column, rules=RULES) -> Column:
     def step(state: Column, rule: Column) -> Column:
         fits = F.contains(state["rest"], rule["seq"])
         taken = F.struct(
-            F.replace(state["rest"], rule["seq"], F.lit("")).alias("rest"),
+            F.replace(state["rest"], rule["seq"], F.lit("/")).alias("rest"),
             F.array_union(state["licences"], F.array(rule["name"])).alias("licences"),
         )
         return F.when(fits, taken).otherwise(state)
 
-    return F.aggregate(table, start, step)
+    return F.when(F.size(ids) == 0, start).otherwise(F.aggregate(table, start, step))
 
 
-def find_licences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find_licences(
+    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: dict[str, list[str]] = SENTENCES, rules=RULES
+) -> DataFrame:
     """Per row: doc_id, n_sentences (known ones), sentence_ids, licences (in the order of the rules), unmatched.
 
     The last three are texts, empty where nothing was found, as for null and empty texts. Rows may repeat or
     lack a doc_id. An empty table gives no rows. Other columns are not read. One pass without a shuffle.
     """
-    found = documents.select(col(doc_id).alias("doc_id"), sentence_ids(col(text)).alias("ids"))
-    found = found.withColumn("state", matched(col("ids")))
+    found = documents.select(col(doc_id).alias("doc_id"), sentence_ids(col(text), sentences).alias("ids"))
+    found = found.withColumn("state", matched(col("ids"), rules))
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_sentences"),
         F.array_join("ids", ",").alias("sentence_ids"),
         F.array_join("state.licences", " AND ").alias("licences"),
-        F.trim(F.replace(F.replace("state.rest", F.lit(",,"), F.lit(" ")), F.lit(","), F.lit(""))).alias("unmatched"),
+        F.trim(F.regexp_replace("state.rest", "[,/]+", " ")).alias("unmatched"),
     )
 
 
-def _sql() -> str:
+def _sql(sentences: dict[str, list[str]], rules: list[tuple[str, list[str]]]) -> str:
+    """From the specification: segments between marks, a wording that fills whole segments, from the left.
+
+    Rules of several identifiers take them out of the sequence first; no rule of one identifier
+    comes before one of several that holds it.
+    """
     text = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ", ".join(f"({text(k)}, {text(v)})" for k, v in KNOWN.items())
-    steps, last = [], "placed"
-    for n, (name, seq) in enumerate(RULES):
-        steps.append(
-            f"s{n} AS (SELECT doc_id, row, ids, replace(rest, {text(marked(seq))}, '') AS rest,"
-            f" CASE WHEN contains(rest, {text(marked(seq))}) AND NOT list_contains(lic, {text(name)})"
-            f" THEN list_append(lic, {text(name)}) ELSE lic END AS lic FROM {last})"
-        )
-        last = f"s{n}"
-    return f"""
-WITH docs AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
-known(sentence, id) AS (VALUES {known}),
-said AS (
-  SELECT row, unnest([trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))
-             FOR s IN string_split_regex(coalesce(text, ''), '{ENDS}')]) AS sentence,
-         unnest(range(len(string_split_regex(coalesce(text, ''), '{ENDS}')))) AS place
-  FROM docs),
-found AS (SELECT row, list(id ORDER BY place) AS ids FROM said JOIN known USING (sentence) GROUP BY row),
-placed AS (
-  SELECT doc_id, docs.row, coalesce(ids, []::VARCHAR[]) AS ids, []::VARCHAR[] AS lic,
-         coalesce(array_to_string([',' || x || ',' FOR x IN ids], ''), '') AS rest
-  FROM docs LEFT JOIN found USING (row)),
-{", ".join(steps)}
-SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
-       array_to_string(lic, ' AND ') AS licences,
-       trim(replace(replace(rest, ',,', ' '), ',', '')) AS unmatched
-FROM {last}"""
-
-
-SQL = _sql()
+    table = lambda rows: ", ".join("(" + ", ".join(map(str, r)) + ")" for r in rows)
+    wordings = table((text(k), text(v)) for k, v in known(sentences).items())
+    single = [(text(seq[0]), n, text(name)) for n, (name, seq) in enumerate(rules) if len(seq) == 1]
+    steps, last = [], "sequences"
+    for n, (name, seq) in enumerate(rules):
+        if len(seq) > 1:
+            if any(s[1] < n and s[0] in map(text, seq) for s in single):
+                raise ValueError(f"a rule of one identifier comes before {name}")
+            steps.append(
+                f"m{n} AS (SELECT row, replace(rest, {text(marked(seq))}, '/') AS rest,"
+                f" CASE WHEN contains(rest, {text(marked(seq))}) THEN list_append(fired, {n}) ELSE fired END AS fired FROM {last})"
+            )
+            last = f"m{n}"
+    names = table((n, text(name)) for n, (name, _) in enumerate(rules))
+    return rf"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS row, doc_id, lower(coalesce(text, '')) AS text FROM documents),
+known(sentence, id) AS (VALUES {wordings}),
+rules(n, licence) AS (VALUES {names}),
+singles(id, n, licence) AS (VALUES {table(single)}),
+pieces AS (
+  SELECT row, unnest(p) AS piece, generate_subscripts(p, 1) AS place FROM (
+    SELECT row, string_split_regex(text, '<[/!]?[a-z][^<>]*>|[.!?;:]+[\x20\x09-\x0D]+|[\x0A-\x0D\x{{85}}\x{{2028}}\x{{2029}}]|[|]') AS p
+    FROM docs)),
+segments AS (
+  SELECT row, place, trim(regexp_replace(piece, '[^a-z0-9]+', ' ', 'g')) AS words FROM pieces
+  WHERE regexp_matches(piece, '[a-z0-9]')),
+ends AS (SELECT row, place, words, sum(length(words) + 1) OVER (PARTITION BY row ORDER BY place) AS past FROM segments),
+placed AS (SELECT row, words, past, past - length(words) AS start FROM ends),
+joined AS (SELECT row, string_agg(words, ' ' ORDER BY place) AS words FROM segments GROUP BY row),
+hits AS (
+  SELECT s.row, s.start, e.past, k.id
+  FROM placed s JOIN known k ON starts_with(k.sentence || ' ', s.words || ' ')
+  JOIN joined j ON j.row = s.row AND substr(j.words, s.start::BIGINT, length(k.sentence)) = k.sentence
+  JOIN placed e ON e.row = s.row AND e.past = s.start + length(k.sentence)),
+longest AS (SELECT row, start, max(past) AS past, arg_max(id, past) AS id FROM hits GROUP BY row, start),
+following AS (
+  SELECT a.row, a.start, a.past, a.id, min(b.start) AS next FROM longest a LEFT JOIN longest b ON b.row = a.row AND b.start > a.past
+  GROUP BY a.row, a.start, a.past, a.id),
+chosen AS (
+  SELECT f.* FROM following f JOIN (SELECT row, min(start) AS start FROM longest GROUP BY row) USING (row, start)
+  UNION ALL
+  SELECT f.* FROM chosen c JOIN following f ON f.row = c.row AND f.start = c.next),
+sequences AS (
+  SELECT row, string_agg(',' || id || ',', '' ORDER BY start) AS rest, []::INTEGER[] AS fired FROM chosen GROUP BY row),
+{", ".join(steps)},
+left_over AS (
+  SELECT row, id, place, n FROM (
+    SELECT row, unnest(w) AS id, generate_subscripts(w, 1) AS place FROM (SELECT row, regexp_extract_all(rest, '[^,/]+') AS w FROM {last}))
+  LEFT JOIN singles USING (id)),
+fired AS (
+  SELECT row, licence, min(n) AS n
+  FROM (SELECT row, unnest(fired) AS n FROM {last} UNION ALL SELECT row, n FROM left_over WHERE n IS NOT NULL) JOIN rules USING (n)
+  GROUP BY row, licence),
+said AS (SELECT row, count(*) AS n, string_agg(id, ',' ORDER BY start) AS ids FROM chosen GROUP BY row),
+named AS (SELECT row, string_agg(licence, ' AND ' ORDER BY n) AS licences FROM fired GROUP BY row),
+others AS (SELECT row, string_agg(id, ' ' ORDER BY place) AS unmatched FROM left_over WHERE n IS NULL GROUP BY row)
+SELECT doc_id, coalesce(said.n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids,
+       coalesce(licences, '') AS licences, coalesce(unmatched, '') AS unmatched
+FROM docs LEFT JOIN said USING (row) LEFT JOIN named USING (row) LEFT JOIN others USING (row)"""
+
+
+SQL = _sql(SENTENCES, RULES)
