@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termbridge.operators.skew import HOT_ROWS, running_sums
+from termbridge.operators.skew import running_sums
 from termbridge.schemas import PairSpec
 from termbridge.session import cut_lineage
 
@@ -39,7 +39,6 @@ def feature_describe(
     df: DataFrame,
     features: Sequence[str],
     by: Sequence[str] = (),
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per feature.
 
@@ -48,7 +47,7 @@ def feature_describe(
     """
     keys = [*by, "feature"]
     values = long_features(df, features, by)
-    # One row per feature and ``by`` value; the counts bound the groups below.
+    # One row per feature and ``by`` value.
     moments = cut_lineage(
         values.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("count"),
@@ -58,10 +57,9 @@ def feature_describe(
             F.max("value").alias("max"),
         )
     )
-    largest = moments.agg(F.max("count")).first()[0] or 0
     counted = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
     order = [F.col("value").asc()]
-    upto = running_sums(counted, keys, order, {"upto": F.col("n")}, hot_rows, largest)
+    upto = running_sums(counted, keys, order, {"upto": F.col("n")})
     sizes = moments.select(*keys, "count")
     placed = upto.join(sizes, keys)
     quarters = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -197,7 +195,6 @@ def error_analysis(
     decisions: DataFrame,
     label: str,
     features: Sequence[str],
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Feature distributions of wrong and right accepted decisions."""
-    return feature_describe(accepted_errors(decisions, label), features, ["is_error"], hot_rows)
+    return feature_describe(accepted_errors(decisions, label), features, ["is_error"])

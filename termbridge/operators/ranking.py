@@ -8,19 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termbridge.operators.skew import HOT_ROWS, first_rows, running_sums
+from termbridge.operators.skew import first_rows, number_rows, running_sums
 
 
 def _order(score: str, doc: str) -> list[Column]:
     return [F.col(score).desc(), F.col(doc).asc()]
 
 
-def rank_candidates(
-    df: DataFrame, query: str, score: str, doc: str, hot_rows: int | None = HOT_ROWS
-) -> DataFrame:
+def rank_candidates(df: DataFrame, query: str, score: str, doc: str) -> DataFrame:
     """Add ``rank`` from 1 within each query."""
-    ranked = running_sums(df, [query], _order(score, doc), {"rank": F.lit(1).cast("long")}, hot_rows)
-    return ranked.withColumn("rank", F.col("rank").cast("int"))
+    return number_rows(df, [query], _order(score, doc), "rank")
 
 
 def best_per_query(df: DataFrame, query: str, score: str, doc: str) -> DataFrame:
@@ -48,23 +45,14 @@ def precision_at_k(
     return hits.agg(F.avg(F.col("hits") / size).alias("precision_at_k"))
 
 
-def query_measures(
-    df: DataFrame,
-    query: str,
-    score: str,
-    doc: str,
-    label: str,
-    k: int = 1,
-    hot_rows: int | None = HOT_ROWS,
-) -> DataFrame:
+def query_measures(df: DataFrame, query: str, score: str, doc: str, label: str, k: int = 1) -> DataFrame:
     """Average precision, reciprocal rank and precision at k of each query."""
     positive = (F.col(label) == 1).cast("long")
     ranked = running_sums(
         df.select(query, doc, score, label),
         [query],
         _order(score, doc),
-        {"rank": F.lit(1).cast("long"), "found": positive},
-        hot_rows,
+        {"rank": F.lit(1), "found": positive},
     )
     hit = F.col(label) == 1
     return ranked.groupBy(query).agg(
@@ -81,21 +69,21 @@ def query_measures(
     )
 
 
-def mean_average_precision(df, query, score, doc, label, hot_rows=HOT_ROWS) -> DataFrame:
+def mean_average_precision(df, query, score, doc, label) -> DataFrame:
     """Mean over queries of the mean precision at each positive; 0 for a query without one."""
-    measures = query_measures(df, query, score, doc, label, hot_rows=hot_rows)
+    measures = query_measures(df, query, score, doc, label)
     return measures.agg(F.avg("average_precision").alias("mean_average_precision"))
 
 
-def mean_reciprocal_rank(df, query, score, doc, label, hot_rows=HOT_ROWS) -> DataFrame:
+def mean_reciprocal_rank(df, query, score, doc, label) -> DataFrame:
     """Mean over queries of 1 / rank of the first positive; 0 for a query without one."""
-    measures = query_measures(df, query, score, doc, label, hot_rows=hot_rows)
+    measures = query_measures(df, query, score, doc, label)
     return measures.agg(F.avg("reciprocal_rank").alias("mean_reciprocal_rank"))
 
 
-def ranking_report(df, query, score, doc, label, k=1, hot_rows=HOT_ROWS) -> DataFrame:
+def ranking_report(df, query, score, doc, label, k=1) -> DataFrame:
     """MAP, MRR, P@k and top-1 accuracy in one row, from one ranking of the pairs."""
-    return query_measures(df, query, score, doc, label, k, hot_rows).agg(
+    return query_measures(df, query, score, doc, label, k).agg(
         F.avg("average_precision").alias("map"),
         F.avg("reciprocal_rank").alias("mrr"),
         F.avg("precision_at_k").alias("p_at_k"),
@@ -110,13 +98,12 @@ def ranked_lists(
     doc: str,
     label: str,
     slice_rows: int = 10_000,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Docs of each query in ranked order, and the right docs among them.
 
     A list longer than ``slice_rows`` goes on in further rows (``part`` 1, 2, ...).
     """
-    ranked = rank_candidates(df.select(query, doc, score, label), query, score, doc, hot_rows)
+    ranked = rank_candidates(df.select(query, doc, score, label), query, score, doc)
     part = F.floor((F.col("rank") - 1) / F.lit(slice_rows)).cast("int")
     lists = ranked.groupBy(query, part.alias("part")).agg(
         F.collect_list(F.struct("rank", doc)).alias("ranked"),

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from termbridge.functions.similarity import token_set
 from termbridge.functions.text import query_text, query_variants
-from termbridge.operators.skew import HOT_ROWS, first_rows, number_rows
+from termbridge.operators.skew import first_rows, number_rows
 from termbridge.operators.vectors import embed_text
 from termbridge.session import cut_lineage
 
@@ -205,17 +205,22 @@ def merge_by_best_score(
     record: Sequence[str],
     k: int | None,
     variant: str = "variant",
-    hot_rows: int | None = HOT_ROWS,
+    bounded: bool = False,
 ) -> DataFrame:
-    """One row per record and code with its best score and the variant that gave it."""
+    """One row per record and code with its best score and the variant that gave it.
+
+    ``bounded`` says that no record has more rows than fit one task, as when k limited each search.
+    """
     record = list(record)
     best = found.groupBy(*record, "code").agg(
         F.max("score").alias("score"),
         F.max_by(variant, F.struct(F.col("score"), -F.col(variant))).alias("best_variant"),
     )
     order = [F.col("score").desc(), F.col("code").asc()]
+    if k is None and bounded:
+        return best.withColumn("rank", F.row_number().over(Window.partitionBy(*record).orderBy(*order)))
     if k is None:
-        return number_rows(best, record, order, "rank", hot_rows)
+        return number_rows(best, record, order, "rank")
     return first_rows(best, record, order, k, "rank")
 
 
@@ -377,7 +382,7 @@ def retrieval_strategies(
     """Codes found by each strategy: (strategy, record_id, code, score, rank), in one search."""
     texts = strategy_texts(records, dictionary, k, factor)
     found = search_texts(texts, universe, model, ["strategy", "record_id", "variant"], **search)
-    merged = merge_by_best_score(found, ["strategy", "record_id"], None, hot_rows=None)
+    merged = merge_by_best_score(found, ["strategy", "record_id"], None, bounded=True)
     return merged.drop("best_variant")
 
 

@@ -1,27 +1,23 @@
 """Running totals and row numbers that do not need a whole group in one task.
 
-A window over a group sorts that group in one task, which is right while groups
-are small. When one group is larger than ``hot_rows``, the rows are range
-partitioned by group and order instead, so that a large group spreads over many
-tasks; each task numbers its slice, and the totals of earlier slices are added.
+Rows are range partitioned by group and order, so a large group spreads over many tasks and small ones share
+one. Each task adds up its slice of the sorted rows; what earlier slices hold of a slice's first group
+comes from one row a slice. The pairs are shuffled once, whatever the sizes of the groups.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termbridge.session import cut_lineage, shuffle_width
 
-HOT_ROWS = 2_000_000
-
-
-def has_hot_group(df: DataFrame, group: Sequence[str], hot_rows: int) -> bool:
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    return not sizes.filter(F.col("n") > hot_rows).isEmpty()
-
 
 def range_slices(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Sort-partition the rows and add the partition number as ``slice``.
@@ -33,66 +29,75 @@ def range_slices(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     )
 
 
-def running_sums(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column],
-    sums: Mapping[str, Column],
-    hot_rows: int | None = HOT_ROWS,
-    largest: int | None = None,
-) -> DataFrame:
-    """Add inclusive running sums of non-negative values within each group, in the
-    given total order. Nulls form a group like any other value.
+def _slice_sums(names: Sequence[str]):
+    """Running sums within one sorted slice, and at its end a row of what the slice ends with.
 
-    ``largest`` is a bound on the group sizes if the caller knows one; else they
-    are counted. ``hot_rows=None`` says that all groups are small.
+    ``__group`` tells groups apart. The last row has the slice's first and last group and the sums so far of
+    the last one; its other columns are null.
     """
-    if hot_rows is None:
-        hot = False
-    elif largest is not None:
-        hot = largest > hot_rows
-    else:
-        hot = has_hot_group(df, group, hot_rows)
-    if not hot:
-        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({name: F.sum(c).over(w) for name, c in sums.items()})
-
-    group = list(group)
-    within = (
-        Window.partitionBy("slice", *group)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    sliced = range_slices(df, [*map(F.col, group), *order])
-    local = cut_lineage(sliced.withColumns({n: F.sum(c).over(within) for n, c in sums.items()}))
-    # At most one row per slice and group that meets it. Sums never fall, so the
-    # largest value in a slice is its total.
-    before = Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = local.groupBy("slice", *group).agg(*[F.max(n).alias(n) for n in sums])
-    offsets = totals.select(
-        F.col("slice").alias("__slice"),
-        *[F.col(g).alias(f"__group_{n}") for n, g in enumerate(group)],
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"before_{n}") for n in sums],
-    )
-    met = F.col("slice") == F.col("__slice")
-    for n, g in enumerate(group):
-        met = met & F.col(g).eqNullSafe(F.col(f"__group_{n}"))
-    return (
-        local.join(offsets, met)
-        .withColumns({n: F.col(n) + F.col(f"before_{n}") for n in sums})
-        .select(*df.columns, *sums)
-    )
-
 
-def number_rows(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column],
-    name: str,
-    hot_rows: int | None = HOT_ROWS,
-) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slice_number, first, last = TaskContext.get().partitionId(), None, None
+        carried, schema = dict.fromkeys(names, 0), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column("__group").to_numpy()
+            begins = np.flatnonzero(np.append(last is None or group[0] != last, group[1:] != group[:-1]))
+            run_of = np.zeros(batch.num_rows, np.int64)
+            run_of[begins] = 1
+            run_of = np.cumsum(run_of)  # 0: the group that goes on from the batch before
+            made = {}
+            for name in names:
+                total = np.cumsum(batch.column(name).to_numpy())
+                before = np.concatenate([[-carried[name]], np.append(0, total)[begins]])
+                total = total - before[run_of]
+                carried[name] = total[-1].item()
+                made[name] = pa.array(total)
+            first = group[0].item() if first is None else first
+            last = group[-1].item()
+            kept = [made[c] if c in made else batch.column(c) for c in batch.schema.names]
+            ends = [pa.nulls(batch.num_rows, pa.int64()), pa.array(np.full(batch.num_rows, slice_number, np.int32))]
+            yield pa.RecordBatch.from_arrays([*kept, *ends], [*batch.schema.names, "__last", "slice"])
+            schema = batch.schema
+        if schema is not None:
+            end = {**carried, "__group": first}
+            alone = [pa.array([end.get(f.name)], f.type) for f in schema]
+            alone += [pa.array([last], pa.int64()), pa.array([slice_number], pa.int32())]
+            yield pa.RecordBatch.from_arrays(alone, [*schema.names, "__last", "slice"])
+
+    return run
+
+
+def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column]) -> DataFrame:
+    """Add inclusive running sums of whole numbers within each group, in the given total order.
+
+    Nulls form a group like any other value and count as 0 in a sum. The sorted slices are written once to the
+    shared folder; the rows they end with are as many as there are slices.
+    """
+    group, names = list(group), list(sums)
+    counted = {n: F.coalesce(c.cast("long"), F.lit(0).cast("long")) for n, c in sums.items()}
+    given = df.withColumns({**counted, "__group": F.xxhash64(*group) if group else F.lit(0).cast("long")})
+    keys = [*map(F.col, group), *order] or [F.col("__group")]
+    placed = given.repartitionByRange(shuffle_width(df), *keys).sortWithinPartitions(*keys)
+    fields = [T.StructField(f.name, f.dataType) for f in placed.schema]
+    schema = T.StructType([*fields, T.StructField("__last", T.LongType()), T.StructField("slice", T.IntegerType())])
+    local = cut_lineage(placed.mapInArrow(_slice_sums(names), schema))
+    ends = local.where("__last is not null")
+    held = ends.select(F.col("__last").alias("g"), "slice", F.lit(1).alias("after"), *names)
+    asked = ends.select(F.col("__group").alias("g"), "slice", F.lit(0).alias("after"), *[F.lit(0).cast("long").alias(n) for n in names])
+    earlier = Window.partitionBy("g").orderBy("slice", "after").rowsBetween(Window.unboundedPreceding, -1)
+    carry = held.unionAll(asked).select("g", "slice", "after", *[F.sum(n).over(earlier).alias(f"__{n}") for n in names])
+    carry = carry.where("after = 0").select(F.col("g").alias("__first"), "slice", *[F.coalesce(f"__{n}", F.lit(0)).alias(f"__{n}") for n in names])
+    whole = local.where("__last is null").join(F.broadcast(carry), "slice")
+    more = {n: F.col(n) + F.when(F.col("__group") == F.col("__first"), F.col(f"__{n}")).otherwise(0) for n in names}
+    kept = [c for c in df.columns if c not in names]
+    return whole.withColumns(more).select(*kept, *names)
+
+
+def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """Number the rows of each group from 1."""
-    numbered = running_sums(df, group, order, {name: F.lit(1).cast("long")}, hot_rows)
+    numbered = running_sums(df, group, order, {name: F.lit(1)})
     return numbered.withColumn(name, F.col(name).cast("int"))
 
 
@@ -111,6 +116,6 @@ def first_rows(
         w = Window.partitionBy(*group).orderBy(*order)
         numbered = df.withColumn(number, F.row_number().over(w))
     else:
-        numbered = number_rows(df, group, order, number, HOT_ROWS)
+        numbered = number_rows(df, group, order, number)
     first = numbered.filter(F.col(number) <= n)
     return first if name else first.drop(number)

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
 from termbridge.operators import metrics, models, pairs, profile, ranking, skew
@@ -66,16 +67,23 @@ def test_synthetic_pairs_do_not_depend_on_partitions(spark):
     assert len(sizes) == 50 and all(5 <= r.n <= 20 and r.p == 1 for r in sizes)
 
 
-@pytest.mark.parametrize("hot_rows", [None, 2_000_000, 50])
-def test_ranks_with_and_without_hot_groups(scored, hot_rows):
-    got = ranking.rank_candidates(scored, "q", "s", "d", hot_rows).toPandas()
+@pytest.fixture(params=[1, 3, 40])
+def slices(spark, request):
+    """So many slices that a group lies in one, and that a group spans many."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ranks_in_slices(scored, slices):
+    got = ranking.rank_candidates(scored, "q", "s", "d").toPandas()
     want = expected_ranks(scored)
     merged = want.merge(got, on=["q", "d"], suffixes=("", "_got"))
     assert len(merged) == len(want) and (merged["rank"] == merged["rank_got"]).all()
 
 
-@pytest.mark.parametrize("hot_rows", [None, 50])
-def test_ranking_measures(scored, hot_rows):
+def test_ranking_measures(scored, slices):
     pdf = expected_ranks(scored)
     aps, rrs, p3, top = [], [], [], []
     for _, g in pdf.groupby("q"):
@@ -85,7 +93,7 @@ def test_ranking_measures(scored, hot_rows):
         rrs.append(1 / hits[0] if len(hits) else 0.0)
         p3.append(y[:3].mean())
         top.append(y[0])
-    row = ranking.ranking_report(scored, "q", "s", "d", "y", 3, hot_rows).first()
+    row = ranking.ranking_report(scored, "q", "s", "d", "y", 3).first()
     assert np.allclose(list(row), [np.mean(aps), np.mean(rrs), np.mean(p3), np.mean(top)])
     assert np.isclose(ranking.precision_at_k(scored, "q", "s", "d", "y", 3).first()[0], np.mean(p3))
     assert np.isclose(ranking.top1_accuracy(scored, "q", "s", "d", "y").first()[0], np.mean(top))
@@ -103,7 +111,7 @@ def test_reciprocal_ranks_one_two_one(spark):
 
 
 def test_long_lists_go_on_in_parts(scored):
-    lists = ranking.ranked_lists(scored, "q", "s", "d", "y", slice_rows=300, hot_rows=50)
+    lists = ranking.ranked_lists(scored, "q", "s", "d", "y", slice_rows=300)
     long = sorted(lists.filter("q = 1000").collect(), key=lambda r: r.part)
     assert [len(r.docs) for r in long] == [300, 300, 300, 100]
     want = expected_ranks(scored).query("q == 1000")
@@ -172,10 +180,9 @@ def test_coverage_without_accepted(scored):
     assert metrics.coverage(decisions, "y", empty=None).first().accuracy_on_accepted is None
 
 
-@pytest.mark.parametrize("hot_rows", [None, 2])
-def test_describe(scored, hot_rows):
+def test_describe(scored, slices):
     wide = scored.withColumn("t", F.col("s") * F.col("d"))
-    got = profile.feature_describe(wide, ["s", "t"], ["y"], hot_rows).collect()
+    got = profile.feature_describe(wide, ["s", "t"], ["y"]).collect()
     pdf = wide.toPandas()
     assert len(got) == 4
     for r in got:
@@ -200,18 +207,33 @@ def test_histograms(scored):
     assert {(r.bin, r.low <= 2.0 < r.high) for r in got} == {(15, True)}
 
 
-def test_running_sums_are_the_same_in_slices(scored):
-    order = [F.col("d").asc()]
-    small = skew.running_sums(scored, ["q"], order, {"c": F.col("y").cast("long")}, None)
-    sliced = skew.running_sums(scored, ["q"], order, {"c": F.col("y").cast("long")}, 10)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, sliced.collect()))
+def test_running_sums_in_slices(scored, slices):
+    w = Window.partitionBy("q").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    value = F.when(F.col("y") == 1, F.col("d"))
+    want = scored.withColumns({"c": F.sum(F.col("y").cast("long")).over(w), "t": F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long")})
+    got = skew.running_sums(scored, ["q"], [F.col("d").asc()], {"c": F.col("y"), "t": value})
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert skew.running_sums(scored.where("false"), ["q"], [F.col("d")], {"c": F.col("y")}).collect() == []
+    whole = skew.running_sums(scored, [], [F.col("q"), F.col("d")], {"n": F.lit(1)})
+    assert sorted(r.n for r in whole.collect()) == list(range(1, scored.count() + 1))
+
 
+def test_the_pairs_are_shuffled_once(spark, monkeypatch):
+    pairs = spark.range(1000).selectExpr("id % 7 AS q", "id AS d", "id / 3 AS s")
+    plans, cut = [], skew.cut_lineage
+    monkeypatch.setattr(skew, "cut_lineage", lambda df: plans.append(df) or cut(df))
+    ranked = ranking.rank_candidates(pairs, "q", "s", "d")
+    before = plans[0]._jdf.queryExecution().executedPlan().toString()
+    after = ranked._jdf.queryExecution().executedPlan().toString()
+    assert before.count("Exchange rangepartitioning") == 1 and before.count("Exchange") == 1
+    assert "SortMergeJoin" not in after and after.count("BroadcastHashJoin") == 1
 
-def test_first_rows_beyond_the_group_limit(scored, monkeypatch):
+
+def test_first_rows_beyond_the_group_limit(scored, slices):
     order = [F.col("s").desc(), F.col("d").asc()]
     want = expected_ranks(scored)
-    for n, hot in ((3, 2_000_000), (1200, 2_000_000), (1200, 50)):
-        monkeypatch.setattr(skew, "HOT_ROWS", hot)
+    for n in (3, 1200):
         rows = skew.first_rows(scored, ["q"], order, n, "at").collect()
         kept = want[want["rank"] <= n]
         assert {(r.q, r.d, r["at"]) for r in rows} == set(zip(kept.q, kept.d, kept["rank"]))
@@ -233,12 +255,7 @@ def test_isotonic_is_monotone(scored):
     assert values == sorted(values) and 0 <= values[0] and values[-1] <= 1
 
 
-def test_null_groups_stay_when_groups_are_large(spark):
-    from pyspark.sql import functions as F
-
-    from termbridge.operators.skew import running_sums
-
-    rows = spark.createDataFrame([(None, k) for k in range(5)] + [("a", k) for k in range(3)], "g string, k int")
-    small = running_sums(rows, ["g"], [F.col("k")], {"n": F.lit(1)}, None)
-    large = running_sums(rows, ["g"], [F.col("k")], {"n": F.lit(1)}, 2)
-    assert sorted(map(str, large.collect())) == sorted(map(str, small.collect())) and large.count() == 8
+def test_null_groups_stay(spark, slices):
+    rows = spark.createDataFrame([(None, k) for k in range(50)] + [("a", k) for k in range(30)], "g string, k int")
+    numbered = skew.running_sums(rows, ["g"], [F.col("k")], {"n": F.lit(1)})
+    assert sorted(map(str, numbered.collect())) == sorted(str(Row(g=g, k=k, n=k + 1)) for g, m in ((None, 50), ("a", 30)) for k in range(m))
