@@ -111,7 +111,7 @@ def topk_with_equal_ids(spark, sf_dir):
     """The vectors of a label are query rows of one id, each with a k of its own, in blocks."""
     queries = _vectors(spark, sf_dir).select("label", "vec", (col("vec_id") % 4).alias("wanted"))
     found = retrieval.topk_inner_product(
-        queries, _universe(spark, sf_dir), col("wanted"), ["label"], method="blocks", block_bytes=100_000
+        queries, _universe(spark, sf_dir), col("wanted"), ["label"], block_bytes=100_000
     )
     return found.groupBy("label", "rank").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"))
 
@@ -212,7 +212,7 @@ QUERIES = {
     "cos_similarity": cos_similarity,
     "topk_inner_product": lambda s, d: rounded(_top(s, d)),
     "topk_inner_product_blocks": lambda s, d: rounded(
-        _top(s, d, method="blocks", block_bytes=100_000)
+        _top(s, d, block_bytes=100_000)
     ),
     "retrieval_quality": retrieval_quality,
     "multi_query_topk": multi_query_topk,

@@ -16,10 +16,10 @@ from termbridge.functions.similarity import token_set
 from termbridge.functions.text import query_text, query_variants
 from termbridge.operators.skew import first_rows, number_rows
 from termbridge.operators.vectors import embed_text
-from termbridge.session import cut_lineage
+from termbridge.session import cut_lineage, shuffle_width
 
-BROADCAST_BYTES = 256 << 20
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 256 << 20  # of the universe that a task holds
+PACKED_BYTES = 8 << 20  # of the universe that travel as one row
 SCORES_PER_STEP = 1 << 22
 
 
@@ -96,13 +96,60 @@ def _search(asked: pa.Table, offered: _Offered, ids: Sequence[str]) -> pa.Table:
     return pa.table(columns)
 
 
+def _packed_blocks(size: int):
+    """Universe rows of a part as Arrow tables in one cell each, of about ``size`` bytes."""
+
+    def pack(part: int, tables: list[pa.Table]) -> pa.RecordBatch:
+        table = pa.concat_tables(tables).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as stream:
+            stream.write_table(table)
+        data = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), data], ["part", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.Table]] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for part in pc.unique(batch.column("part")).to_pylist():
+                mine = held.setdefault(part, [])
+                mine.append(table.filter(pc.equal(table["part"], part)).select(["code", "vec"]))
+                if sum(t.nbytes for t in mine) >= size:
+                    yield pack(part, held.pop(part))
+        for part, tables in held.items():
+            yield pack(part, tables)
+
+    return run
+
+
+def _searched(carried: Sequence[str]):
+    """Rows sorted by task, a task's blocks before its queries: the queries stream past the blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, blocks, offered = None, [], None
+        for batch in batches:
+            kinds = batch.column("task").to_numpy() * 2 + batch.column("data").is_null().to_numpy(zero_copy_only=False)
+            ends = [*(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)] if len(kinds) else []
+            for start, end in zip([0, *ends], ends):
+                piece, here, asks = batch.slice(start, end - start), int(kinds[start]) // 2, kinds[start] % 2
+                if here != task:
+                    task, blocks, offered = here, [], None
+                if not asks:
+                    blocks += [pa.ipc.open_stream(x.as_buffer()).read_all() for x in piece.column("data")]
+                    continue
+                if blocks:
+                    offered, blocks = _Offered(pa.concat_tables(blocks)), []
+                if offered is not None:
+                    yield from _search(pa.Table.from_batches([piece]), offered, carried).to_batches(max_chunksize=1 << 16)
+
+    return run
+
+
 def topk_inner_product(
     queries: DataFrame,
     universe: DataFrame,
     k: int | Column = 40,
     ids: Sequence[str] = ("query_id",),
-    method: str = "auto",
-    broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The ``k`` universe rows with the highest inner product for every query.
@@ -111,86 +158,51 @@ def topk_inner_product(
     and ``embedding``. Returns the ids, code, score and rank; equal scores go to
     the lower code. ``k`` may be a column of the queries.
 
-    A universe whose counted size is at most ``broadcast_bytes`` goes to every
-    executor, and queries stream past it without a shuffle. A larger one is cut
-    into blocks of ``block_bytes``, as are the queries; every pair of blocks is
-    one task's work and only k rows per query and block go on to the last ranking.
+    The universe is dealt by code into parts of about ``block_bytes``, packed into blocks, and each part is sent to
+    as many tasks as there are shuffle partitions a part. A task holds its part and lets queries stream past it. A
+    query goes to one task of each part: once, without any merging, while the universe fits one part; beyond
+    that the best k of every part are ranked together. Nothing is collected or broadcast.
     """
     ids = list(ids)
     k_column = F.lit(int(k)) if isinstance(k, int) else k
     asked = queries.select(*ids, F.col("vec"), k_column.cast("int").alias("k")).filter(
         F.col("vec").isNotNull() & (F.col("k") > 0)
     )
-    offered = universe.select("code", F.col("embedding").alias("vec")).filter(
-        F.col("vec").isNotNull()
-    )
+    offered = universe.select("code", F.col("embedding").alias("vec")).filter(F.col("vec").isNotNull())
     shape = offered.agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.size("vec")).alias("size"),
         F.sum(F.octet_length(F.col("code").cast("string"))).alias("code_bytes"),
     ).first()
-    code_type = universe.schema["code"].dataType
-    schema = T.StructType(
-        [queries.schema[c] for c in ids]
-        + [
-            T.StructField("code", code_type),
-            T.StructField("score", T.DoubleType()),
-            T.StructField("rank", T.IntegerType()),
-        ]
-    )
-    spark = queries.sparkSession
+    found_fields = [
+        T.StructField("code", universe.schema["code"].dataType),
+        T.StructField("score", T.DoubleType()),
+        T.StructField("rank", T.IntegerType()),
+    ]
+    schema = T.StructType([*(queries.schema[c] for c in ids), *found_fields])
     if not shape["n"]:
-        return spark.createDataFrame([], schema)
+        return queries.sparkSession.createDataFrame([], schema)
     universe_bytes = shape["n"] * shape["size"] * 8 + (shape["code_bytes"] or 0)
-    if method == "auto":
-        method = "broadcast" if universe_bytes <= broadcast_bytes else "blocks"
-
-    if method == "broadcast":
-        if universe_bytes > broadcast_bytes:
-            raise ValueError("the universe is larger than broadcast_bytes")
-        shared = spark.sparkContext.broadcast(offered.toArrow())
-
-        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            prepared = _Offered(shared.value)
-            for batch in batches:
-                if batch.num_rows:
-                    found = _search(pa.Table.from_batches([batch]), prepared, ids)
-                    yield from found.to_batches(max_chunksize=1 << 16)
-
-        return asked.mapInArrow(stream, schema)
-
-    rows_per_block = max(1, block_bytes // (shape["size"] * 8))
-    universe_blocks = -(-shape["n"] // rows_per_block)
-    # Every query row is searched by itself, whatever its ids: written once, its number lasts.
-    asked = cut_lineage(asked.withColumn("__row", F.monotonically_increasing_id()))
-    query_blocks = max(1, -(-asked.count() // rows_per_block))
+    parts = max(1, -(-universe_bytes // block_bytes))
+    lanes = max(1, -(-shuffle_width(queries) // parts))  # tasks that hold the same part
+
+    part = F.pmod(F.xxhash64("code"), F.lit(parts)).cast("int").alias("part")
+    packed = offered.select("code", "vec", part).mapInArrow(_packed_blocks(min(block_bytes, PACKED_BYTES)), "part int, data binary")
+    lane = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
+    blocks = packed.select("part", "data", lane.alias("lane"))
+    # Every query row is searched by itself, whatever its ids.
+    asked = asked.withColumn("__row", F.monotonically_increasing_id())
+    if parts > 1:
+        asked = cut_lineage(asked)  # written once, a row's number lasts
+    sent = asked.withColumn("lane", F.pmod("__row", F.lit(lanes)).cast("int"))
+    sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = blocks.unionByName(sent, allowMissingColumns=True).withColumn("task", F.col("part") * lanes + F.col("lane"))
+    met = met.drop("part", "lane").repartitionById(parts * lanes, "task").sortWithinPartitions("task", F.col("data").isNull())
+    if parts == 1:
+        return met.mapInArrow(_searched(ids), schema)
     carried = [*ids, "__row", "k"]
-
-    def block(key: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = asked.withColumn("qb", block("__row", query_blocks)).withColumn(
-        "ub", every(universe_blocks)
-    )
-    right = offered.withColumn("ub", block("code", universe_blocks)).withColumn(
-        "qb", every(query_blocks)
-    )
-
-    def cell(asked_here: pa.Table, offered_here: pa.Table) -> pa.Table:
-        if asked_here.num_rows and offered_here.num_rows:
-            return _search(asked_here, _Offered(offered_here), carried)
-        empty = {c: asked_here[c].slice(0, 0) for c in carried}
-        empty["code"] = offered_here["code"].slice(0, 0)
-        empty["score"] = pa.array([], pa.float64())
-        empty["rank"] = pa.array([], pa.int32())
-        return pa.table(empty)
-
-    wide = T.StructType([*[asked.schema[c] for c in carried], *schema.fields[len(ids) :]])
-    found = left.groupBy("qb", "ub").cogroup(right.groupBy("qb", "ub")).applyInArrow(cell, wide)
-    # A query has at most k rows from each block of the universe.
+    found = met.mapInArrow(_searched(carried), T.StructType([*(asked.schema[c] for c in carried), *found_fields]))
+    # A query has at most k rows from each part of the universe.
     w = Window.partitionBy("__row").orderBy(F.col("score").desc(), F.col("code").asc())
     ranked = found.drop("rank").withColumn("rank", F.row_number().over(w))
     return ranked.filter(F.col("rank") <= F.col("k")).select(*schema.names)

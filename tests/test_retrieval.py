@@ -30,7 +30,7 @@ def vectors(spark):
     return q, x, queries.repartition(3), universe.repartition(4)
 
 
-@pytest.mark.parametrize("search", [{"method": "broadcast"}, {"method": "blocks", "block_bytes": 4000}])
+@pytest.mark.parametrize("search", [{}, {"block_bytes": 4000}, {"block_bytes": 900}])
 @pytest.mark.parametrize("k", [1, 7, 500])
 def test_topk_equals_full_sort(vectors, search, k):
     q, x, queries, universe = vectors
@@ -38,17 +38,20 @@ def test_topk_equals_full_sort(vectors, search, k):
     assert {(r.query_id, r.code, r["rank"]) for r in found} == brute(q, x, k)
 
 
-def test_large_universe_is_not_broadcast(vectors):
+def test_queries_stream_past_blocks(vectors):
+    """One shuffle of the queries while the universe fits a part, nothing broadcast or collected, no join."""
     _, _, queries, universe = vectors
-    plan = retrieval.topk_inner_product(queries, universe, 3, broadcast_bytes=1000, block_bytes=4000)
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "CoGroup" in text and "CartesianProduct" not in text and "NestedLoop" not in text
+    one = retrieval.topk_inner_product(queries, universe, 3)._jdf.queryExecution().executedPlan().toString()
+    many = retrieval.topk_inner_product(queries, universe, 3, block_bytes=4000)._jdf.queryExecution().executedPlan().toString()
+    for text, windows in ((one, 0), (many, 1)):
+        assert not any(x in text for x in ("CoGroup", "Cartesian", "NestedLoop", "Broadcast", "Join"))
+        assert text.count("Window ") == windows
 
 
 def test_k_per_query(vectors):
     q, x, queries, universe = vectors
     sized = queries.withColumn("size", F.col("query_id") % 3)
-    for search in ({}, {"method": "blocks", "block_bytes": 4000}):
+    for search in ({}, {"block_bytes": 4000}):
         found = retrieval.topk_inner_product(sized, universe, F.col("size"), **search)
         n = {r.query_id: r["count"] for r in found.groupBy("query_id").count().collect()}
         assert n == {i: i % 3 for i in range(len(q)) if i % 3}
@@ -156,7 +159,7 @@ def test_rows_with_equal_ids_are_searched_one_by_one(vectors):
     same = queries.withColumns({"size": F.col("query_id") % 3, "query_id": F.when(F.col("query_id") > 5, 1)})
     found = [
         retrieval.topk_inner_product(same, universe, F.col("size"), **search).collect()
-        for search in ({}, {"method": "blocks", "block_bytes": 4000})
+        for search in ({}, {"block_bytes": 4000})
     ]
     assert len(found[0]) == sum(i % 3 for i in range(len(q)))
     assert sorted(map(str, found[0])) == sorted(map(str, found[1]))
