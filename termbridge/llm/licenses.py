@@ -21,7 +21,7 @@ SENTENCES = {
     "spdx-mit": ["SPDX-License-Identifier: MIT"],
     "spdx-apache-2.0": ["SPDX-License-Identifier: Apache-2.0"],
     "spdx-gpl-3.0": ["SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "spdx-bsd-3": ["SPDX-License-Identifier: BSD-3-Clause"],
+    "spdx-bsd-3-clause": ["SPDX-License-Identifier: BSD-3-Clause"],
     "name-mit": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License"],
     "name-apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License")', "Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0"],
     "name-gpl-3.0": [
@@ -82,7 +82,7 @@ RULES = [
     ("GPL-3.0", ["name-gpl-3.0"]),
     ("GPL-3.0", ["spdx-gpl-3.0"]),
     ("GPL-2.0", ["name-gpl-2.0"]),
-    ("BSD-3-Clause", ["spdx-bsd-3"]),
+    ("BSD-3-Clause", ["spdx-bsd-3-clause"]),
     ("CC-BY-NC-4.0", ["name-cc-by-nc-4.0"]),
     ("CC-BY-4.0", ["name-cc-by-4.0"]),
     ("CC-BY-SA-4.0", ["name-cc-by-sa-4.0"]),
