@@ -206,7 +206,7 @@ def _train(spark, sf_dir):
 def _fitted(spark, sf_dir, name):
     """A model of fixed settings trained on all but one fold, and that fold scored."""
     train, test = pairs.train_test(_train(spark, sf_dir), 3)
-    settings = {"logistic": {}, "random_forest": {"numTrees": [20]}, "gbt": {"maxIter": [10]}}
+    settings = {"logistic": {}, "random_forest": {"numTrees": [200], "maxDepth": [10]}, "gbt": {}}
     pipeline, grid = models.build_models(SPEC, {name: settings[name]})[name]
     model = pipeline.fit(train, grid[0])
     return model, models.score_pairs(model, test)
@@ -249,17 +249,16 @@ def feature_importance(spark, sf_dir):
 
 
 def model_comparison(spark, sf_dir):
-    """Baseline and logistic regression on the same test rows, best first by F1."""
+    """The baseline and all models on the same test rows."""
     _, test = pairs.train_test(_train(spark, sf_dir), 3)
-    baseline = models.evaluate(pairs.equal_weight_score(test, SPEC.features), SPEC, "baseline")
-    logistic = models.evaluate(_fitted(spark, sf_dir, "logistic")[1], SPEC, "logistic")
-    return models.model_comparison([baseline, logistic])
+    rows = [models.evaluate(pairs.equal_weight_score(test, SPEC.features), SPEC, "baseline")]
+    rows += [models.evaluate(_fitted(spark, sf_dir, m)[1], SPEC, m) for m in ("logistic", "random_forest", "gbt")]
+    return models.model_comparison(rows)
 
 
 def isotonic_calibration(spark, sf_dir):
-    """Calibrated score of every pair, from scores cut to two digits."""
-    cut = F.floor(col("score") * 100.0) / 100.0
-    rows = cut_lineage(scored(spark, sf_dir).withColumn("score", cut))
+    """Calibrated score of every pair, from the scores as they are."""
+    rows = cut_lineage(scored(spark, sf_dir))
     fitted = models.fit_isotonic(rows, SPEC.label)
     return rounded(fitted.transform(rows).select(SPEC.query, SPEC.doc, "calibrated"))
 
@@ -414,15 +413,16 @@ SELECT 'baseline' AS model, tn, fp, fn, tp, round((tp + tn) / (tp + tn + fp + fn
 FROM cells, auc, means""",
     # The fitted value of a point: over all starts at or below it, the largest of the least
     # means of the runs from there that reach it.
-    "isotonic_calibration": f"""WITH {PAIRS_SQL},
-cut AS (SELECT query_id, doc_id, label, floor(score * 100.0::DOUBLE) / 100.0::DOUBLE AS s FROM scored),
-points AS (
-  SELECT s, row_number() OVER (ORDER BY s) AS i, sum(sum(label)) OVER (ORDER BY s) AS p, sum(count(*)) OVER (ORDER BY s) AS n
-  FROM cut GROUP BY s),
-runs AS (
-  SELECT a.i AS a, b.i AS b, (b.p - coalesce(z.p, 0))::DOUBLE / (b.n - coalesce(z.n, 0)) AS m
-  FROM points a JOIN points b ON a.i <= b.i LEFT JOIN points z ON z.i = a.i - 1),
-least AS (SELECT x.i, a, min(m) AS m FROM points x JOIN runs ON a <= x.i AND x.i <= b GROUP BY 1, 2),
-fitted AS (SELECT i, max(m) AS calibrated FROM least GROUP BY i)
-SELECT query_id, doc_id, round(calibrated, 6) AS calibrated FROM cut JOIN points USING (s) JOIN fitted USING (i)""",
+    # Rounds of pooling all neighbours whose shares do not rise, until they do.
+    "isotonic_calibration": f"""WITH RECURSIVE {PAIRS_SQL},
+points AS (SELECT score AS lo, score AS hi, sum(label)::BIGINT AS p, count(*)::BIGINT AS n FROM scored GROUP BY score),
+pool(turn, lo, hi, p, n) AS (
+  SELECT 0, lo, hi, p, n FROM points
+  UNION ALL
+  SELECT turn + 1, min(lo), max(hi), sum(p)::BIGINT, sum(n)::BIGINT
+  FROM (SELECT *, sum(rises) OVER (ORDER BY lo) AS g, min(rises) OVER () AS least
+        FROM (SELECT *, CASE WHEN lag(p) OVER w * n >= p * lag(n) OVER w THEN 0 ELSE 1 END AS rises FROM pool WINDOW w AS (ORDER BY lo)))
+  WHERE least = 0 GROUP BY turn, g),
+fitted AS (SELECT lo, hi, p::DOUBLE / n AS value FROM pool WHERE turn = (SELECT max(turn) FROM pool))
+SELECT query_id, doc_id, round(value, 6) AS calibrated FROM scored JOIN fitted ON score BETWEEN lo AND hi""",
 }

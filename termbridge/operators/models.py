@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from termbridge.operators.metrics import classification_metrics, roc_auc
 from termbridge.operators.pairs import hashed_uniform, threshold_label
 from termbridge.operators.ranking import ranking_report
+from termbridge.operators.skew import number_rows, running_sums
 from termbridge.schemas import PairSpec
-from termbridge.session import cut_lineage
+from termbridge.session import cut_lineage, shuffle_width
 
 SEED = 7
 
@@ -204,22 +205,67 @@ def downsample_negatives(df: DataFrame, label: str, key: Sequence[str], ratio: f
     return df.filter((F.col(label) == 1) | (draw < share))
 
 
-def fit_isotonic(scored: DataFrame, label: str, score: str = "score", digits: int = 6):
-    """Monotone map from score to probability.
-
-    The fit ends on the driver, so scores are first reduced to one weighted row
-    per score of ``digits`` digits: at most 10 ** digits + 1 rows, as scores must lie in [0, 1].
+def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (lo, hi, positives, n) of rising share from sorted blocks: neighbours that do not rise are pooled."""
+    done: list[list[float]] = []
+    for batch in batches:
+        for block in zip(*(batch.column(c).to_pylist() for c in ("lo", "hi", "positives", "n"))):
+            now = list(block)
+            while done and done[-1][2] * now[3] >= now[2] * done[-1][3]:
+                low, _, positives, n = done.pop()
+                now = [low, now[1], now[2] + positives, now[3] + n]
+            done.append(now)
+    if done:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*done)], ["lo", "hi", "positives", "n"])
+
+
+class IsotonicFit:
+    """A monotone map from score to probability: blocks of scores with one value each."""
+
+    def __init__(self, blocks: DataFrame, score: str):
+        self.blocks, self.score = blocks, score
+
+    def transform(self, df: DataFrame, name: str = "calibrated") -> DataFrame:
+        """Add the block's value; between two blocks a straight line, beyond the ends the end's value.
+
+        Rows and blocks meet by the number of blocks that begin at or below a score, counted over sorted
+        slices. A null score has a null value.
+        """
+        share = F.col("positives") / F.col("n")
+        numbered = cut_lineage(number_rows(self.blocks.select("lo", "hi", share.alias("value")), [], [F.col("lo")], "at"))
+        following = numbered.select((F.col("at") - 1).alias("at"), F.col("lo").alias("next_lo"), F.col("value").alias("next_value"))
+        steps = numbered.join(following, "at", "left").select(F.col("at").alias("__at"), "hi", "value", "next_lo", "next_value")
+        rows = df.withColumns({"__x": F.col(self.score).cast("double"), "__edge": F.lit(0)})
+        edges = self.blocks.select(F.col("lo").alias("__x"), F.lit(1).alias("__edge"))
+        both = rows.unionByName(edges, allowMissingColumns=True)
+        placed = running_sums(both, [], [F.col("__x").asc(), F.col("__edge").desc()], {"__at": F.col("__edge")})
+        placed = placed.where("__edge = 0").withColumn("__at", F.greatest("__at", F.lit(1)).cast("int"))
+        x, hi, value = F.col("__x"), F.col("hi"), F.col("value")
+        line = value + (F.col("next_value") - value) * (x - hi) / (F.col("next_lo") - hi)
+        found = F.when((x <= hi) | F.col("next_lo").isNull(), value).otherwise(line)
+        return placed.join(steps, "__at", "left").select(*df.columns, F.when(x.isNotNull(), found).alias(name))
+
+
+def fit_isotonic(scored: DataFrame, label: str, score: str = "score") -> IsotonicFit:
+    """Monotone map from score to probability by pooling adjacent violators, on the scores as they are.
+
+    Equal scores are one point. Sorted slices pool their own points in tasks; the blocks that remain are pooled
+    once more, in one task. They are few whatever the scores: blocks of 0/1 labels have rising shares, and n
+    rows have room for no more than about n^(2/3) different ones. Rows without score or label say nothing;
+    scores must lie in [0, 1].
     """
-    given = F.col(score)
+    given = F.col(score).cast("double")
     refused = F.raise_error(F.lit("scores must lie in [0, 1]"))
-    kept = F.when((given < 0) | (given > 1), refused).otherwise(F.round(given, digits))
-    points = scored.groupBy(kept.alias(score)).agg(
-        F.avg(F.col(label).cast("double")).alias("share"),
-        F.count(F.lit(1)).cast("double").alias("weight"),
+    kept = F.when((given < 0) | (given > 1), refused).otherwise(given)
+    points = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(kept.alias("lo")).agg(
+        F.sum(F.col(label).cast("double")).alias("positives"), F.count(F.lit(1)).cast("double").alias("n")
     )
-    return IsotonicRegression(
-        featuresCol=score, labelCol="share", weightCol="weight", predictionCol="calibrated"
-    ).fit(points)
+    points = points.select("lo", F.col("lo").alias("hi"), "positives", "n")
+    schema = "lo double, hi double, positives double, n double"
+    sliced = points.repartitionByRange(shuffle_width(scored), "lo").sortWithinPartitions("lo")
+    parts = cut_lineage(sliced.mapInArrow(_pooled, schema))
+    whole = parts.repartition(1).sortWithinPartitions("lo").mapInArrow(_pooled, schema)
+    return IsotonicFit(cut_lineage(whole), score)
 
 
 def most_uncertain(scored: DataFrame, order: Sequence[str | Column], n: int, score: str = "score") -> DataFrame:

@@ -12,6 +12,7 @@ from termbridge.functions.text import (
     split_list,
     strip,
 )
+from termbridge.operators.skew import number_rows
 from termbridge.schemas import ANSWER, PairSpec
 
 # Column names under which a records file may hold candidates, in order.
@@ -94,21 +95,26 @@ def _records(df: DataFrame, code: str, name: str, candidates: Column, limit: int
         strip(_text(df, code)).alias("code"),
         strip(_text(df, name)).alias("name"),
         candidates.alias("direct_candidates"),
+        F.md5(F.to_json(F.struct(*[_text(df, c).alias(c) for c in df.columns]), {"ignoreNullFields": "false"})).alias("digest"),
         *input_position(),
     )
     order = ["at_file", "at_block", "at_row"]
     if limit is not None:
         rows = rows.orderBy(*order).limit(limit)
-    return rows.select(F.col("at_row").alias("record_id"), "code", "name", "direct_candidates")
+    numbered = number_rows(rows, ["digest"], [F.col(c) for c in order], "copy")
+    key = F.concat_ws("-", "digest", F.col("copy").cast("string")).alias("record_id")
+    return numbered.select(key, "code", "name", "direct_candidates")
 
 
-def read_records_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_records_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """(record_id, code, name, direct_candidates) from ``icd9_code, icd9_name, [candidates]``.
 
-    ``record_id`` numbers the rows; it stays the same while the files and the
-    split size do. Write the records out to keep it.
+    ``record_id`` is the digest of the row's cells and its number among equal rows. It is the same however
+    the rows are dealt to files and splits, so answers of a later run find their records. With
+    ``multi_line`` quoted cells may hold line breaks and a file is one task's work; without it,
+    large files are split.
     """
-    df = read_delimited(spark, path)
+    df = read_delimited(spark, path, multi_line=multi_line)
     cell = next((c for c in CANDIDATE_COLUMNS if c in df.columns), None)
     return _records(df, "icd9_code", "icd9_name", parse_pipe_candidates(_text(df, cell)), None)
 
@@ -119,9 +125,10 @@ def read_records_tsv(
     limit: int | None = None,
     candidates_col: str = "potential_matches",
     keep_colons: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Records with tagged candidates; ``limit`` keeps the first rows of the input."""
-    df = read_delimited(spark, path, "\t")
+    df = read_delimited(spark, path, "\t", multi_line)
     cell = parse_tagged_candidates(_text(df, candidates_col), keep_colons=keep_colons)
     return _records(df, "icd9_code", "icd9_phe", cell, limit)
 

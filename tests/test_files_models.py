@@ -173,3 +173,23 @@ def test_codes_stay_strings_without_schema(spark, tmp_path):
     (tmp_path / "pairs.csv").write_text("icd9_code,icd10_code,correct\n009,A09,1\n")
     row = read_pairs(spark, str(tmp_path / "pairs.csv")).first()
     assert (row.icd9_code, row.icd10_code, row.correct) == ("009", "A09", 1)
+
+
+def test_record_keys_do_not_depend_on_files_or_splits(spark, tmp_path):
+    lines = [f"{k % 40:03d},name {k % 40},A{k % 7}:x" for k in range(400)] + ['099,"two', 'lines",'] + ["010,,", "010,,"]
+    head = "icd9_code,icd9_name,direct\n"
+    one, many = write(tmp_path, "one.csv", head + "\n".join(lines) + "\n"), tmp_path / "many"
+    many.mkdir()
+    for n, part in enumerate((lines[250:], lines[:100], lines[100:250])):
+        write(many, f"{n}.csv", head + "\n".join(part) + "\n")
+    first = readers.read_records_csv(spark, one)
+    keys = sorted((r.record_id, r.code, r.name) for r in first.collect())
+    assert len(keys) == 403 == len({k[0] for k in keys}) and any(k[2] == "two\nlines" for k in keys)
+    assert sorted((r.record_id, r.code, r.name) for r in readers.read_records_csv(spark, str(many)).collect()) == keys
+    plain = write(tmp_path, "plain.csv", head + "\n".join(lines[:400]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+    try:
+        split = {r.record_id for r in readers.read_records_csv(spark, plain, multi_line=False).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert split == {r.record_id for r in readers.read_records_csv(spark, plain).collect()} and len(split) == 400

@@ -259,3 +259,28 @@ def test_null_groups_stay(spark, slices):
     rows = spark.createDataFrame([(None, k) for k in range(50)] + [("a", k) for k in range(30)], "g string, k int")
     numbered = skew.running_sums(rows, ["g"], [F.col("k")], {"n": F.lit(1)})
     assert sorted(map(str, numbered.collect())) == sorted(str(Row(g=g, k=k, n=k + 1)) for g, m in ((None, 50), ("a", 30)) for k in range(m))
+
+
+def test_isotonic_against_pooling_one_by_one(spark, slices):
+    rng = np.random.default_rng(9)
+    rows = [(float(s), int(rng.random() < s), int(k)) for k, s in enumerate(np.r_[rng.random(700), rng.integers(0, 5, 200) / 4])]
+    frame = spark.createDataFrame(rows, "s double, y int, k int").repartition(4)
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    points = np.unique(x)
+    p, n = (np.array([f[x == v].sum() for v in points]) for f in (y, np.ones(len(x))))
+    cp, cn = np.append(0, np.cumsum(p)), np.append(0, np.cumsum(n))
+    mean = [[(cp[b + 1] - cp[a]) / (cn[b + 1] - cn[a]) if b >= a else np.inf for b in range(len(points))] for a in range(len(points))]
+    least = np.minimum.accumulate(np.array(mean)[:, ::-1], axis=1)[:, ::-1]  # of runs from a that end at b or later
+    want = {v: max(least[a][i] for a in range(i + 1)) for i, v in enumerate(points)}
+    fitted = models.fit_isotonic(frame, "y", "s")
+    got = fitted.transform(frame).collect()
+    assert len(got) == len(rows) and all(abs(r.calibrated - want[r.s]) < 1e-12 for r in got)
+    # Between points a straight line, beyond them the ends, nothing for a null.
+    values = [want[v] for v in points]
+    asked = [0.0, 1.0, None, *(float(v) for v in rng.random(50))]
+    found = fitted.transform(spark.createDataFrame([(v,) for v in asked], "s double"), "c").collect()
+    for r in found:
+        assert r.c is None if r.s is None else abs(r.c - np.interp(r.s, points, values)) < 1e-12
+    assert fitted.transform(frame.where("false")).count() == 0
+    alone = models.fit_isotonic(frame.where("k = 0"), "y", "s").transform(frame.select("s")).select("calibrated").distinct().collect()
+    assert [r[0] for r in alone] == [float(rows[0][1])]
