@@ -155,17 +155,20 @@ def cosine_tfidf_word(spark, sf_dir):
     return rounded(scored.select("conv_id", "turn", "cosine_tfidf_word"))
 
 
+def _lines_with_unknown_parts(spark, sf_dir):
+    """All order lines; the seventh of an order names a part that does not exist."""
+    code = F.when(col("l_linenumber") == 7, -1 - col("l_partkey")).otherwise(col("l_partkey"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", code.alias("l_partkey"))
+
+
 def lookup_name(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    known = _parts(spark, sf_dir).filter(col("p_size") > 25)
-    universe = known.select(col("p_partkey").alias("code"), col("p_name").alias("name"))
-    return retrieval.lookup_name(lines, universe, "l_partkey")
+    universe = _parts(spark, sf_dir).select(col("p_partkey").alias("code"), col("p_name").alias("name"))
+    return retrieval.lookup_name(_lines_with_unknown_parts(spark, sf_dir), universe, "l_partkey")
 
 
 def exists(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    known = _parts(spark, sf_dir).filter(col("p_size") > 25)
-    return retrieval.exists(lines, known.select(col("p_partkey").alias("code")), "l_partkey")
+    universe = _parts(spark, sf_dir).select(col("p_partkey").alias("code"))
+    return retrieval.exists(_lines_with_unknown_parts(spark, sf_dir), universe, "l_partkey")
 
 
 def within_block(spark, sf_dir):
@@ -336,11 +339,10 @@ SELECT conv_id, turn, round(coalesce(dot / nullif(p.norm * q.norm, 0), 0.0), 6)
 FROM turns LEFT JOIN dots USING (conv_id, turn)
 LEFT JOIN norms p ON p.t = text LEFT JOIN norms q ON q.t = next_text""",
     "lookup_name": """
-SELECT l_partkey, l_orderkey, l_linenumber, p_name AS name
-FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 25) ON p_partkey = l_partkey""",
+WITH lines AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN -1 - l_partkey ELSE l_partkey END AS l_partkey FROM lineitem)
+SELECT l_partkey, l_orderkey, l_linenumber, p_name AS name FROM lines LEFT JOIN part ON p_partkey = l_partkey""",
     "exists": """
-SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
-WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)""",
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber <> 7 AND l_partkey IN (SELECT p_partkey FROM part)""",
     "candidate_classes": f"""
 WITH classes AS (SELECT {_DESCRIBED} AS w, min(p_partkey) AS id FROM part GROUP BY 1),
 pairs AS (

@@ -199,11 +199,11 @@ def strategy_summary(spark, sf_dir):
 
 
 def strategy_listing(spark, sf_dir):
-    """The three best codes of every list with their names; a third of the universe is nameless."""
+    """The three best codes of every list with their names; the second of each list is one that nothing names."""
     model, universe = text_universe(spark, sf_dir)
     found = retrieval.retrieve(items(spark, sf_dir), universe, model, 20)
-    named = table(spark, sf_dir, "documents").filter(col("lang") == "en")
-    names = named.select(col("doc_id").cast("string").alias("code"), col("source").alias("name"))
+    found = found.withColumn("code", F.when(col("rank") == 2, F.concat(F.lit("x"), "code")).otherwise(col("code")))
+    names = table(spark, sf_dir, "documents").select(col("doc_id").cast("string").alias("code"), col("source").alias("name"))
     return rounded(retrieval.strategy_listing(found, names, 3))
 
 
@@ -414,7 +414,7 @@ SELECT strategy, i.record_id, i.code AS target, coalesce(rank, -1)::INTEGER AS r
        round(coalesce(score, 0.0), 6) AS score, rank IS NOT NULL AS found
 FROM items i CROSS JOIN names LEFT JOIN merged USING (strategy, record_id, code)""",
     "strategy_listing": f"""WITH {ITEMS}, texts AS (SELECT record_id, code || ' | ' || name AS text FROM items), {EMBED}
-SELECT record_id, r.code, round(score, 6) AS score, rank,
-       CASE WHEN lang = 'en' THEN source ELSE '<missing>' END AS name
+SELECT record_id, CASE WHEN rank = 2 THEN 'x' || r.code ELSE r.code END AS code, round(score, 6) AS score, rank,
+       CASE WHEN rank <> 2 THEN source ELSE '<missing>' END AS name
 FROM texts JOIN ranked r USING (text) JOIN universe u ON u.code = r.code WHERE rank <= 3""",
 }

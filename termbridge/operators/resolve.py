@@ -39,7 +39,7 @@ def parse_response(responses: DataFrame) -> DataFrame:
     """Add the answer's fields and ``error``, null for a usable answer.
 
     An answer must be a JSON object with all required fields and no unknown one;
-    the values themselves are not checked. An empty answer counts as ``{}``.
+    the values themselves are not checked. An empty answer counts as ``{}``. Of a repeated key the last value counts.
     """
     text = F.coalesce(F.nullif("raw_text", F.lit("")), F.lit("{}"))
     keys = F.json_object_keys(text)
@@ -54,7 +54,9 @@ def parse_response(responses: DataFrame) -> DataFrame:
     )
     read = responses.withColumns(
         {
-            "is_json": F.try_parse_json(text).isNotNull(),
+            # The strict parser refuses repeated keys; the one for maps takes the last.
+            "is_json": F.try_parse_json(text).isNotNull()
+            | ((F.size(keys) > F.size(F.array_distinct(keys))) & F.from_json(text, "map<string,string>").isNotNull()),
             "keys": keys,
             "answer": F.from_json(text, ANSWER),
         }

@@ -283,3 +283,12 @@ def test_comparison(spark):
     assert outcomes == ["found_by_second", "already_in_first", "neither", "not_in_set"]
     first = compare.confidence_distribution(joined).first()
     assert (first.run, first.confidence, first.n) == ("baseline", "medium", 2)
+
+
+def test_the_last_of_a_repeated_key_counts(spark):
+    first, last = answer("A"), answer("B")
+    texts = [first[:-1] + ", " + last[1:], first[:-1] + ", " + last, "{" + '"x": 1, "x": 2}']
+    df = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "record_id int, attempt_index int, raw_text string")
+    rows = resolve.parse_response(df).orderBy("record_id").collect()
+    assert (rows[0].error, rows[0].best_match_icd10_code) == (None, "B")
+    assert rows[1].error == "Invalid JSON returned" and rows[2].error.startswith("Schema validation failed: unknown x")
