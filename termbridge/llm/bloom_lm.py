@@ -1,16 +1,20 @@
 """Language-model scores from a log-frequency Bloom filter of quantised bigram counts.
 
-Bigrams are counted over all training texts in buckets by hash. A bigram of count c >= ``MIN_COUNT``
-gets level 1 + floor(log2(c / cut)) and is put into a Bloom filter once per level from 1 on; a reader
-asks for level 1, 2, ... until the filter says no. Every bucket builds its own slice of the
-filter, so bits are set where the counts are. The filter has ``BITS`` bits per entry and at
-most ``MAX_BITS``; ``cut`` is the smallest power of two from ``MIN_COUNT`` on whose entries fit.
-Thus the broadcast has a fixed bound, and a larger corpus raises the cut, not the error rate.
+Bigrams are counted over all training texts in buckets by hash. A bigram of count c gets level
+1 + floor(log2(c)) and is put into a Bloom filter once per level from 1 on; a reader asks
+for level 1, 2, ... until the filter says no. Every bucket has its own slice of the filter, with ``BITS`` bits
+per entry, in a table of the shared folder. The number of buckets grows with the bigrams, so a slice and
+those who ask it fit a task at every size of corpus, and no count is left out.
+
+A filter of a whole corpus has no size bound, so it is not broadcast: blocks of documents send their
+different bigrams to the buckets, where they meet the slice and get levels back.
 
     p(w | v) = s * bigrams(v w) / c(v) + (1 - s) * p(w),   p(w) = (c(w) + 1) / (N + V + 1)
 
 The share s depends on the size of c(v) in powers of two. It is the best of ``SHARES`` for all training
-text when each token is taken out of the counts before it is scored (deleted interpolation).
+text when each token is taken out of the counts before it is scored (deleted interpolation). A level
+stands for the middle of its range of counts, so p(. | v) sums to 1 only about, and the p(w) of all
+V words and one unknown word sum to 1.
 
 Unigram counts are exact. They are summed per bucket and go back to the blocks of documents that
 hold the words, so the vocabulary is never broadcast. Words are known by 64-bit hashes.
@@ -32,17 +36,20 @@ from termbridge.llm.blocks import block_number, pack, placed, ranked, text_block
 from termbridge.session import cut_lineage, shuffle_width
 
 col = F.col
-MIN_COUNT = 2
 BITS = 12  # per entry
-MAX_BITS = 1 << 28
+PER_BUCKET = 1 << 20  # hashes that blocks send to a bucket, about
 PROBES = 4
 SHARES = [0.0, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9]
 CLASSES = 64  # powers of two of c(v)
 END = arrays.U64(0x5851F42D4C957F2D)  # the end of a text, and the context of its first word
-BLOCKS = "block long, words binary, counts binary, doc_ids array<long>, train binary, lengths binary, codes binary"
+BLOCKS = (
+    "block long, words binary, counts binary, pairs binary, pair_counts binary, befores binary, seconds binary, "
+    "doc_ids array<long>, train binary, lengths binary, codes binary, n_words long, n_pairs long"
+)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block its different words and bigrams, each with its count in training text, and the tokens as bigram numbers."""
     for n, block in enumerate(text_blocks(batches)):
         size, hashes, counts = block.num_rows, [], []
         for part in block.to_batches():
@@ -57,18 +64,31 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_end = np.zeros(len(tokens), bool)
         is_end[ends] = True
         tokens[is_end], tokens[~is_end] = END, hashes
-        known, codes = np.unique(tokens, return_inverse=True)
-        learned = np.bincount(codes[np.repeat(train, counts + 1)], minlength=len(known))
-        codes, order = ranked(codes, len(known))
+        learned = np.repeat(train, counts + 1)
+        known, words = np.unique(tokens, return_inverse=True)
+        # A text's first token follows an end: that of the text before, or one set before the block.
+        before = np.concatenate([np.searchsorted(known, [END]), words[:-1]])
+        found, codes = np.unique(before * len(known) + words, return_inverse=True)
+        codes, order = ranked(codes, len(found))
+        befores, seconds = np.divmod(found[order], len(known))
+        packed = [
+            pack(np.bincount(words[learned], minlength=len(known))),
+            _bigrams(known[befores], known[seconds]).tobytes(),
+            pack(np.bincount(codes[learned], minlength=len(found))),
+            pack(befores),
+            pack(seconds),
+        ]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([block_number(n)], pa.int64()),
-                pa.array([known[order].tobytes()], pa.binary()),
-                pa.array([pack(learned[order])], pa.binary()),
+                pa.array([known.tobytes()], pa.binary()),
+                *[pa.array([x], pa.binary()) for x in packed],
                 pa.array([block.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                 pa.array([np.packbits(train).tobytes()], pa.binary()),
                 pa.array([pack(counts + 1)], pa.binary()),
                 pa.array([pack(codes)], pa.binary()),
+                pa.array([len(known)], pa.int64()),
+                pa.array([len(found)], pa.int64()),
             ],
             [x.split()[0] for x in BLOCKS.split(", ")],
         )
@@ -99,11 +119,15 @@ def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
 
-def _ask_words(n_buckets: int):
+def _ask(n_buckets: int, only_learned: bool = False):
+    """A block's different hashes with their counts, bucket by bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _each(batch):
                 words, counts = _hashes(row["words"]), unpack(row["counts"])
+                if only_learned:
+                    words, counts = words[counts > 0], counts[counts > 0]
                 order = np.argsort(words)
                 out = [(row["block"], k, w.tobytes(), pack(c)) for k, w, c in _dealt(words[order], counts[order], n_buckets)]
                 yield _rows(out, ["block", "bucket", "words", "counts"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
@@ -130,137 +154,132 @@ def _tell_counts(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "bucket", "totals", "n_tokens", "n_types"])
 
 
-def _bigrams(tokens: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before; a text's first token follows an end."""
-    before = np.concatenate([np.array([END]), tokens[:-1]])
+def _bigrams(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Hash of each token with the one before."""
     return arrays.mix(before * arrays.U64(0x9E3779B97F4A7C15) + tokens)
 
 
-def _ask_bigrams(n_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _each(batch):
-                lengths = unpack(row["lengths"])
-                train = np.unpackbits(np.frombuffer(row["train"], np.uint8))[: len(lengths)].astype(bool)
-                found = _bigrams(_hashes(row["words"])[unpack(row["codes"])])[np.repeat(train, lengths)]
-                known, counts = np.unique(found, return_counts=True)
-                out = [(k, w.tobytes(), pack(c)) for k, w, c in _dealt(known, counts, n_buckets)]
-                yield _rows(out, ["bucket", "words", "counts"], [pa.int32(), pa.binary(), pa.binary()])
+def _bits_of(hashes: np.ndarray, level: int, probe: int, size: int) -> np.ndarray:
+    shift = (level * PROBES + probe + 1) * 0xD6E8FEB86659FD93 % (1 << 64)
+    return (arrays.mix(hashes + arrays.U64(shift)) % arrays.U64(size)).astype(np.int64)
 
-    return run
 
+class CountFilter:
+    """Quantised counts of the hashes of a bucket."""
+
+    def __init__(self, bits: bytes):
+        self.bits = np.frombuffer(bits, np.uint8)
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, counts: np.ndarray, bits: int = BITS) -> CountFilter:
+        """The filter of different hashes with counts from 1 on, with ``bits`` bits per entry."""
+        levels = np.frexp(counts.astype(np.float64))[1]
+        size = 64 * max(1, -(-int(levels.sum()) * bits // 64))
+        marks = np.zeros(size, np.uint8)
+        for level in range(1, int(levels.max(initial=0)) + 1):
+            own = hashes[levels >= level]
+            for probe in range(PROBES):
+                marks[_bits_of(own, level, probe, size)] = 1
+        return cls(np.packbits(marks).tobytes())
 
-def _count_bigrams(rows: pd.DataFrame) -> pd.DataFrame:
-    """Frequent bigrams of a bucket with floor(log2(count)), and how many there are of each."""
-    known, total, _ = _merged(rows["words"], rows["counts"])
-    often = total >= MIN_COUNT
-    powers = np.floor(np.log2(total[often])).astype(np.int64)
-    histogram = np.bincount(powers, minlength=64).tolist()
-    return pd.DataFrame(
-        {"bucket": [rows["bucket"].iloc[0]], "words": [known[often].tobytes()], "powers": [pack(powers)], "histogram": [histogram]}
-    )
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """1 + floor(log2(count)) or, by a false yes, more; 0 for unknown hashes or, by a false yes, more."""
+        found, left, level = np.zeros(len(hashes), np.int64), np.arange(len(hashes)), 0
+        while len(left) and level < 64:
+            level += 1
+            for probe in range(PROBES):
+                at = _bits_of(hashes[left], level, probe, 8 * len(self.bits))
+                left = left[(self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+            found[left] = level
+        return found
 
 
-def _bits_of(hashes: np.ndarray, level: int, probe: int, size: int) -> np.ndarray:
-    shift = (level * PROBES + probe + 1) * 0xD6E8FEB86659FD93 % (1 << 64)
-    return (arrays.mix(hashes + arrays.U64(shift)) % arrays.U64(size)).astype(np.int64)
+def middle(levels: np.ndarray) -> np.ndarray:
+    """Middle of the whole numbers from 2^(level - 1) to 2^level - 1, 0 for level 0."""
+    return np.where(levels > 0, 0.75 * 2.0**levels - 0.5, 0.0)
 
 
-def _slices(cut: int, size: int):
-    """The filter's slice of each bucket."""
+def _slice(bits: int):
+    """A bucket's slice of the filter."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _each(batch):
-                words, levels = _hashes(row["words"]), unpack(row["powers"]) - cut + 1
-                bits = np.zeros(size, np.uint8)
-                for level in range(1, int(levels.max(initial=0)) + 1):
-                    own = words[levels >= level]
-                    for probe in range(PROBES):
-                        bits[_bits_of(own, level, probe, size)] = 1
-                yield _rows([(row["bucket"], np.packbits(bits).tobytes())], ["bucket", "bits"], [pa.int32(), pa.binary()])
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        known, total, _ = _merged(rows["words"], rows["counts"])
+        return pd.DataFrame({"bucket": [rows["bucket"].iloc[0]], "bits": [CountFilter.of(known, total, bits).bits.tobytes()]})
 
     return run
 
 
-class CountFilter:
-    """Quantised counts of hashes."""
-
-    def __init__(self, slices: dict[int, bytes], n_buckets: int, size: int, cut: int):
-        self.n_buckets, self.size, self.cut = n_buckets, size, cut
-        empty = bytes(size // 8)
-        self.bits = b"".join(slices.get(k, empty) for k in range(n_buckets))
-
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Middle of each hash's range of counts, 0 for unknown ones."""
-        data = np.frombuffer(self.bits, np.uint8)
-        found = np.zeros(len(hashes))
-        base = _bucket(hashes, self.n_buckets).astype(np.int64) * self.size
-        left, level = np.arange(len(hashes)), 0
-        while len(left) and level < 64:
-            level += 1
-            for probe in range(PROBES):
-                at = base[left] + _bits_of(hashes[left], level, probe, self.size)
-                left = left[(data[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
-            found[left] = 1.5 * 2.0 ** (self.cut + level - 1)
-        return found
+def _tell_levels(asked: pd.DataFrame, slices: pd.DataFrame) -> pd.DataFrame:
+    """To every block the levels of its bigrams of a bucket; a bucket in which nothing was learned has no slice."""
+    filter_ = CountFilter(slices["bits"].iloc[0]) if len(slices) else None
+    out = []
+    for block, bucket, words in zip(asked["block"], asked["bucket"], asked["words"]):
+        hashes = _hashes(words)
+        out.append((block, bucket, pack(filter_.levels(hashes) if filter_ else np.zeros(len(hashes), np.int64))))
+    return pd.DataFrame(out, columns=["block", "bucket", "levels"])
+
+
+def _replies(hashes: np.ndarray, replies: list[dict] | None, block: int) -> np.ndarray:
+    """The buckets' replies in the order of the block's hashes."""
+    parts = sorted(replies or [], key=lambda r: r["bucket"])
+    told = np.concatenate([unpack(r["told"]) for r in parts] or [np.zeros(0, np.int64)])
+    if len(told) != len(hashes):
+        raise ValueError(f"block {block} got replies on {len(told)} of its {len(hashes)} hashes")
+    out = np.empty(len(hashes), np.int64)
+    out[np.argsort(hashes)] = told
+    return out
 
 
 class _Block:
-    """A block's tokens with the counts of all training text."""
-
-    def __init__(self, row: dict, filter_: CountFilter, mass: float):
-        words, codes, self.lengths = _hashes(row["words"]), unpack(row["codes"]), unpack(row["lengths"])
-        replies = sorted(row["replies"] or [], key=lambda r: r["bucket"])
-        totals = np.concatenate([unpack(r["totals"]) for r in replies] or [np.zeros(0, np.int64)])
-        if len(totals) != len(words):
-            raise ValueError(f"block {row['block']} got counts of {len(totals)} of its {len(words)} words")
-        counts = np.zeros(len(words), np.int64)
-        counts[np.argsort(words)] = totals
-        self.train = np.unpackbits(np.frombuffer(row["train"], np.uint8))[: len(self.lengths)].astype(bool)
-        self.own = counts[codes]
-        self.single = ((counts + 1) / mass)[codes]
-        self.before = np.concatenate([[counts[words == END].sum()], self.own[:-1]])  # an end stands before each text
-        self.pairs = np.minimum(filter_.counts(_bigrams(words[codes])), np.minimum(self.before, self.own))
+    """A block's different bigrams with the counts of all training text."""
+
+    def __init__(self, row: dict, mass: float):
+        words, pairs = _hashes(row["words"]), _hashes(row["pairs"])
+        counts = _replies(words, row["of_words"], row["block"])
+        befores, seconds = unpack(row["befores"]), unpack(row["seconds"])
+        self.own, self.before = counts[seconds], counts[befores]
+        self.single = (self.own + 1) / mass
+        self.pairs = np.minimum(middle(_replies(pairs, row["of_pairs"], row["block"])), np.minimum(self.before, self.own))
         self.kind = np.frexp(np.maximum(self.before, 1).astype(np.float64))[1] - 1
 
 
-def _tune(shared, mass: float):
+def _tune(mass: float):
     """Log-likelihood of training tokens by kind of context and share, each taken out of the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((CLASSES, len(SHARES)))
         for batch in batches:
             for row in _each(batch):
-                b = _Block(row, shared.value, mass)
-                own = np.repeat(b.train, b.lengths)
-                kind, single = b.kind[own], (b.own[own] / mass)
+                b, times = _Block(row, mass), unpack(row["pair_counts"])
+                own = times > 0
+                times, kind, single = times[own], b.kind[own], b.own[own] / mass
                 share = np.maximum(b.pairs[own] - 1, 0) / np.maximum(b.before[own] - 1, 1)
                 for k, s in enumerate(SHARES):
-                    sums[:, k] += np.bincount(kind, weights=np.log(s * share + (1 - s) * single), minlength=CLASSES)
+                    sums[:, k] += np.bincount(kind, weights=times * np.log(s * share + (1 - s) * single), minlength=CLASSES)
         out = [(k, s, float(sums[k, s])) for k in range(CLASSES) for s in range(len(SHARES)) if sums[k].any()]
         yield _rows(out, ["kind", "share", "total"], [pa.int32(), pa.int32(), pa.float64()])
 
     return run
 
 
-def _score(shared, shares: list[float], mass: float):
+def _score(shares: list[float], mass: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_kind = np.array(shares)
         for batch in batches:
             for row in _each(batch):
-                b = _Block(row, shared.value, mass)
+                b, codes, lengths = _Block(row, mass), unpack(row["codes"]), unpack(row["lengths"])
+                train = np.unpackbits(np.frombuffer(row["train"], np.uint8))[: len(lengths)].astype(bool)
                 s = by_kind[b.kind]
                 chance = s * b.pairs / np.maximum(b.before, 1) + (1 - s) * b.single
-                starts = np.cumsum(b.lengths) - b.lengths
+                starts = np.cumsum(lengths) - lengths
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(~b.train),
-                        pa.array(b.lengths),
-                        pa.array(np.add.reduceat((b.own > 0).astype(np.int64), starts)),
-                        pa.array(np.add.reduceat(np.log10(b.single), starts)),
-                        pa.array(np.add.reduceat(np.log10(chance), starts)),
+                        pa.array(~train),
+                        pa.array(lengths),
+                        pa.array(np.add.reduceat((b.own > 0).astype(np.int64)[codes], starts)),
+                        pa.array(np.add.reduceat(np.log10(b.single)[codes], starts)),
+                        pa.array(np.add.reduceat(np.log10(chance)[codes], starts)),
                     ],
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
                 )
@@ -269,47 +288,50 @@ def _score(shared, shares: list[float], mass: float):
 
 
 def score_texts(
-    documents: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None, max_bits: int = MAX_BITS
+    documents: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None, bits: int = BITS
 ) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     Learns from rows whose boolean column ``train`` is true and scores all. Tokens are words and one
     end per text; a null or empty text is an end alone. If nothing is learned, all scores are 0.
     Rows may repeat or lack a doc_id; each gives a row. A null in ``train`` counts as false. An empty table gives no
-    rows. Other columns are not read.
+    rows. Other columns are not read. ``bits`` of the filter per entry decide how many bigrams are
+    known by mistake (12: less than 1 % of those asked for), ``buckets`` only how the work is dealt.
     """
-    spark = documents.sparkSession
-    n_buckets = buckets or 2 * shuffle_width(documents)
+    width = shuffle_width(documents)
     given = documents.select(
         col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").alias("text"), F.coalesce(col(train), F.lit(False)).alias("train")
     )
-    table = placed(given.mapInArrow(_blocks, BLOCKS), shuffle_width(documents), "block")
-    asked = table.select("block", "words", "counts").mapInArrow(_ask_words(n_buckets), "block long, bucket int, words binary, counts binary")
-    told = asked.groupBy("bucket").applyInPandas(_tell_counts, "block long, bucket int, totals binary, n_tokens long, n_types long")
+    table = placed(given.mapInArrow(_blocks, BLOCKS), width, "block")
+    sent = table.agg(F.sum("n_words"), F.sum("n_pairs")).first()
+    n_words, n_pairs = [buckets or max(2 * width, -(-(n or 0) // PER_BUCKET)) for n in sent]
+
+    asks = "block long, bucket int, words binary, counts binary"
+    words = table.select("block", "words", "counts")
+    told = words.mapInArrow(_ask(n_words), asks).groupBy("bucket").applyInPandas(
+        _tell_counts, "block long, bucket int, totals binary, n_tokens long, n_types long"
+    )
     told = cut_lineage(told)
     n_tokens, n_types = told.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
 
-    seen = table.select("words", "train", "lengths", "codes").mapInArrow(_ask_bigrams(n_buckets), "bucket int, words binary, counts binary")
-    bigrams = seen.groupBy("bucket").applyInPandas(_count_bigrams, "bucket int, words binary, powers binary, histogram array<long>")
-    bigrams = cut_lineage(bigrams)
-    powers = bigrams.select(F.posexplode("histogram").alias("power", "n")).groupBy("power").agg(F.sum("n").alias("n")).collect()
-    many = {r["power"]: r["n"] for r in powers}  # 64 rows
-    cut = MIN_COUNT.bit_length() - 1
-    while (entries := sum(n * (p - cut + 1) for p, n in many.items() if p >= cut)) * BITS > max_bits:
-        cut += 1
-    size = 64 * max(1, -(-entries * BITS // (64 * n_buckets)))
-    # The slices together are the filter: at most max_bits and 64 bits a bucket.
-    slices = {r["bucket"]: bytes(r["bits"]) for r in bigrams.select("bucket", "words", "powers").mapInArrow(_slices(cut, size), "bucket int, bits binary").collect()}
-    shared = spark.sparkContext.broadcast(CountFilter(slices, n_buckets, size, cut))
-
-    replies = told.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "totals")).alias("replies"))
-    rows = table.select("block", "words", "doc_ids", "train", "lengths", "codes").join(replies, "block", "left")
+    pairs = table.select("block", col("pairs").alias("words"), col("pair_counts").alias("counts"))
+    learned = pairs.mapInArrow(_ask(n_pairs, only_learned=True), asks).drop("block")
+    slices = cut_lineage(learned.groupBy("bucket").applyInPandas(_slice(bits), "bucket int, bits binary"))
+    asked = pairs.mapInArrow(_ask(n_pairs), asks).drop("counts")
+    levels = asked.groupBy("bucket").cogroup(slices.groupBy("bucket")).applyInPandas(_tell_levels, "block long, bucket int, levels binary")
+
+    # Both kinds of replies gather at their block once; tuning and scoring then read what lies together.
+    replies = told.where("block >= 0").select("block", F.struct("bucket", col("totals").alias("told")).alias("of_words"), F.lit(None).alias("of_pairs"))
+    replies = replies.union(levels.select("block", F.lit(None), F.struct("bucket", col("levels").alias("told"))))
+    replies = replies.groupBy("block").agg(F.collect_list("of_words").alias("of_words"), F.collect_list("of_pairs").alias("of_pairs"))
+    rows = table.join(placed(replies, width, "block"), "block", "left")
     mass = float(n_tokens + n_types + 1)
-    tuned = rows.mapInArrow(_tune(shared, mass), "kind int, share int, total double").groupBy("kind", "share").agg(F.sum("total").alias("total"))
+    shown = ["block", "words", "pairs", "befores", "seconds", "of_words", "of_pairs"]
+    tuned = rows.select(*shown, "pair_counts").mapInArrow(_tune(mass), "kind int, share int, total double")
     best: dict[int, tuple] = {}
-    for r in tuned.collect():  # CLASSES * len(SHARES) rows
+    for r in tuned.groupBy("kind", "share").agg(F.sum("total").alias("total")).collect():  # CLASSES * len(SHARES) rows
         best[r["kind"]] = max(best.get(r["kind"], (-math.inf, 0)), (round(r["total"], 3), r["share"]))
     shares = [SHARES[best[k][1]] if k in best else 0.0 for k in range(CLASSES)]
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    done = rows.mapInArrow(_score(shared, shares, mass), schema)
+    done = rows.select(*shown, "doc_ids", "train", "lengths", "codes").mapInArrow(_score(shares, mass), schema)
     return done.withColumn("train_tokens", F.lit(n_tokens).cast("long"))
