@@ -9,7 +9,11 @@ their last undecided documents form the blocks of the next level, so a source of
 takes log(size) / log(BLOCK) shuffles of ever fewer rows. At the end one document of a
 source is rounded by chance.
 
-Random numbers are hashes of the document, its size and the seed, so reruns agree.
+Rows that are alike in doc_id, source and text share their copies evenly: of n such rows n * p more copies are
+wanted, the whole part is given to the first and only the rest is drawn. They are numbered by the part of
+the scan they come from, so no row, however often it repeats, gathers in one task.
+
+Random numbers are hashes of the document, its text and the seed, so reruns agree.
 """
 
 from __future__ import annotations
@@ -142,18 +146,25 @@ def mix_sources(
     """``documents`` with size, source_size, target (of the source, in words), copies and taken (words).
 
     A null or empty text has size 0, takes nothing and has 0 copies. Rows without a source form
-    the last source. Rows with the same doc_id (or none), source and size are drawn together.
-    Sources without words have target 0. Input columns with the five names are replaced. An empty
-    table gives no rows. ``share`` is the size of the mix against all words.
+    the last source. Rows without a doc_id or with the same one are drawn one by one; of rows alike in doc_id, source
+    and text, some get one copy more than others. Sources without words have target 0. Input columns
+    with the five names are replaced. An empty table gives no rows. ``share`` is the size of the mix
+    against all words. Rows alike are numbered by partition, so ``documents`` is a plain scan or another
+    plan that deals its rows alike when it runs again.
     """
     made = ["size", "source_size", "target", "copies", "taken"]
     carried = [c for c in documents.columns if c not in made]
     words = F.coalesce(F.regexp_count(col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    inputs = documents.select(*[col(f"`{c}`") for c in carried], words.alias("size"), col(source).alias("__source"))
-    inputs = inputs.withColumn("__row", F.xxhash64(col(doc_id), "__source", "size"))
-    units = inputs.groupBy(col("__row").alias("row"), col("__source").alias("source"), col("size").alias("each"))
-    units = cut_lineage(units.agg(F.count("*").alias("n"), F.sum("size").alias("size")))
-    totals = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("n_docs"))
+    row = F.xxhash64(col(doc_id), col(source), col(text)).alias("__row")
+    inputs = documents.select(*[col(f"`{c}`") for c in carried], words.alias("size"), col(source).alias("__source"), row)
+    inputs = inputs.withColumn("__part", F.spark_partition_id())
+    groups = inputs.groupBy("__row", col("__source").alias("source"), "size", "__part").agg(F.count("*").alias("n"))
+    alike = Window.partitionBy("__row", "source", "size")  # at most a row per part
+    earlier = alike.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    groups = cut_lineage(
+        groups.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("all", F.sum("n").over(alike))
+    )
+    totals = groups.groupBy("source").agg(F.sum(col("size") * col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     wanted = targets(totals, weights, share)
     ratio = F.when(col("source_size") > 0, F.least(col("target") / col("source_size"), F.lit(float(MOST)))).otherwise(F.lit(0.0))
     whole = F.floor(ratio + SMALL)
@@ -167,9 +178,17 @@ def mix_sources(
             F.when(part > SMALL, part).otherwise(F.lit(0.0)).alias("p"),
         )
     )
-    drawn = units.join(rates, col("source").eqNullSafe(col("s"))).where("p > 0 AND size > 0")
-    drawn = rounded(drawn.select("row", "source", "p", "size"), seed).select(col("row").alias("__row"), "copy")
-    done = inputs.join(drawn, "__row", "left").join(rates, col("__source").eqNullSafe(col("s")), "left")
-    copies = F.when(col("size") > 0, col("whole") + F.coalesce("copy", F.lit(0))).otherwise(F.lit(0))
+    # Of n rows alike n * p get one copy more: the whole part of them surely, one by chance.
+    more = col("all") * col("p")
+    due = groups.join(rates, col("source").eqNullSafe(col("s"))).where("p > 0 AND size > 0")
+    due = due.withColumn("sure", F.floor(more + SMALL)).withColumn("rest", more - F.floor(more + SMALL))
+    drawn = due.where((col("before") == 0) & (col("rest") > SMALL)).select(col("__row").alias("row"), "source", col("rest").alias("p"), "size")
+    drawn = rounded(drawn, seed).select(col("row").alias("__row"), "copy")
+    due = due.join(drawn, "__row", "left")
+    extra = F.least(col("sure") + F.coalesce("copy", F.lit(0)) - col("before"), col("n"))
+    due = due.select("__row", "__part", extra.cast("int").alias("extra")).where("extra > 0")
+    nth = F.row_number().over(Window.partitionBy("__row", "__part").orderBy("__part"))
+    done = inputs.withColumn("__nth", nth).join(due, ["__row", "__part"], "left").join(rates, col("__source").eqNullSafe(col("s")), "left")
+    copies = F.when(col("size") > 0, col("whole") + (col("__nth") <= F.coalesce("extra", F.lit(0))).cast("int")).otherwise(F.lit(0))
     done = done.withColumn("copies", copies).withColumn("taken", col("copies") * col("size"))
     return done.select(*[col(f"`{c}`") for c in carried], *made)
