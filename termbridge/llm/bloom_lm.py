@@ -18,6 +18,7 @@ V words and one unknown word sum to 1.
 
 Unigram counts are exact. They are summed per bucket and go back to the blocks of documents that
 hold the words, so the vocabulary is never broadcast. Words are known by 64-bit hashes.
+A block keeps its bigrams as pairs of word numbers in order; their hashes are made where they are sent.
 """
 
 from __future__ import annotations
@@ -32,52 +33,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termbridge.llm import arrays
-from termbridge.llm.blocks import block_number, pack, placed, ranked, text_blocks, unpack
+from termbridge.llm.blocks import BLOCK_BYTES, block_number, pack, placed, text_blocks, unpack
 from termbridge.session import cut_lineage, shuffle_width
 
 col = F.col
 BITS = 12  # per entry
 PER_BUCKET = 1 << 20  # hashes that blocks send to a bucket, about
+PAIR_BITS = 48  # of the hash of a bigram: two alike are rarer than false yeses of the filter
 PROBES = 4
 SHARES = [0.0, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9]
 CLASSES = 64  # powers of two of c(v)
 END = arrays.U64(0x5851F42D4C957F2D)  # the end of a text, and the context of its first word
 BLOCKS = (
-    "block long, words binary, counts binary, pairs binary, pair_counts binary, befores binary, seconds binary, "
+    "block long, words binary, counts binary, keys binary, pair_counts binary, "
     "doc_ids array<long>, train binary, lengths binary, codes binary, n_words long, n_pairs long"
 )
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block its different words and bigrams, each with its count in training text, and the tokens as bigram numbers."""
-    for n, block in enumerate(text_blocks(batches)):
+    for n, block in enumerate(text_blocks(batches, BLOCK_BYTES // 2)):
         size, hashes, counts = block.num_rows, [], []
         for part in block.to_batches():
             for piece in arrays.pieces(part, "text", 1 << 20):  # work arrays are many times the text
                 own, rows, _ = arrays.words(*arrays.flat(piece.column("text")))
                 hashes.append(own)
                 counts.append(np.bincount(rows, minlength=piece.num_rows))
-        hashes, counts = np.concatenate(hashes), np.concatenate(counts)
+        counts = np.concatenate(counts)
         train = np.array(block.column("train").to_pylist(), bool)
-        ends = np.cumsum(counts + 1) - 1
-        tokens = np.zeros(len(hashes) + size, arrays.U64)
-        is_end = np.zeros(len(tokens), bool)
-        is_end[ends] = True
-        tokens[is_end], tokens[~is_end] = END, hashes
+        is_end = np.zeros(int(counts.sum()) + size, bool)
+        is_end[np.cumsum(counts + 1) - 1] = True
+        tokens = np.full(len(is_end), END, arrays.U64)
+        tokens[~is_end] = np.concatenate(hashes)
+        del hashes, is_end
         learned = np.repeat(train, counts + 1)
         known, words = np.unique(tokens, return_inverse=True)
+        del tokens
         # A text's first token follows an end: that of the text before, or one set before the block.
-        before = np.concatenate([np.searchsorted(known, [END]), words[:-1]])
-        found, codes = np.unique(before * len(known) + words, return_inverse=True)
-        codes, order = ranked(codes, len(found))
-        befores, seconds = np.divmod(found[order], len(known))
-        packed = [
-            pack(np.bincount(words[learned], minlength=len(known))),
-            _bigrams(known[befores], known[seconds]).tobytes(),
-            pack(np.bincount(codes[learned], minlength=len(found))),
-            pack(befores),
-            pack(seconds),
-        ]
+        keys = np.concatenate([np.searchsorted(known, [END]), words[:-1]]) * len(known) + words
+        told = pack(np.bincount(words[learned], minlength=len(known)))
+        del words
+        keys, codes = np.unique(keys, return_inverse=True)
+        packed = [told, pack(np.diff(keys, prepend=0)), pack(np.bincount(codes[learned], minlength=len(keys)))]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([block_number(n)], pa.int64()),
@@ -88,20 +85,20 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([pack(counts + 1)], pa.binary()),
                 pa.array([pack(codes)], pa.binary()),
                 pa.array([len(known)], pa.int64()),
-                pa.array([len(found)], pa.int64()),
+                pa.array([len(keys)], pa.int64()),
             ],
             [x.split()[0] for x in BLOCKS.split(", ")],
         )
 
 
-def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
+def _bucket(hashes: np.ndarray, n: int, bits: int = 64) -> np.ndarray:
     """Buckets by the leading bits: hashes in order are buckets in order."""
-    return ((hashes >> arrays.U64(32)) * arrays.U64(n)) >> arrays.U64(32)
+    return ((hashes >> arrays.U64(bits - 32)) * arrays.U64(n)) >> arrays.U64(32)
 
 
-def _dealt(hashes: np.ndarray, counts: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _dealt(hashes: np.ndarray, counts: np.ndarray, n: int, bits: int = 64) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Sorted hashes with their counts, bucket by bucket."""
-    names, starts = np.unique(_bucket(hashes, n).astype(np.int64), return_index=True)
+    names, starts = np.unique(_bucket(hashes, n, bits).astype(np.int64), return_index=True)
     for k, a, b in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(hashes)]):
         yield k, hashes[a:b], counts[a:b]
 
@@ -119,25 +116,50 @@ def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
 
-def _ask(n_buckets: int, only_learned: bool = False):
-    """A block's different hashes with their counts, bucket by bucket."""
+ASKS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
+
+
+def _ask_words(n_buckets: int):
+    """A block's different words with their counts, bucket by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _each(batch):
                 words, counts = _hashes(row["words"]), unpack(row["counts"])
-                if only_learned:
-                    words, counts = words[counts > 0], counts[counts > 0]
                 order = np.argsort(words)
                 out = [(row["block"], k, w.tobytes(), pack(c)) for k, w, c in _dealt(words[order], counts[order], n_buckets)]
-                yield _rows(out, ["block", "bucket", "words", "counts"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
+                yield _rows(out, ASKS.names, ASKS.types)
+
+    return run
+
+
+def _ask_pairs(n_buckets: int, learned: bool):
+    """A block's different bigrams bucket by bucket: those of training text with their counts, or all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _each(batch):
+                words, counts = _hashes(row["words"]), unpack(row["pair_counts"])
+                pairs = _bigrams(words, *_pairs_of(row))
+                if learned:
+                    pairs, counts = pairs[counts > 0], counts[counts > 0]
+                order = np.argsort(pairs)
+                out = [
+                    (row["block"], k, pack(np.diff(p, prepend=arrays.U64(0))), pack(c) if learned else None)
+                    for k, p, c in _dealt(pairs[order], counts[order], n_buckets, PAIR_BITS)
+                ]
+                yield _rows(out, ASKS.names, ASKS.types)
 
     return run
 
 
-def _merged(words: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sorted_pairs(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data)).astype(arrays.U64)
+
+
+def _merged(hashes: list[np.ndarray], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different hashes, their summed counts, and where each given hash is among them."""
-    known, place = np.unique(np.concatenate([_hashes(w) for w in words]), return_inverse=True)
+    known, place = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.zeros(len(known), np.int64)
     np.add.at(total, place, np.concatenate([unpack(c) for c in counts]))
     return known, total, place
@@ -145,7 +167,7 @@ def _merged(words: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.nda
 
 def _tell_counts(rows: pd.DataFrame) -> pd.DataFrame:
     """To every block the counts of its words of a bucket, and once the bucket's sums under block -1."""
-    _, total, place = _merged(rows["words"], rows["counts"])
+    _, total, place = _merged([_hashes(w) for w in rows["words"]], rows["counts"])
     out, start, bucket = [(-1, rows["bucket"].iloc[0], None, int(total.sum()), int((total > 0).sum()))], 0, rows["bucket"].iloc[0]
     for block, words in zip(rows["block"], rows["words"]):
         n = len(words) // 8
@@ -154,9 +176,14 @@ def _tell_counts(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "bucket", "totals", "n_tokens", "n_types"])
 
 
-def _bigrams(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before."""
-    return arrays.mix(before * arrays.U64(0x9E3779B97F4A7C15) + tokens)
+def _pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The word numbers of a block's bigrams."""
+    return np.divmod(np.cumsum(unpack(row["keys"])), len(row["words"]) // 8)
+
+
+def _bigrams(words: np.ndarray, befores: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+    """Hash of each word with the one before."""
+    return arrays.mix(words[befores] * arrays.U64(0x9E3779B97F4A7C15) + words[seconds]) >> arrays.U64(64 - PAIR_BITS)
 
 
 def _bits_of(hashes: np.ndarray, level: int, probe: int, size: int) -> np.ndarray:
@@ -203,7 +230,7 @@ def _slice(bits: int):
     """A bucket's slice of the filter."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        known, total, _ = _merged(rows["words"], rows["counts"])
+        known, total, _ = _merged([_sorted_pairs(w) for w in rows["words"]], rows["counts"])
         return pd.DataFrame({"bucket": [rows["bucket"].iloc[0]], "bits": [CountFilter.of(known, total, bits).bits.tobytes()]})
 
     return run
@@ -214,7 +241,7 @@ def _tell_levels(asked: pd.DataFrame, slices: pd.DataFrame) -> pd.DataFrame:
     filter_ = CountFilter(slices["bits"].iloc[0]) if len(slices) else None
     out = []
     for block, bucket, words in zip(asked["block"], asked["bucket"], asked["words"]):
-        hashes = _hashes(words)
+        hashes = _sorted_pairs(words)
         out.append((block, bucket, pack(filter_.levels(hashes) if filter_ else np.zeros(len(hashes), np.int64))))
     return pd.DataFrame(out, columns=["block", "bucket", "levels"])
 
@@ -234,9 +261,9 @@ class _Block:
     """A block's different bigrams with the counts of all training text."""
 
     def __init__(self, row: dict, mass: float):
-        words, pairs = _hashes(row["words"]), _hashes(row["pairs"])
+        words, (befores, seconds) = _hashes(row["words"]), _pairs_of(row)
         counts = _replies(words, row["of_words"], row["block"])
-        befores, seconds = unpack(row["befores"]), unpack(row["seconds"])
+        pairs = _bigrams(words, befores, seconds)
         self.own, self.before = counts[seconds], counts[befores]
         self.single = (self.own + 1) / mass
         self.pairs = np.minimum(middle(_replies(pairs, row["of_pairs"], row["block"])), np.minimum(self.before, self.own))
@@ -308,16 +335,16 @@ def score_texts(
 
     asks = "block long, bucket int, words binary, counts binary"
     words = table.select("block", "words", "counts")
-    told = words.mapInArrow(_ask(n_words), asks).groupBy("bucket").applyInPandas(
+    told = words.mapInArrow(_ask_words(n_words), asks).groupBy("bucket").applyInPandas(
         _tell_counts, "block long, bucket int, totals binary, n_tokens long, n_types long"
     )
     told = cut_lineage(told)
     n_tokens, n_types = told.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
 
-    pairs = table.select("block", col("pairs").alias("words"), col("pair_counts").alias("counts"))
-    learned = pairs.mapInArrow(_ask(n_pairs, only_learned=True), asks).drop("block")
+    pairs = table.select("block", "words", "keys", "pair_counts")
+    learned = pairs.mapInArrow(_ask_pairs(n_pairs, True), asks).drop("block")
     slices = cut_lineage(learned.groupBy("bucket").applyInPandas(_slice(bits), "bucket int, bits binary"))
-    asked = pairs.mapInArrow(_ask(n_pairs), asks).drop("counts")
+    asked = pairs.mapInArrow(_ask_pairs(n_pairs, False), asks).drop("counts")
     levels = asked.groupBy("bucket").cogroup(slices.groupBy("bucket")).applyInPandas(_tell_levels, "block long, bucket int, levels binary")
 
     # Both kinds of replies gather at their block once; tuning and scoring then read what lies together.
@@ -326,7 +353,7 @@ def score_texts(
     replies = replies.groupBy("block").agg(F.collect_list("of_words").alias("of_words"), F.collect_list("of_pairs").alias("of_pairs"))
     rows = table.join(placed(replies, width, "block"), "block", "left")
     mass = float(n_tokens + n_types + 1)
-    shown = ["block", "words", "pairs", "befores", "seconds", "of_words", "of_pairs"]
+    shown = ["block", "words", "keys", "of_words", "of_pairs"]
     tuned = rows.select(*shown, "pair_counts").mapInArrow(_tune(mass), "kind int, share int, total double")
     best: dict[int, tuple] = {}
     for r in tuned.groupBy("kind", "share").agg(F.sum("total").alias("total")).collect():  # CLASSES * len(SHARES) rows
