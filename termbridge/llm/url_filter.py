@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termbridge.llm.components import connected_components
+from termbridge.session import cut_lineage
 
 col = F.col
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -172,7 +173,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
     rules = rules.groupBy("rule").agg(F.min("verdict").alias("verdict"))  # "allow" comes before "block"
     links = None
     if html:
-        links = page_links(rows)
+        links = cut_lineage(page_links(rows))  # read as nodes, names and edges; pages are parsed once
     if redirects is not None:
         known = redirects.select("source", "target")
         links = known if links is None else links.union(known)
