@@ -10,8 +10,9 @@ takes log(size) / log(BLOCK) shuffles of ever fewer rows. At the end one documen
 source is rounded by chance.
 
 Rows that are alike in doc_id, source and text share their copies evenly: of n such rows n * p more copies are
-wanted, the whole part is given to the first and only the rest is drawn. They are numbered by the part of
-the scan they come from, so no row, however often it repeats, gathers in one task.
+wanted, the whole part is given to the first and only the rest is drawn. They are numbered by the file
+they come from, so a row that repeats gathers in one task a file only, and the numbers do not depend on
+how the scan is split: executors may come and go between the two reads.
 
 Random numbers are hashes of the document, its text and the seed, so reruns agree.
 """
@@ -149,15 +150,15 @@ def mix_sources(
     the last source. Rows without a doc_id or with the same one are drawn one by one; of rows alike in doc_id, source
     and text, some get one copy more than others. Sources without words have target 0. Input columns
     with the five names are replaced. An empty table gives no rows. ``share`` is the size of the mix
-    against all words. Rows alike are numbered by partition, so ``documents`` is a plain scan or another
-    plan that deals its rows alike when it runs again.
+    against all words. ``documents`` is best a scan of files; a join of files must be written first (Spark refuses
+    file names above it). Rows that come from no file are all of one part.
     """
     made = ["size", "source_size", "target", "copies", "taken"]
     carried = [c for c in documents.columns if c not in made]
     words = F.coalesce(F.regexp_count(col(text), F.lit(WORD)), F.lit(0)).cast("long")
     row = F.xxhash64(col(doc_id), col(source), col(text)).alias("__row")
     inputs = documents.select(*[col(f"`{c}`") for c in carried], words.alias("size"), col(source).alias("__source"), row)
-    inputs = inputs.withColumn("__part", F.spark_partition_id())
+    inputs = inputs.withColumn("__part", F.xxhash64(F.input_file_name()))
     groups = inputs.groupBy("__row", col("__source").alias("source"), "size", "__part").agg(F.count("*").alias("n"))
     alike = Window.partitionBy("__row", "source", "size")  # at most a row per part
     earlier = alike.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
