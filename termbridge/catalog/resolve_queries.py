@@ -31,20 +31,26 @@ def _text(name):
     return col(name).cast("string")
 
 
+def _lines(spark, sf_dir):
+    """Order lines with the code they ask for: one that no universe has where the part was returned."""
+    known = _text("l_partkey")
+    code = F.when(col("l_returnflag") == "R", F.concat(F.lit("x"), known)).otherwise(known)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", code.alias("code"), "l_extendedprice")
+
+
 def _bought(spark, sf_dir):
     """(record_id, code, score): the parts of every customer with their highest price."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
+    lines = _lines(spark, sf_dir)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return (
         lines.join(orders, col("l_orderkey") == col("o_orderkey"))
-        .groupBy(col("o_custkey").alias("record_id"), _text("l_partkey").alias("code"))
+        .groupBy(col("o_custkey").alias("record_id"), "code")
         .agg((F.max("l_extendedprice") / 105000.0).alias("score"))
     )
 
 
 def universe(spark, sf_dir):
-    known = table(spark, sf_dir, "part").filter(col("p_size") <= 40)
-    return known.select(_text("p_partkey").alias("code"), col("p_name").alias("name"))
+    return table(spark, sf_dir, "part").select(_text("p_partkey").alias("code"), col("p_name").alias("name"))
 
 
 def retrieved(bought):
@@ -68,9 +74,9 @@ def records(spark, sf_dir, bought):
         F.when(col("p_size") > 45, F.concat(F.lit("Unspecified "), col("p_type")))
         .when(col("p_size") >= 5, col("p_type"))
     )
-    parts = table(spark, sf_dir, "part").select(_text("p_partkey").alias("code"), given.alias("name"))
+    parts = table(spark, sf_dir, "part").select(_text("p_partkey").alias("part"), given.alias("name"))
     direct = (
-        cheap.join(parts, "code")
+        cheap.join(parts, F.ltrim("code", F.lit("x")) == col("part"))
         .groupBy("record_id")
         .agg(F.array_sort(F.collect_list(F.struct("score", "code", "name"))).alias("l"))
         .select(
@@ -96,9 +102,7 @@ def records(spark, sf_dir, bought):
 def responses(spark, sf_dir):
     """Every order of a customer as an answer: some cut off, some incomplete, some with
     an unknown field, some that choose a part the customer has among the candidates."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.min("l_partkey").cast("string").alias("least"), F.max("l_partkey").cast("string").alias("most")
-    )
+    lines = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.min("code").alias("least"), F.max("code").alias("most"))
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"
     )
@@ -383,10 +387,12 @@ QUERIES = {
 
 # CTEs records, direct, retrieved, known and answers of the customer stand-in.
 CUSTOMERS = """
+lines AS (
+  SELECT l_orderkey, l_extendedprice, CASE WHEN l_returnflag = 'R' THEN 'x' ELSE '' END || l_partkey::VARCHAR AS code FROM lineitem),
 bought AS (
-  SELECT o_custkey AS record_id, l_partkey::VARCHAR AS code, max(l_extendedprice) / 105000.0::DOUBLE AS score
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
-known AS (SELECT p_partkey::VARCHAR AS code, p_name AS name FROM part WHERE p_size <= 40),
+  SELECT o_custkey AS record_id, code, max(l_extendedprice) / 105000.0::DOUBLE AS score
+  FROM lines JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
+known AS (SELECT p_partkey::VARCHAR AS code, p_name AS name FROM part),
 retrieved AS (
   SELECT record_id, code, score,
          (row_number() OVER (PARTITION BY record_id ORDER BY score DESC, code))::INTEGER AS rank
@@ -396,9 +402,9 @@ direct AS (
   SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY score, code) AS spot, code,
          CASE WHEN p_size > 45 THEN 'Unspecified ' || p_type WHEN p_size >= 5 THEN p_type END AS given
   FROM (SELECT * FROM bought QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY score, code) <= 3)
-  JOIN part ON p_partkey::VARCHAR = code
+  JOIN part ON p_partkey::VARCHAR = ltrim(code, 'x')
   WHERE record_id IN (SELECT record_id FROM records WHERE name <> 'BUILDING')),
-ends AS (SELECT l_orderkey, min(l_partkey)::VARCHAR AS least, max(l_partkey)::VARCHAR AS most FROM lineitem GROUP BY 1),
+ends AS (SELECT l_orderkey, min(code) AS least, max(code) AS most FROM lines GROUP BY 1),
 tried AS (
   SELECT o_custkey AS record_id, *,
          (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INTEGER AS attempt_index
