@@ -18,8 +18,11 @@ from termbridge.operators.skew import first_rows, number_rows
 from termbridge.operators.vectors import embed_text
 from termbridge.session import cut_lineage, shuffle_width
 
-BLOCK_BYTES = 256 << 20  # of the universe that a task holds
-PACKED_BYTES = 8 << 20  # of the universe that travel as one row
+BLOCK_BYTES = 8 << 20  # of the universe that a task holds at a time
+PACKED_BYTES = 1 << 20  # of the universe that travel as one row
+PART_BYTES = 32 << 20  # of the universe that a task sees in all
+HELD_BYTES = 64 << 20  # of queries and their best rows that a task holds
+NOTED_ROWS = 1 << 18  # that wait to be ranked
 SCORES_PER_STEP = 1 << 22
 
 
@@ -122,29 +125,146 @@ def _packed_blocks(size: int):
     return run
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """(task, whether they are queries, rows): stretches of rows of a task that are all queries or all blocks."""
+    for batch in batches:
+        kinds = batch.column("task").to_numpy() * 2 + batch.column("data").is_null().to_numpy(zero_copy_only=False)
+        ends = [*(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)] if len(kinds) else []
+        for start, end in zip([0, *ends], ends):
+            yield int(kinds[start]) // 2, bool(kinds[start] % 2), batch.slice(start, end - start)
+
+
+def _tables(piece: pa.RecordBatch) -> Iterator[pa.Table]:
+    return (pa.ipc.open_stream(x.as_buffer()).read_all() for x in piece.column("data"))
+
+
 def _searched(carried: Sequence[str]):
     """Rows sorted by task, a task's blocks before its queries: the queries stream past the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, blocks, offered = None, [], None
-        for batch in batches:
-            kinds = batch.column("task").to_numpy() * 2 + batch.column("data").is_null().to_numpy(zero_copy_only=False)
-            ends = [*(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)] if len(kinds) else []
-            for start, end in zip([0, *ends], ends):
-                piece, here, asks = batch.slice(start, end - start), int(kinds[start]) // 2, kinds[start] % 2
-                if here != task:
-                    task, blocks, offered = here, [], None
-                if not asks:
-                    blocks += [pa.ipc.open_stream(x.as_buffer()).read_all() for x in piece.column("data")]
-                    continue
+        for here, asks, piece in _pieces(batches):
+            if here != task:
+                task, blocks, offered = here, [], None
+            if not asks:
+                blocks += _tables(piece)
+                continue
+            if blocks:
+                offered, blocks = _Offered(pa.concat_tables(blocks)), []
+            if offered is not None:
+                yield from _search(pa.Table.from_batches([piece]), offered, carried).to_batches(max_chunksize=1 << 16)
+
+    return run
+
+
+class _Held:
+    """The queries of a task with the best universe rows that each has met so far."""
+
+    def __init__(self, asked: pa.Table, carried: Sequence[str]):
+        self.ids = asked.select(carried).combine_chunks()
+        self.q = _matrix(asked["vec"])
+        self.single = self.q.astype(np.float32)
+        self.lengths = np.linalg.norm(self.q, axis=1)
+        self.ks = asked["k"].to_numpy()
+        self.floor = np.full(len(self.q), -np.inf)  # the score that a full list ends with
+        self.best, self.new, self.waiting = None, [], 0
+
+    def meet(self, table: pa.Table) -> None:
+        """Note the rows of a block that may be among the best of a query, scored in double precision."""
+        x = _matrix(table["vec"])
+        single, longest = x.astype(np.float32), np.linalg.norm(x, axis=1).max()
+        k, found = int(self.ks.max()), []
+        step = max(1, SCORES_PER_STEP // len(x))
+        for at in range(0, len(self.q), step):
+            rough = self.single[at : at + step] @ single.T
+            margin = 4.0 * (x.shape[1] + 4) * np.finfo(np.float32).eps * self.lengths[at : at + step] * longest
+            floor = self.floor[at : at + step]
+            open_ = rough >= (floor - margin)[:, None]
+            if k < len(x) and np.count_nonzero(open_) > 2 * k * len(rough):
+                floor = np.maximum(floor, np.partition(rough, len(x) - k, axis=1)[:, len(x) - k])
+                open_ = rough >= (floor - margin)[:, None]
+            rows, cols = np.nonzero(open_)
+            rows += at
+            scores = _exact_scores(self.q, x, rows, cols)
+            kept = scores >= self.floor[rows]
+            found.append((rows[kept], cols[kept], scores[kept]))
+        rows, cols, scores = (np.concatenate(column) for column in zip(*found))
+        if not len(rows):
+            return
+        codes = table["code"].combine_chunks().take(pa.array(cols))
+        self.new.append(pa.table({"row": rows, "code": codes, "score": scores}))
+        self.waiting += len(rows)
+        if self.waiting > max(NOTED_ROWS, self.best.num_rows if self.best else 0):
+            self.settle()
+
+    def settle(self) -> None:
+        """Rank what was noted; equal scores go to the lower code."""
+        noted = [t.select(["row", "code", "score"]) for t in (self.best, *self.new) if t is not None]
+        noted = pa.concat_tables(noted).combine_chunks().sort_by([("row", "ascending"), ("score", "descending"), ("code", "ascending")])
+        rows = noted["row"].to_numpy()
+        ranks = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+        noted = noted.append_column("rank", pa.array(ranks.astype(np.int32))).filter(pa.array(ranks <= self.ks[rows]))
+        rows, ranks = noted["row"].to_numpy(), noted["rank"].to_numpy()
+        last = ranks == self.ks[rows]
+        self.floor[rows[last]] = noted["score"].to_numpy()[last]
+        self.best, self.new, self.waiting = noted, [], 0
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if self.new:
+            self.settle()
+        if self.best is not None:
+            for part in self.best.to_batches(max_chunksize=1 << 16):
+                ids = self.ids.take(part.column("row"))
+                columns = {c: ids[c].combine_chunks() for c in ids.column_names}
+                columns |= {c: part.column(c) for c in ("code", "score", "rank")}
+                yield from pa.table(columns).to_batches()
+
+
+def _passed(carried: Sequence[str], size: int):
+    """Rows sorted by task, a task's queries before its blocks: the universe streams past the queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, asked, held, blocks = None, [], None, []
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if held is not None:
                 if blocks:
-                    offered, blocks = _Offered(pa.concat_tables(blocks)), []
-                if offered is not None:
-                    yield from _search(pa.Table.from_batches([piece]), offered, carried).to_batches(max_chunksize=1 << 16)
+                    held.meet(pa.concat_tables(blocks))
+                yield from held.found()
+
+        for here, asks, piece in _pieces(batches):
+            if here != task:
+                yield from end()
+                task, asked, held, blocks = here, [], None, []
+            if asks:
+                asked.append(pa.Table.from_batches([piece]).select([*carried, "vec"]))
+                continue
+            if asked:
+                held, asked = _Held(pa.concat_tables(asked), carried), []
+            if held is None:
+                continue
+            for table in _tables(piece):
+                blocks.append(table)
+                if sum(t.nbytes for t in blocks) >= size:
+                    held.meet(pa.concat_tables(blocks))
+                    blocks = []
+        yield from end()
 
     return run
 
 
+def _grid(tasks: int, universe_bytes: int, query_bytes: int, found_bytes: int) -> tuple[int, int]:
+    """(lanes, parts): a task has a lane of the queries and a part of the universe.
+
+    Every lane is sent the universe and every part the queries, and every part finds rows for them. Of the grids
+    with enough tasks the one is taken that sends least, as long as lanes and parts are small enough for a task.
+    """
+    held = 2 * query_bytes + 3 * found_bytes
+    fewest = max(1, -(-held // HELD_BYTES))
+    lanes = max(fewest, min(tasks, round((tasks * (query_bytes + 2 * found_bytes) / universe_bytes) ** 0.5)))
+    return lanes, max(2, -(-universe_bytes // PART_BYTES), -(-tasks // lanes))
+
+
 def topk_inner_product(
     queries: DataFrame,
     universe: DataFrame,
@@ -158,10 +278,10 @@ def topk_inner_product(
     and ``embedding``. Returns the ids, code, score and rank; equal scores go to
     the lower code. ``k`` may be a column of the queries.
 
-    The universe is dealt by code into parts of about ``block_bytes``, packed into blocks, and each part is sent to
-    as many tasks as there are shuffle partitions a part. A task holds its part and lets queries stream past it. A
-    query goes to one task of each part: once, without any merging, while the universe fits one part; beyond
-    that the best k of every part are ranked together. Nothing is collected or broadcast.
+    A universe of at most ``block_bytes`` is held by every task, and queries stream past it: each is sent once and
+    nothing is merged. A larger one is dealt by code into parts and the queries into lanes, a task for each lane and
+    part (``_grid``): it holds its queries and their best rows so far, and its part streams past them,
+    ``block_bytes`` at a time. The best k of every part are ranked together. Nothing is collected or broadcast.
     """
     ids = list(ids)
     k_column = F.lit(int(k)) if isinstance(k, int) else k
@@ -183,25 +303,30 @@ def topk_inner_product(
     if not shape["n"]:
         return queries.sparkSession.createDataFrame([], schema)
     universe_bytes = shape["n"] * shape["size"] * 8 + (shape["code_bytes"] or 0)
-    parts = max(1, -(-universe_bytes // block_bytes))
-    lanes = max(1, -(-shuffle_width(queries) // parts))  # tasks that hold the same part
+    tasks = min(shuffle_width(queries), 4 * queries.sparkSession.sparkContext.defaultParallelism)
+    whole = universe_bytes <= block_bytes
+    # Every query row is searched by itself, whatever its ids.
+    asked = asked.withColumn("__row", F.monotonically_increasing_id())
+    lanes, parts = tasks, 1
+    if not whole:
+        asked = cut_lineage(asked)  # written once, a row's number lasts
+        sizes = asked.agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k")).first()
+        rows = sizes["n"] * min(sizes["k"] or 0, shape["n"])
+        lanes, parts = _grid(tasks, universe_bytes, sizes["n"] * (shape["size"] * 8 + 64), rows * 32)
 
     part = F.pmod(F.xxhash64("code"), F.lit(parts)).cast("int").alias("part")
     packed = offered.select("code", "vec", part).mapInArrow(_packed_blocks(min(block_bytes, PACKED_BYTES)), "part int, data binary")
     lane = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
     blocks = packed.select("part", "data", lane.alias("lane"))
-    # Every query row is searched by itself, whatever its ids.
-    asked = asked.withColumn("__row", F.monotonically_increasing_id())
-    if parts > 1:
-        asked = cut_lineage(asked)  # written once, a row's number lasts
     sent = asked.withColumn("lane", F.pmod("__row", F.lit(lanes)).cast("int"))
     sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     met = blocks.unionByName(sent, allowMissingColumns=True).withColumn("task", F.col("part") * lanes + F.col("lane"))
-    met = met.drop("part", "lane").repartitionById(parts * lanes, "task").sortWithinPartitions("task", F.col("data").isNull())
-    if parts == 1:
+    first = F.col("data").isNull() if whole else F.col("data").isNotNull()
+    met = met.drop("part", "lane").repartitionById(parts * lanes, "task").sortWithinPartitions("task", first)
+    if whole:
         return met.mapInArrow(_searched(ids), schema)
     carried = [*ids, "__row", "k"]
-    found = met.mapInArrow(_searched(carried), T.StructType([*(asked.schema[c] for c in carried), *found_fields]))
+    found = met.mapInArrow(_passed(carried, block_bytes), T.StructType([*(asked.schema[c] for c in carried), *found_fields]))
     # A query has at most k rows from each part of the universe.
     w = Window.partitionBy("__row").orderBy(F.col("score").desc(), F.col("code").asc())
     ranked = found.drop("rank").withColumn("rank", F.row_number().over(w))

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,30 @@ def test_queries_stream_past_blocks(vectors):
         assert text.count("Window ") == windows
 
 
+@pytest.mark.parametrize("waiting", [0, 50, 1 << 18])
+def test_held_queries_keep_their_best_whatever_is_ranked_between(vectors, monkeypatch, waiting):
+    q, x, _, _ = vectors
+    monkeypatch.setattr(retrieval, "NOTED_ROWS", waiting)
+    asked = pa.table({"id": range(len(q)), "k": [i % 9 + 1 for i in range(len(q))], "vec": list(map(list, q))})
+    held = retrieval._Held(asked, ["id"])
+    order = np.random.default_rng(2).permutation(len(x))
+    for at in range(0, len(x), 17):
+        codes = order[at : at + 17]
+        held.meet(pa.table({"code": [f"{c:03d}" for c in codes], "vec": [list(x[c]) for c in codes]}))
+    found = pa.Table.from_batches(list(held.found())).to_pylist()
+    best = {(i, c, r) for i, c, r in brute(q, x, 9) if r <= i % 9 + 1}
+    assert {(r["id"], int(r["code"]), r["rank"]) for r in found} == best
+
+
+def test_small_blocks_do_not_multiply_what_is_sent():
+    """The queries went to as many parts as there are blocks; now lanes and parts follow the tasks."""
+    for n in (1_000, 100_000, 10_000_000):
+        lanes, parts = retrieval._grid(48, n * 512, n * 576, n * 320)
+        sent = lanes * n * 512 + parts * n * 896
+        assert lanes * parts >= 48 and sent < 25 * n * 896 * max(1, n * 4e-6)
+    assert retrieval._grid(48, 6 << 30, 200 * 2112, 200 * 20 * 32) == (1, 192)
+
+
 def test_k_per_query(vectors):
     q, x, queries, universe = vectors
     sized = queries.withColumn("size", F.col("query_id") % 3)
