@@ -47,26 +47,33 @@ def parse_tagged_candidates(
     name therefore ends at its first colon; ``keep_colons`` keeps the rest.
     """
 
-    def candidate(part: Column) -> Column:
-        tokens = F.transform(F.split(part, ":"), strip)
+    # Inside lambdas nothing is shared by itself: tokens and pairs are bound so that each is made once.
+    def bound(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def paired(tokens: Column) -> Column:
         starts = F.when(
             F.size(tokens) >= 2, F.sequence(F.lit(0), F.size(tokens) - 2, F.lit(2))
         ).otherwise(F.array().cast("array<int>"))
-        pairs = F.transform(
+        return F.transform(
             starts,
             lambda i: F.struct(
                 F.lower(F.get(tokens, i)).alias("key"), F.get(tokens, i + 1).alias("value")
             ),
         )
 
-        def last(key: str) -> Column:
-            return F.try_element_at(F.filter(pairs, lambda p: p["key"] == key), F.lit(-1))["value"]
+    def candidate(part: Column) -> Column:
+        def read(pairs: Column) -> Column:
+            def last(key: str) -> Column:
+                return F.try_element_at(F.filter(pairs, lambda p: p["key"] == key), F.lit(-1))["value"]
+
+            name = last(name_key)
+            if keep_colons:
+                rest = strip(F.regexp_extract(part, rf"(?is){name_key}\s*:(.*)$", 1))
+                name = F.when(name.isNotNull(), rest)
+            return F.struct(last(code_key).alias("code"), name.alias("name"))
 
-        name = last(name_key)
-        if keep_colons:
-            rest = strip(F.regexp_extract(part, rf"(?is){name_key}\s*:(.*)$", 1))
-            name = F.when(name.isNotNull(), rest)
-        return F.struct(last(code_key).alias("code"), name.alias("name"))
+        return bound(bound(F.transform(F.split(part, ":"), strip), paired), read)
 
     entries = F.transform(split_list(cell), candidate)
     return F.filter(entries, lambda c: F.coalesce(c["code"], F.lit("")) != "").cast(CANDIDATES)

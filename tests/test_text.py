@@ -120,3 +120,13 @@ def test_parsers_work_on_streams(spark, tmp_path):
     )
     query.awaitTermination()
     assert {(r["id"], r["n"]) for r in spark.read.parquet(sink).collect()} == {(0, 2), (1, 0)}
+
+
+def test_tagged_cells_are_split_once(spark):
+    """The tokens of an entry were made again for every use of them."""
+    cells = spark.createDataFrame([("ICD10_code:A:phenoname:N: x | phenoname:none | icd10_CODE: B :phenoname:",)], "cell string")
+    for kept, names in ((False, ["N", ""]), (True, ["N: x", ""])):
+        read = cells.select(text.parse_tagged_candidates(F.col("cell"), keep_colons=kept).alias("c"))
+        plan = read._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(", :, -1)") == 1
+        assert [(c.code, c.name) for c in read.first().c] == list(zip("AB", names))
