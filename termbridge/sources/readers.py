@@ -19,18 +19,21 @@ from termbridge.schemas import ANSWER, PairSpec
 CANDIDATE_COLUMNS = ["direct_candidates", "direct", "icd10_direct_candidates"]
 # An older name of a mapping category, and the present one.
 OLD_CATEGORY, PRESENT_CATEGORY = "CLOSE_MATCH", "DIRECT_MATCH"
+NO_CELL = "\x00null\x00"  # what the parser gives for a cell without text or quotes
 
 
 def read_delimited(
-    spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False
+    spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False, keep_empty: bool = False
 ) -> DataFrame:
     """Files with a header, every column a string.
 
     ``multi_line`` allows line breaks in quoted cells; a file is then read by one
-    task, so large inputs should come as several files.
+    task, so large inputs should come as several files. Empty cells are null; with
+    ``keep_empty`` only those without quotes, and ``""`` is an empty text.
     """
+    null = NO_CELL if keep_empty else ""
     return spark.read.csv(
-        path, sep=sep, header=True, inferSchema=False, multiLine=multi_line, escape='"', nullValue=""
+        path, sep=sep, header=True, inferSchema=False, multiLine=multi_line, escape='"', nullValue=null, emptyValue=""
     )
 
 
@@ -154,8 +157,9 @@ def read_result_csv(spark: SparkSession, path: str, multi_line: bool = True) ->
     """A flat result, codes trimmed; the older category name is read as the present one.
 
     Rationales may hold line breaks, so a part file is read by one task unless told otherwise.
+    A quoted empty cell is an empty text, as ``write_results_csv`` writes it; null has no quotes.
     """
-    df = read_delimited(spark, path, multi_line=multi_line)
+    df = read_delimited(spark, path, multi_line=multi_line, keep_empty=True)
     df = df.withColumn("icd9_code", strip(F.col("icd9_code")))
     if "mapping_category" in df.columns:
         present = F.when(F.col("mapping_category") == OLD_CATEGORY, PRESENT_CATEGORY)

@@ -193,3 +193,10 @@ def test_record_keys_do_not_depend_on_files_or_splits(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert split == {r.record_id for r in readers.read_records_csv(spark, plain).collect()} and len(split) == 400
+
+
+def test_result_csv_keeps_empty_text_apart_from_null(spark, tmp_path):
+    """A candidate without a name has an empty one; a record without a match has none."""
+    path = write(tmp_path, "r.csv", 'icd9_code,selected_name,rationale\n1,"",a\n2,,""\n3,"x ""y""",\n')
+    rows = [tuple(r) for r in readers.read_result_csv(spark, path).orderBy("icd9_code").collect()]
+    assert rows == [("1", "", "a"), ("2", None, ""), ("3", 'x "y"', None)]
