@@ -102,3 +102,12 @@ def test_nothing(spark):
     for bad in ({"threshold": 0}, {"threshold": 1.1}, {"threshold": 0.5, "measure": "cosine"}):
         with pytest.raises(ValueError):
             similar.similar_pairs(empty, None, "k", "t", **bad)
+
+
+def test_links_count_copies_without_pairing_them(spark):
+    """300 copies on either side of a link gave 300 * 300 rows and more; now a row each."""
+    rows = [(i, "a b c d") for i in range(300)] + [(300 + i, "a b c e") for i in range(300)] + [(600, "z"), (601, ""), (602, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    found = {tuple(r) for r in similar.similar_links(df, None, "id", "text", 0.5).collect()}
+    expected = {(i, 0, 599) for i in range(300)} | {(i, 300, 599) for i in range(300, 600)}
+    assert found == expected | {(600, 600, 0), (601, 601, 0), (602, 602, 0)}
