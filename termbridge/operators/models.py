@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+from operator import add
 
+import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Bucketizer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +28,10 @@ from termbridge.schemas import PairSpec
 from termbridge.session import cut_lineage, shuffle_width
 
 SEED = 7
+ROWS_PER_CELL = 4  # from which trees learn from counted cells
+CELLS_PER_TASK = 50_000
+TREES_AT_ONCE = 8
+TREES_PER_STEP = 25
 
 
 def assemble_scale(spec: PairSpec, scaled: bool = True) -> list:
@@ -38,6 +48,148 @@ def _columns(spec: PairSpec, weight: str | None) -> dict:
     return {**names, "weightCol": weight} if weight else names
 
 
+# --------------------------------------------------------------------------
+# Trees on counted cells: a tree sees features in at most maxBins bins, so rows with the same bins and label are one row
+# with a count.
+
+
+def _bin_edges(rows: DataFrame, features: Sequence[str], bins: int) -> list[list[float]]:
+    """Where the bins of every feature begin: at each value where there are at most ``bins``, else at quantiles."""
+    about = rows.agg(*[F.approx_count_distinct(f).alias(f) for f in features]).first()
+    few = [f for f in features if about[f] <= 2 * bins]
+    values = rows.agg(F.lit(0), *[F.collect_set(f).alias(f) for f in few]).first()
+    begins = {f: values[f] for f in few if len(values[f]) <= bins}
+    many = [f for f in features if f not in begins]
+    quantiles = rows.approxQuantile(many, [i / bins for i in range(bins)], 0.001) if many else []
+    begins |= dict(zip(many, quantiles))
+    # A feature of one value has its bin begin there; edges need one number at least.
+    starts = [sorted(set(begins[f])) for f in features]
+    return [[float("-inf"), *(s[1:] or s), float("inf")] for s in starts]
+
+
+def _drawn(columns: Sequence[str], trees: int, seed: int):
+    """Rows (columns, n, key) with ``trees`` draws of how often a bootstrap sample has the n rows of the cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, keys = batch.column("n").to_numpy(), batch.column("key").to_numpy().view(np.uint64)
+            draws = [np.random.default_rng([seed, int(k)]).poisson(rows, trees) for k, rows in zip(keys, n)]
+            bags = np.array(draws, dtype=np.int64).reshape(len(n), trees).T
+            kept = [batch.column(c) for c in columns]
+            names = [*columns, *(f"bag_{i}" for i in range(trees))]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(bag) for bag in bags)], names)
+
+    return run
+
+
+class BaggedForest(Model):
+    """Single trees whose class shares are averaged, as a random forest does; every different cell is scored once."""
+
+    def __init__(self, trees: Sequence[Model], cells: Sequence[str]):
+        super().__init__()
+        self.trees, self.cells = list(trees), list(cells)
+
+    @property
+    def featureImportances(self) -> DenseVector:
+        total = sum(tree.featureImportances.toArray() for tree in self.trees)
+        return DenseVector(total / total.sum() if total.sum() else total)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        named = [F.col(c).alias(f"__{c}") for c in self.cells]
+        keys = [f"__{c}" for c in self.cells]
+        wanted = dataset.select(*named).distinct()
+        scored = VectorAssembler(inputCols=keys, outputCol="__bins").transform(cut_lineage(wanted))
+        scored = scored.withColumn("__votes", F.lit(0.0))
+        for at in range(0, len(self.trees), TREES_PER_STEP):
+            votes = []
+            for i, tree in enumerate(self.trees[at : at + TREES_PER_STEP]):
+                alone = tree.copy().setFeaturesCol("__bins").setProbabilityCol(f"__p{i}")
+                scored = alone.setPredictionCol("").setRawPredictionCol("").transform(scored)
+                votes.append(vector_to_array(f"__p{i}")[1])
+            scored = scored.select(*keys, "__bins", (F.col("__votes") + reduce(add, votes)).alias("__votes"))
+        scored = cut_lineage(scored.drop("__bins"))
+        size = float(len(self.trees))
+        share = F.col("__votes") / size
+        matched = [F.col(c) == F.col(k) for c, k in zip(self.cells, keys)]
+        return dataset.join(scored, reduce(lambda a, b: a & b, matched)).select(
+            *dataset.columns,
+            array_to_vector(F.array(size - F.col("__votes"), "__votes")).alias("rawPrediction"),
+            array_to_vector(F.array(1.0 - share, share)).alias("probability"),
+            (share > 0.5).cast("double").alias("prediction"),
+        )
+
+
+class CountedTrees(Estimator):
+    """Fits a tree classifier on counted cells where rows repeat in them, else on the rows.
+
+    The classifier's own split search has no more than ``maxBins`` bins a feature either. Boosting weighs a cell by its
+    count. A forest draws for every tree how often a bootstrap sample of the rows would have the cell: a sum of n
+    Poisson draws of mean 1 is one of mean n. What counts cannot say is fitted on rows: rows sampled without replacement,
+    and a least number of instances of unequal weights.
+    """
+
+    def __init__(self, classifier: RandomForestClassifier | GBTClassifier, features: Sequence[str]):
+        super().__init__()
+        self.classifier, self.features = classifier, list(features)
+
+    def copy(self, extra: dict | None = None) -> CountedTrees:
+        return CountedTrees(self.classifier.copy(extra), self.features)
+
+    def _counts(self, dataset: DataFrame) -> tuple[Bucketizer, DataFrame, list[str], int, float] | None:
+        """The bins, cells with their counts, what names a cell, tasks, least share of the weight a node has; None for rows."""
+        tree = self.classifier
+        weight = [tree.getWeightCol()] if tree.isDefined(tree.weightCol) else []
+        if tree.getSubsamplingRate() < 1.0 or (weight and tree.getMinInstancesPerNode() > 1):
+            return None
+        if isinstance(tree, RandomForestClassifier) and not tree.getBootstrap():
+            return None
+        rows = dataset.select(*self.features, tree.getLabelCol(), *weight)
+        edges = _bin_edges(rows, self.features, tree.getMaxBins())
+        bins = [f"{f}__bin" for f in self.features]
+        dealt = Bucketizer(splitsArray=edges, inputCols=self.features, outputCols=bins)
+        keys = [*bins, tree.getLabelCol(), *weight]
+        # Without the bucketizer's metadata, by which trees would take bins for categories without order.
+        ordered = dealt.transform(rows).withColumns({b: F.col(b).alias(b, metadata={}) for b in bins})
+        counts = cut_lineage(ordered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+        size = counts.agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("rows")).first()
+        if size["cells"] * ROWS_PER_CELL > (size["rows"] or 0):
+            return None
+        weighed = reduce(lambda a, b: a * b, [F.col(c) for c in weight], F.lit(1.0))
+        least = (tree.getMinInstancesPerNode() - 0.5) / size["rows"] if tree.getMinInstancesPerNode() > 1 else 0.0
+        parts = max(1, -(-size["cells"] // CELLS_PER_TASK))
+        return dealt, counts.withColumn("__unit", weighed), keys, parts, least
+
+    def _fit(self, dataset: DataFrame) -> Model:
+        tree, found = self.classifier, self._counts(dataset)
+        if found is None:
+            return tree.fit(dataset)
+        dealt, counts, keys, parts, least = found
+        bins = dealt.getOutputCols()
+        assembler = VectorAssembler(inputCols=bins, outputCol="bins")
+        alone = tree.copy().setFeaturesCol("bins").setWeightCol("__weight")
+        alone = alone.setMinInstancesPerNode(1).setMinWeightFractionPerNode(max(least, tree.getMinWeightFractionPerNode()))
+        if isinstance(tree, GBTClassifier):
+            weighed = counts.withColumn("__weight", F.col("n") * F.col("__unit")).repartition(parts, *keys)
+            model = alone.fit(assembler.transform(weighed))
+            return PipelineModel([dealt, assembler, model])
+        trees, seed = tree.getNumTrees(), tree.getSeed()
+        names = [*keys, "__unit"]
+        schema = ", ".join([*(f"`{c}` {t}" for c, t in counts.dtypes if c in names), *(f"bag_{i} bigint" for i in range(trees))])
+        ordered = [c for c in counts.columns if c in names]
+        keyed = counts.withColumn("key", F.xxhash64(*keys)).repartition(shuffle_width(dataset), *keys)
+        bags = cut_lineage(keyed.mapInArrow(_drawn(ordered, trees, seed % (1 << 63)), schema).repartition(parts, *keys))
+        strategy = tree.getFeatureSubsetStrategy()
+        alone = alone.setNumTrees(1).setBootstrap(False).setFeatureSubsetStrategy("sqrt" if strategy == "auto" and trees > 1 else strategy)
+
+        def fit(i: int) -> Model:
+            bag = bags.where(F.col(f"bag_{i}") > 0).withColumn("__weight", F.col(f"bag_{i}") * F.col("__unit"))
+            return alone.copy().setSeed(seed + i).fit(assembler.transform(bag))
+
+        with ThreadPool(min(TREES_AT_ONCE, trees)) as pool:
+            fitted = pool.map(inheritable_thread_target(dataset.sparkSession)(fit), range(trees), 1)
+        return PipelineModel([dealt, BaggedForest(fitted, bins)])
+
+
 # The settings searched, by grid and model.
 GRIDS = {
     "full": {
@@ -93,7 +245,8 @@ def build_models(
                 parameter, options = "regParam", [1.0 / (c * n_rows) for c in options]
             builder = builder.addGrid(classifier.getParam(parameter), list(options))
         scaled = name == "logistic" or grid != "wide"
-        models[name] = (Pipeline(stages=[*assemble_scale(spec, scaled), classifier]), builder.build())
+        last = classifier if name == "logistic" else CountedTrees(classifier, spec.features)
+        models[name] = (Pipeline(stages=[*assemble_scale(spec, scaled), last]), builder.build())
     return models
 
 
@@ -162,7 +315,9 @@ def feature_importance(spark: SparkSession, model, spec: PairSpec) -> DataFrame:
     """Importance of every feature, or its coefficient, largest first."""
     if isinstance(model, CrossValidatorModel):
         model = model.bestModel
-    last = model.stages[-1] if isinstance(model, PipelineModel) else model
+    last = model
+    while isinstance(last, PipelineModel):
+        last = last.stages[-1]
     values = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
     rows = sorted(zip(spec.features, map(float, values.toArray())), key=lambda r: -abs(r[1]))
     return spark.createDataFrame(

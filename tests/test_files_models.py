@@ -200,3 +200,48 @@ def test_result_csv_keeps_empty_text_apart_from_null(spark, tmp_path):
     path = write(tmp_path, "r.csv", 'icd9_code,selected_name,rationale\n1,"",a\n2,,""\n3,"x ""y""",\n')
     rows = [tuple(r) for r in readers.read_result_csv(spark, path).orderBy("icd9_code").collect()]
     assert rows == [("1", "", "a"), ("2", None, ""), ("3", 'x "y"', None)]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """6,000 rows in a few hundred cells, one of them in every third row."""
+    spec = PairSpec(query="q", doc="d", label="label", query_name=None, doc_name=None, features=["a", "b", "c"])
+    draw = [pairs.hashed_uniform(F.col("id").cast("string"), F.lit(x)) for x in "abcl"]
+    rows = spark.range(6000).select(
+        F.col("id").alias("q"),
+        F.lit(0).alias("d"),
+        *[F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.floor(u * 6) / 4.0 - 0.3).alias(f) for u, f in zip(draw, "abc")],
+        draw[3].alias("u"),
+    )
+    likely = F.when((F.col("a") > 0.4) & (F.col("b") < 0.6), 0.8).otherwise(0.3 + 0.3 * F.col("c"))
+    return spec, rows.withColumn("label", (F.col("u") < likely).cast("int")).drop("u").cache()
+
+
+def _fitted_twice(repeated, name, settings):
+    """Scores of the same settings learned from counted cells and from rows, side by side."""
+    spec, rows = repeated
+    pipeline, grid = models.build_models(spec, {name: settings})[name]
+    counted = pipeline.fit(rows, grid[0])
+    last = counted.stages[-1]
+    assert hasattr(last, "stages"), "fitted on rows"
+    plain = pipeline.copy(grid[0])
+    plain.setStages([*plain.getStages()[:-1], plain.getStages()[-1].classifier])
+    ours, theirs = (models.score_pairs(m, rows).select("q", "score") for m in (counted, plain.fit(rows)))
+    both = ours.join(theirs.withColumnRenamed("score", "other"), "q")
+    assert both.count() == 6000
+    return counted, both.select(F.max(F.abs(F.col("score") - F.col("other"))), F.avg(F.abs(F.col("score") - F.col("other")))).first()
+
+
+def test_boosting_on_counted_cells_is_that_on_rows(repeated):
+    for settings in ({"maxIter": [8]}, {"maxIter": [4], "maxDepth": [3], "minInstancesPerNode": [40]}):
+        _, (most, _) = _fitted_twice(repeated, "gbt", settings)
+        assert most < 1e-6
+
+
+def test_forest_on_counted_cells_draws_rows(repeated, spark):
+    model, (most, mean) = _fitted_twice(repeated, "random_forest", {"numTrees": [60], "maxDepth": [4]})
+    assert mean < 0.015 and most < 0.1
+    rows = models.feature_importance(spark, model, repeated[0]).collect()
+    assert abs(sum(r.importance for r in rows) - 1.0) < 1e-9 and len(rows) == 3
+    again = _fitted_twice(repeated, "random_forest", {"numTrees": [60], "maxDepth": [4]})[0]
+    assert again.stages[-1].stages[-1].featureImportances == model.stages[-1].stages[-1].featureImportances
