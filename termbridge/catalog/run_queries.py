@@ -203,9 +203,9 @@ def _train(spark, sf_dir):
     return cut_lineage(pairs.group_fold(cleaned(spark, sf_dir), SPEC.query, 4))
 
 
-def _fitted(spark, sf_dir, name):
+def _fitted(spark, sf_dir, name, rows=None):
     """A model of fixed settings trained on all but one fold, and that fold scored."""
-    train, test = pairs.train_test(_train(spark, sf_dir), 3)
+    train, test = pairs.train_test(_train(spark, sf_dir) if rows is None else rows, 3)
     settings = {"logistic": {}, "random_forest": {"numTrees": [200], "maxDepth": [10]}, "gbt": {}}
     pipeline, grid = models.build_models(SPEC, {name: settings[name]})[name]
     model = pipeline.fit(train, grid[0])
@@ -250,9 +250,10 @@ def feature_importance(spark, sf_dir):
 
 def model_comparison(spark, sf_dir):
     """The baseline and all models on the same test rows."""
-    _, test = pairs.train_test(_train(spark, sf_dir), 3)
+    made = _train(spark, sf_dir)
+    _, test = pairs.train_test(made, 3)
     rows = [models.evaluate(pairs.equal_weight_score(test, SPEC.features), SPEC, "baseline")]
-    rows += [models.evaluate(_fitted(spark, sf_dir, m)[1], SPEC, m) for m in ("logistic", "random_forest", "gbt")]
+    rows += [models.evaluate(_fitted(spark, sf_dir, m, made)[1], SPEC, m) for m in ("logistic", "random_forest", "gbt")]
     return models.model_comparison(rows)
 
 

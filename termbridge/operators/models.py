@@ -278,10 +278,52 @@ def cross_validate(
             seed=seed,
             **({"foldCol": fold_col} if fold_col else {}),
         )
-        fitted[name] = validator.fit(train)
+        prepared = {stage.uid for stage in pipeline.getStages()[:-1]}
+        if fold_col is None or any(p.parent in prepared for settings in grid for p in settings):
+            fitted[name] = validator.fit(train)
+            continue
+        aucs = [_fold_aucs(train, fold_col, i, pipeline, grid, spec, parallelism) for i in range(folds)]
+        means = [float(m) for m in np.mean(aucs, axis=0)]
+        best = pipeline.fit(train, grid[int(np.argmax(means))])
+        model = CrossValidatorModel(best, means, None, [float(d) for d in np.std(aucs, axis=0)])
+        for param in (model.estimator, model.estimatorParamMaps, model.evaluator, model.numFolds, model.seed, model.foldCol):
+            model.set(param, validator.getOrDefault(param.name))
+        fitted[name] = model
     return fitted
 
 
+def _fold_aucs(
+    rows: DataFrame, fold_col: str, fold: int, pipeline: Pipeline, grid: list, spec: PairSpec, parallelism: int
+) -> list[float]:
+    """AUC of every setting on one fold: the stages before the classifier are fitted and applied once for all settings,
+    and one pass scores the fold under all of them."""
+    *before, classifier = pipeline.getStages()
+    train, validation = rows.where(F.col(fold_col) != fold), rows.where(F.col(fold_col) == fold)
+    if train.isEmpty() or validation.isEmpty():
+        raise ValueError(f"fold {fold} has no rows on one of its sides")
+    inner = getattr(classifier, "classifier", classifier)
+    weight = [inner.getWeightCol()] if inner.isDefined(inner.weightCol) else []
+    needed = list(dict.fromkeys([*spec.features, spec.label, *weight]))
+    ready = Pipeline(stages=before).fit(train.select(*needed))
+    with_features = [*needed, inner.getFeaturesCol()]
+    learned = ready.transform(train.select(*needed)).select(*with_features).persist()
+    try:
+        with ThreadPool(min(parallelism, len(grid))) as pool:
+            fit = inheritable_thread_target(rows.sparkSession)(lambda settings: classifier.fit(learned, settings))
+            made = pool.map(fit, grid, 1)
+    finally:
+        learned.unpersist()
+    scored = ready.transform(validation.select(*needed)).select(*with_features)
+    scores = []
+    for i, model in enumerate(made):
+        kept = scored.columns
+        scored = model.transform(scored).select(*kept, vector_to_array("rawPrediction")[1].alias(f"__score{i}"))
+        scores.append(F.struct(F.lit(i).alias("setting"), F.col(f"__score{i}").alias("score")))
+    listed = scored.select(spec.label, F.explode(F.array(*scores)).alias("s")).select(spec.label, "s.*")
+    found = {r.setting: r.auc for r in roc_auc(cut_lineage(listed), spec.label, "score", ["setting"]).collect()}
+    return [float("nan") if found.get(i) is None else float(found[i]) for i in range(len(grid))]
+
+
 def cross_validation_table(spark: SparkSession, fitted: Mapping[str, CrossValidatorModel]) -> DataFrame:
     """Mean AUC of every setting tried."""
     rows = [

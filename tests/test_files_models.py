@@ -245,3 +245,22 @@ def test_forest_on_counted_cells_draws_rows(repeated, spark):
     assert abs(sum(r.importance for r in rows) - 1.0) < 1e-9 and len(rows) == 3
     again = _fitted_twice(repeated, "random_forest", {"numTrees": [60], "maxDepth": [4]})[0]
     assert again.stages[-1].stages[-1].featureImportances == model.stages[-1].stages[-1].featureImportances
+
+
+def test_cross_validation_is_that_of_spark_with_scaling_once_a_fold(repeated, monkeypatch):
+    """The same AUCs and best model as Spark's validator, with one scaler fitted a fold and one for the best."""
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.tuning import CrossValidator
+
+    spec, rows = repeated
+    folded = rows.withColumn("fold", (F.col("q") % 2).cast("int"))
+    built = models.build_models(spec, {"logistic": {"regParam": [0.0, 0.5], "elasticNetParam": [0.0, 1.0]}})
+    pipeline, grid = built["logistic"]
+    auc = models.BinaryClassificationEvaluator(labelCol=spec.label, numBins=0)
+    theirs = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=auc, numFolds=2, foldCol="fold").fit(folded)
+    scaled, fit = [], StandardScaler._fit
+    monkeypatch.setattr(StandardScaler, "_fit", lambda self, df: scaled.append(1) or fit(self, df))
+    ours = models.cross_validate(folded, built, spec, 2, "fold")["logistic"]
+    assert ours.avgMetrics == pytest.approx(theirs.avgMetrics, abs=1e-9) and len(scaled) == 3
+    assert ours.bestModel.stages[-1].coefficients.toArray() == pytest.approx(theirs.bestModel.stages[-1].coefficients.toArray())
+    assert len(ours.getEstimatorParamMaps()) == 4
