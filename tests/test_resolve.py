@@ -302,3 +302,18 @@ def test_stage_judges_only_the_attempts_a_job_looks_at(spark, sf_dir):
     everything = rq.responses(spark, sf_dir).filter("attempt_index < 2")
     assert made.count() == everything.count() and made.exceptAll(everything).isEmpty()
     assert rq.Stage(spark, sf_dir).verdicts.filter("attempt_index >= 2").isEmpty()
+
+
+def test_audit_shuffles_prompts_under_the_record_only(spark, tables, steps):
+    """Messages were shuffled by record and attempt, and once more with the schemas by record."""
+    candidates, verdicts, _ = steps
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = prompts.corrective_messages(verdicts, prompts.selection_prompts(tables[0], candidates))
+        logs = resolve.attempt_audit(verdicts, asked, prompts.response_schema(tables[0], candidates))
+        plan = logs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    dealt = [x.split("Exchange hashpartitioning(")[1].split(")")[0] for x in plan.split("\n") if "Exchange hashpartitioning(" in x]
+    assert dealt and not [x for x in dealt if "attempt_index" in x]
