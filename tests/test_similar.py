@@ -5,6 +5,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from termbridge.catalog import text_queries
 from termbridge.operators import similar
 
 
@@ -111,3 +112,15 @@ def test_links_count_copies_without_pairing_them(spark):
     found = {tuple(r) for r in similar.similar_links(df, None, "id", "text", 0.5).collect()}
     expected = {(i, 0, 599) for i in range(300)} | {(i, 300, 599) for i in range(300, 600)}
     assert found == expected | {(600, 600, 0), (601, 601, 0), (602, 602, 0)}
+
+
+def test_candidate_pairs_lists_every_pair(spark, tmp_path):
+    """A row for each part and each part that it resembles, copies too; the query once gave a row per part with their number."""
+    parts = [(k, "blue moon", "LARGE TIN", f"Brand#{1 + k % 2}") for k in range(6)] + [(9, "red sun", "SMALL TIN", "Brand#1"), (10, "blue moon", "LARGE TIN BOX", "Brand#1")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    asked = [(k, f"{kind} {name}") for k, name, kind, _ in parts]
+    known = [(k, f"{name} {kind} {brand}") for k, name, kind, brand in parts]
+    pairs = text_queries.candidate_pairs(spark, str(tmp_path))
+    assert pairs.columns == ["left_key", "right_key", "similarity"]
+    assert found(pairs) == all_pairs(asked, known, 0.75, "dice")
+    assert pairs.where("left_key < 6 and right_key < 6").count() == 36
