@@ -124,3 +124,15 @@ def test_candidate_pairs_lists_every_pair(spark, tmp_path):
     assert pairs.columns == ["left_key", "right_key", "similarity"]
     assert found(pairs) == all_pairs(asked, known, 0.75, "dice")
     assert pairs.where("left_key < 6 and right_key < 6").count() == 36
+
+
+def test_candidate_turns_lists_every_pair(spark, tmp_path):
+    """A row for each two turns of similar words, copies too; the query once gave a row per turn with their number."""
+    turns = [(c, t, "user", "one two three four" if c < 4 else f"one two three x{c}") for c in range(6) for t in range(2)]
+    turns += [(7, 0, "user", ""), (8, 0, "user", None), (9, 0, "user", "alone")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    keyed = [(f"{c:08d}-{t:04d}", text) for c, t, _, text in turns]
+    pairs = text_queries.candidate_turns(spark, str(tmp_path))
+    assert pairs.columns == ["left_key", "right_key", "similarity"]
+    assert found(pairs) == all_pairs(keyed, None, 0.4, "jaccard")
+    assert pairs.where("similarity = 1").count() == 28 + 1 + 1
