@@ -2,11 +2,12 @@ import random
 import re
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from termbridge.catalog import text_queries
-from termbridge.operators import similar
+from termbridge.operators import overlap, similar
 
 
 def words(text):
@@ -136,3 +137,44 @@ def test_candidate_turns_lists_every_pair(spark, tmp_path):
     assert pairs.columns == ["left_key", "right_key", "similarity"]
     assert found(pairs) == all_pairs(keyed, None, 0.4, "jaccard")
     assert pairs.where("similarity = 1").count() == 28 + 1 + 1
+
+
+def test_pairs_that_are_not_similar_stay_in_their_task(spark, monkeypatch):
+    """Sets of 20 of 60 words share a rare one with nearly every other; each such pair was written with its words."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.sample([f"v{i}" for i in range(60)], 20))) for k in range(400)]
+    met, paired = [], similar._paired
+
+    def counted(*args):
+        out = paired(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "_paired", counted)
+    expected = all_pairs(rows, None, 0.45, "jaccard")
+    assert 0 < len(expected) < 1000
+    assert found(similar.similar_pairs(spark.createDataFrame(rows, "k long, t string"), None, "k", "t", 0.45)) == expected
+    assert sum(met) == len(expected)
+
+
+@pytest.mark.parametrize("least", ["0.4", "0.75", "1"])
+@pytest.mark.parametrize("own", [True, False])
+def test_blocks_in_small_steps(monkeypatch, least, own):
+    """Sets of up to 700 tokens, more than a mark has bits, and steps that end within a set's tokens."""
+    for name in ("MET_PER_STEP", "FLAGS_PER_STEP", "TOKENS_PER_STEP"):
+        monkeypatch.setattr(overlap, name, 97)
+    rng, t = random.Random(2), Fraction(least)
+    sets = [sorted(rng.sample(range(30), rng.randint(1, 12))) for _ in range(120)]
+    sets += [sorted(rng.sample(range(1000), n)) for n in (650, 700, 700)] + [sets[0], [5], [5]]
+    part = [0 if own else k % 2 for k in range(len(sets))]
+    made = {"cell": [7] * len(sets), "part": part, "id": [b"%d" % k for k in range(len(sets))], "tokens": pa.array(sets, pa.list_(pa.int32()))}
+    batches = pa.table(made).to_batches(max_chunksize=50)
+    out = [row for b in overlap.overlapping(t, frozenset([7] if own else []))(iter(batches)) for row in b.to_pylist()]
+    have = sorted((*(sorted if own else tuple)((int(r["a"]), int(r["b"]))), r["both"], r["total"]) for r in out)
+    expected = []
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            both = len({*x} & {*y})
+            if (i < j if own else part[i] < part[j]) and both >= t * (len(x) + len(y) - both):
+                expected.append((i, j, both, len(x) + len(y)))
+    assert have == sorted(expected)
