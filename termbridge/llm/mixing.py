@@ -19,6 +19,7 @@ Random numbers are hashes of the document, its text and the seed, so reruns agre
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,6 +136,17 @@ def rounded(rows: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
         now = rest
 
 
+def _from_files(documents: DataFrame) -> DataFrame:
+    """``documents`` if Spark can tell the file of a row, else written once."""
+    try:
+        documents.select(F.input_file_name())
+    except AnalysisException as error:
+        if error.getCondition() != "MULTI_SOURCES_UNSUPPORTED_FOR_EXPRESSION":
+            raise
+        return cut_lineage(documents)
+    return documents
+
+
 def mix_sources(
     documents: DataFrame,
     text: str = "text",
@@ -150,9 +162,10 @@ def mix_sources(
     the last source. Rows without a doc_id or with the same one are drawn one by one; of rows alike in doc_id, source
     and text, some get one copy more than others. Sources without words have target 0. Input columns
     with the five names are replaced. An empty table gives no rows. ``share`` is the size of the mix
-    against all words. ``documents`` is best a scan of files; a join of files must be written first (Spark refuses
+    against all words. ``documents`` is best a scan of files; a join of files is written first (Spark refuses
     file names above it). Rows that come from no file are all of one part.
     """
+    documents = _from_files(documents)
     made = ["size", "source_size", "target", "copies", "taken"]
     carried = [c for c in documents.columns if c not in made]
     words = F.coalesce(F.regexp_count(col(text), F.lit(WORD)), F.lit(0)).cast("long")
